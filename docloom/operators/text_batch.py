@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import tokens, with_tokens
 from docloom.operators.fulltext import B, K1, idf
 from docloom.operators.topk_join import BROADCAST_CELLS, Scorer, query_bound, topk_join
+from docloom.operators.vector import score_lists, vectors_by_length
 from docloom.schema import DEFAULT_LIMIT
 
 PAIR_BLOCK = 4_000_000  # word-query pairs expanded at a time
@@ -18,14 +19,10 @@ PAIR_BLOCK = 4_000_000  # word-query pairs expanded at a time
 
 class TextScorer(Scorer):
     """BM25 of documents (``id, tokens``) against queries
-    (``query_id, k, words, weights, n_words, every_word, mean_length``).
-
-    With a ``filter_no`` column in the queries and a ``passes`` array in the
-    documents, a query only sees documents that pass its filter.
-    """
+    (``query_id, k, words, weights, n_words, every_word, mean_length``)."""
 
     def prepare(self, queries):
-        words = queries["words"].combine_chunks()
+        words = queries["words"].chunk(0)
         lengths = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -36,16 +33,17 @@ class TextScorer(Scorer):
             "vocabulary": coded.dictionary,
             "start": np.r_[0, np.cumsum(per_word)],
             "query": query_of[order],
-            "weight": queries["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False)[order],
-            "need": np.where(queries["every_word"].to_numpy(), queries["n_words"].to_numpy(), 1),
+            "weight": queries["weights"].chunk(0).flatten().to_numpy(zero_copy_only=False)[order],
+            "need": np.where(queries["every_word"].to_numpy(), np.maximum(queries["n_words"].to_numpy(), 1), 1),
             "mean_length": queries["mean_length"].to_numpy()[0] if queries.num_rows else 1.0,
-            "filter_no": queries["filter_no"].to_numpy() if "filter_no" in queries.column_names else None,
         }
 
     def scores(self, state, docs):
-        token_lists = docs.column("tokens")
-        if isinstance(token_lists, pa.ChunkedArray):
-            token_lists = token_lists.combine_chunks()
+        total, keep = self.totals(state, docs.column("tokens"))
+        return np.where(keep, total, -np.inf), None
+
+    def totals(self, state, token_lists: pa.Array):
+        """Sums of word contributions, and which pairs match."""
         n_docs, n_queries, n_words = len(token_lists), len(state["need"]), len(state["vocabulary"])
         lengths = pc.list_value_length(token_lists).to_numpy(zero_copy_only=False)
         word = pc.index_in(token_lists.flatten(), state["vocabulary"])
@@ -74,12 +72,27 @@ class TextScorer(Scorer):
             found += np.bincount(target, minlength=len(found))
             at = stop
         keep = found.reshape(n_docs, n_queries) >= state["need"]
-        if state["filter_no"] is not None:
-            passes = docs.column("passes")
-            passes = passes.combine_chunks() if isinstance(passes, pa.ChunkedArray) else passes
-            table = passes.flatten().to_numpy(zero_copy_only=False).reshape(n_docs, -1)
-            keep &= table[:, state["filter_no"]]
-        return np.where(keep, total.reshape(n_docs, n_queries), -np.inf)
+        return total.reshape(n_docs, n_queries), keep
+
+
+class HybridScorer(TextScorer):
+    """Text matches in the order of their vectors: cosine first, then BM25.
+
+    Matches without a vector come last. Both sides also have ``vector``.
+    """
+
+    NO_VECTOR = -2.0  # below every cosine
+
+    def prepare(self, queries):
+        return {**super().prepare(queries), "vectors": list(vectors_by_length(queries["vector"].chunk(0)))}
+
+    def scores(self, state, docs):
+        total, keep = self.totals(state, docs.column("tokens"))
+        vectors = docs.column("vector")
+        cosine = score_lists("cosine", vectors, state["vectors"])
+        has_vector = pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False) > 0
+        cosine = np.where(has_vector[:, None], cosine, self.NO_VECTOR)
+        return np.where(keep, cosine, -np.inf), total
 
 
 def weigh_queries(queries: DataFrame, tokenized: DataFrame, broadcast_words: bool) -> DataFrame:
@@ -121,6 +134,17 @@ def weigh_queries(queries: DataFrame, tokenized: DataFrame, broadcast_words: boo
     )
 
 
+def _prepared(queries: DataFrame, docs: DataFrame, text: str, k: int, every_word: bool):
+    """Weighted queries, tokenized documents, and the size of the queries."""
+    for name, default in {"k": F.lit(int(k)), "every_word": F.lit(every_word)}.items():
+        if name not in queries.columns:
+            queries = queries.withColumn(name, default)
+    tokenized = with_tokens(docs, text).drop(text)
+    bound = query_bound(queries, F.size(tokens("query")))
+    weighted = weigh_queries(queries, tokenized.select("tokens"), broadcast_words=bound[1] <= BROADCAST_CELLS)
+    return weighted.join(queries.drop("query"), "query_id"), tokenized, bound
+
+
 def search_text_batch(
     queries: DataFrame,
     docs: DataFrame,
@@ -137,15 +161,28 @@ def search_text_batch(
     filter) if ``filter_no`` is used. A query matches documents with any of
     its words, or with all of them. A word given twice counts twice.
     """
-    options = {"k": F.lit(int(k)), "every_word": F.lit(every_word)}
-    for name, default in options.items():
-        if name not in queries.columns:
-            queries = queries.withColumn(name, default)
-    filtered = "filter_no" in queries.columns
-    tokenized = with_tokens(docs.select("id", text, *(["passes"] if filtered else [])), text).drop(text)
-    bound = query_bound(queries, F.size(tokens("query")))
-    weighted = weigh_queries(queries, tokenized, broadcast_words=bound[1] <= BROADCAST_CELLS)
-    settings = queries.select("query_id", "k", "every_word", *(["filter_no"] if filtered else []))
-    ready = weighted.join(settings, "query_id")
+    docs = docs.select("id", text, *(["passes"] if "filter_no" in queries.columns else []))
+    ready, tokenized, bound = _prepared(queries, docs, text, k, every_word)
     hits = topk_join(ready, tokenized, TextScorer(), bound, digits, **layout)
-    return hits.withColumn("score", -F.col("score"))
+    return hits.drop("tie").withColumn("score", -F.col("score"))
+
+
+def search_hybrid_batch(
+    queries: DataFrame,
+    docs: DataFrame,
+    k: int = DEFAULT_LIMIT,
+    every_word: bool = False,
+    text="content",
+    digits: int | None = None,
+    **layout,
+) -> DataFrame:
+    """Text matches re-ranked by vector: ``query_id, id, score, text_score,
+    rank``. As :func:`search_text_batch`, with a ``vector`` on both sides;
+    every match is a candidate. ``score`` is NULL for matches without vector.
+    """
+    docs = docs.select("id", text, "vector", *(["passes"] if "filter_no" in queries.columns else []))
+    ready, tokenized, (n_queries, n_words) = _prepared(queries, docs, text, k, every_word)
+    n_cells = n_words + query_bound(queries, F.size("vector"))[1]
+    hits = topk_join(ready, tokenized, HybridScorer(), (n_queries, n_cells), digits, **layout)
+    score = F.when(F.col("score") > HybridScorer.NO_VECTOR, F.col("score"))
+    return hits.select("query_id", "id", score.alias("score"), (-F.col("tie")).alias("text_score"), "rank")

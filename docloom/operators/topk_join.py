@@ -36,20 +36,24 @@ class Scorer:
         """State shared by all batches of a task."""
         raise NotImplementedError
 
-    def scores(self, state, docs: pa.RecordBatch | pa.Table) -> np.ndarray:
-        """``[documents, queries]``, higher is better, ``-inf`` = no result."""
+    def scores(self, state, docs: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray | None]:
+        """``[documents, queries]`` scores, higher is better, ``-inf`` = no
+        result; and second scores that decide between equal ones, or None."""
         raise NotImplementedError
 
 
 class _Best:
     """Running best k rows per query."""
 
+    ORDER = [("q", "ascending"), ("score", "descending"), ("tie", "descending"), ("id", "ascending")]
+
     def __init__(self, ks: np.ndarray, id_type: pa.DataType):
         self.ks = ks
         self.floor = np.full(len(ks), -np.inf)  # score needed to be kept
-        self.rows = pa.table({"q": pa.array([], "int64"), "id": pa.array([], id_type), "score": pa.array([], "float64")})
+        schema = pa.schema([("q", pa.int64()), ("id", id_type), ("score", pa.float64()), ("tie", pa.float64())])
+        self.rows = schema.empty_table()
 
-    def add(self, ids: pa.Array, scores: np.ndarray):
+    def add(self, ids: pa.Array, scores: np.ndarray, ties: np.ndarray | None):
         n = len(scores)
         for k in np.unique(self.ks):
             if n > k:  # the k-th best of this block already bounds the rest
@@ -59,9 +63,10 @@ class _Best:
         d, q = np.nonzero((scores >= self.floor) & (scores > -np.inf))
         if len(d) == 0:
             return
-        new = pa.table({"q": q, "id": ids.take(pa.array(d)), "score": scores[d, q]})
+        tie = np.zeros(len(d)) if ties is None else ties[d, q]
+        new = pa.table({"q": q, "id": ids.take(pa.array(d)), "score": scores[d, q], "tie": tie})
         rows = pa.concat_tables([self.rows, new.cast(self.rows.schema)])
-        rows = rows.take(pc.sort_indices(rows, [("q", "ascending"), ("score", "descending"), ("id", "ascending")]))
+        rows = rows.take(pc.sort_indices(rows, self.ORDER))
         qs = rows["q"].to_numpy()
         first = np.flatnonzero(np.r_[True, qs[1:] != qs[:-1]])
         place = np.arange(len(qs)) - np.repeat(first, np.diff(np.r_[first, len(qs)]))
@@ -70,24 +75,26 @@ class _Best:
         self.floor[qs[last]] = np.maximum(self.floor[qs[last]], rows["score"].to_numpy()[last])
 
 
-def _column(data, name) -> pa.Array:
-    column = data.column(name)
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-
-
 def _run(scorer: Scorer, queries: pa.Table, batches, schema: pa.Schema, digits) -> pa.Table:
     """Best rows of a stream of document batches for a block of queries."""
+    queries = queries.combine_chunks()
     state = scorer.prepare(queries)
     ks = queries["k"].to_numpy().astype("int64")
+    filter_no = queries["filter_no"].to_numpy() if "filter_no" in queries.column_names else None
     best = _Best(ks, schema.field("id").type)
     step = max(1, SCORE_BLOCK // max(1, len(ks)))
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
-            scores = scorer.scores(state, part)
-            best.add(_column(part, "id"), scores if digits is None else np.round(scores, digits))
+            scores, ties = scorer.scores(state, part)
+            if digits is not None:
+                scores = np.round(scores, digits)
+            if filter_no is not None:
+                passes = part.column("passes").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                scores = np.where(passes[:, filter_no], scores, -np.inf)
+            best.add(part.column("id"), scores, ties)
     found = queries.select(["query_id", "k"]).take(best.rows["q"])
-    columns = [found["query_id"], best.rows["id"], best.rows["score"], found["k"]]
+    columns = [found["query_id"], best.rows["id"], best.rows["score"], best.rows["tie"], found["k"]]
     return pa.table(columns, names=schema.names).cast(schema)
 
 
@@ -110,10 +117,11 @@ def topk_join(
     max_broadcast: int = BROADCAST_QUERIES,
     cell_docs: int = CELL_DOCS,
 ) -> DataFrame:
-    """``query_id, id, score, rank`` with the best k documents per query.
+    """``query_id, id, score, tie, rank``: the best k documents per query.
 
     ``queries`` has ``query_id`` and ``k`` besides what the scorer reads;
-    ``docs`` has ``id``. ``bound`` gives the number of queries and of their
+    ``docs`` has ``id``. If queries have a ``filter_no``, they only see
+    documents whose ``passes`` array is true at that place. ``bound`` gives the number of queries and of their
     array elements (see :func:`query_bound`) and decides the layout.
     ``digits`` rounds scores before ranking, so that equal documents tie
     whatever the order of sums.
@@ -121,10 +129,21 @@ def topk_join(
     spark = docs.sparkSession
     id_type, query_type = docs.schema["id"].dataType, queries.schema["query_id"].dataType
     out = (
-        T.StructType().add("query_id", query_type).add("id", id_type).add("score", "double").add("k", "integer")
+        T.StructType()
+        .add("query_id", query_type)
+        .add("id", id_type)
+        .add("score", "double")
+        .add("tie", "double")
+        .add("k", "integer")
     )
     arrow = pa.schema(
-        [("query_id", _arrow(query_type)), ("id", _arrow(id_type)), ("score", pa.float64()), ("k", pa.int32())]
+        [
+            ("query_id", _arrow(query_type)),
+            ("id", _arrow(id_type)),
+            ("score", pa.float64()),
+            ("tie", pa.float64()),
+            ("k", pa.int32()),
+        ]
     )
     n_queries, n_cells = bound
     if n_queries <= max_broadcast and n_cells <= BROADCAST_CELLS:
@@ -148,11 +167,11 @@ def topk_join(
         def score_cell(query_block: pa.Table, doc_block: pa.Table) -> pa.Table:
             if query_block.num_rows == 0 or doc_block.num_rows == 0:
                 return arrow.empty_table()
-            return _run(scorer, query_block, [doc_block], arrow, digits)
+            return _run(scorer, query_block, doc_block.combine_chunks().to_batches(), arrow, digits)
 
         partial = left.groupBy("_q", "_d").cogroup(right.groupBy("_q", "_d")).applyInArrow(score_cell, out)
 
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("tie").desc(), "id")
     ranked = partial.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= F.col("k")).drop("k")
 

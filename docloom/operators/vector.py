@@ -15,7 +15,7 @@ from docloom.operators.topk_join import Scorer, query_bound, topk_join
 from docloom.schema import DEFAULT_LIMIT
 
 
-def _by_length(lists: pa.Array):
+def vectors_by_length(lists: pa.Array):
     """``(length, row numbers, matrix)`` for each vector length."""
     lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
     for length in np.unique(lengths):
@@ -24,11 +24,11 @@ def _by_length(lists: pa.Array):
         yield length, rows, values.astype("float64").reshape(len(rows), length)
 
 
-def _score_lists(metric: str, docs: pa.Array, queries: list) -> np.ndarray:
+def score_lists(metric: str, docs: pa.Array, queries: list) -> np.ndarray:
     n_queries = sum(len(rows) for _, rows, _ in queries)
     unequal = WORST_DISTANCE if metric == "euclidean" else 0.0
     out = np.full((len(docs), n_queries), unequal)
-    for length, rows, matrix in _by_length(docs):
+    for length, rows, matrix in vectors_by_length(docs):
         for query_length, columns, query_matrix in queries:
             if length == query_length:
                 out[np.ix_(rows, columns)] = score_block(metric, matrix, query_matrix)
@@ -43,7 +43,7 @@ def similarity_to(vector: list[float], metric="cosine", column="vector"):
     @F.arrow_udf("double")
     def score(vectors: pa.Array) -> pa.Array:
         wanted = [(len(query), np.array([0]), query[None, :])]
-        return pa.array(_score_lists(metric, vectors, wanted)[:, 0])
+        return pa.array(score_lists(metric, vectors, wanted)[:, 0])
 
     return score(F.col(column))
 
@@ -85,11 +85,10 @@ class VectorScorer(Scorer):
         self.metric = metric_name(metric)
 
     def prepare(self, queries):
-        return list(_by_length(queries["vector"].combine_chunks()))
+        return list(vectors_by_length(queries["vector"].chunk(0)))
 
     def scores(self, state, docs):
-        vectors = docs.column("vector")
-        return _score_lists(self.metric, vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors, state)
+        return score_lists(self.metric, docs.column("vector"), state), None
 
 
 def knn_join(
@@ -97,12 +96,16 @@ def knn_join(
 ) -> DataFrame:
     """The k nearest documents of every query vector.
 
-    ``queries``: ``query_id, vector``; ``docs``: ``id, vector``.
+    ``queries``: ``query_id, vector`` and optionally ``k`` and ``filter_no``;
+    ``docs``: ``id, vector``, and ``passes`` if ``filter_no`` is used.
     """
-    queries = queries.select("query_id", "vector", F.lit(int(k)).alias("k"))
-    docs = docs.select("id", "vector").where(F.size("vector") > 0)
+    if "k" not in queries.columns:
+        queries = queries.withColumn("k", F.lit(int(k)))
+    filtered = "filter_no" in queries.columns
+    queries = queries.select("query_id", "vector", "k", *(["filter_no"] if filtered else []))
+    docs = docs.where(F.size("vector") > 0).select("id", "vector", *(["passes"] if filtered else []))
     bound = query_bound(queries, F.size("vector"))
-    return topk_join(queries, docs, VectorScorer(metric), bound, digits, **layout)
+    return topk_join(queries, docs, VectorScorer(metric), bound, digits, **layout).drop("tie")
 
 
 def dimension_report(df: DataFrame, dim: int, column="vector") -> DataFrame:
