@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 METRICS = ("cosine", "euclidean", "dot")
 WORST_DISTANCE = -sys.float_info.max  # euclidean score of unequal lengths
@@ -62,13 +63,13 @@ def score_block(metric: str, docs: np.ndarray, queries: np.ndarray) -> np.ndarra
     return np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def vector_to_blob(vectors: pd.Series) -> pd.Series:
     """Float array -> little-endian 32-bit floats; NULL for no vector."""
     return vectors.map(lambda v: None if v is None or len(v) == 0 else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def blob_to_vector(blobs: pd.Series) -> pd.Series:
     """Inverse of :func:`vector_to_blob`; up to 3 trailing bytes are ignored."""
     return blobs.map(lambda b: None if b is None or len(b) == 0 else np.frombuffer(b, "<f4", count=len(b) // 4))

@@ -178,14 +178,10 @@ class Near(AllOf):
     def matches(self, view):
         # One pass over the occurrences in text order, remembering where each
         # leaf was seen last: linear in the occurrences, however frequent.
-        events = F.array_sort(
-            F.concat(
-                *(
-                    F.transform(view.starts(p), lambda at, n=n: F.struct(at.alias("at"), F.lit(n).alias("leaf")))
-                    for n, p in enumerate(self.parts)
-                )
-            )
-        )
+        def seen_at(n, leaf):
+            return F.transform(view.starts(leaf), lambda at: F.struct(at.alias("at"), F.lit(n).alias("leaf")))
+
+        events = F.array_sort(F.concat(*(seen_at(n, p) for n, p in enumerate(self.parts))))
         reach = [len(p.words) + self.distance for p in self.parts]
         never = F.lit(-(2**30))
         start = F.struct(*(never.alias(f"p{n}") for n in range(len(reach))), F.lit(False).alias("hit"))
