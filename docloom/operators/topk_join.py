@@ -88,7 +88,9 @@ def _run(scorer: Scorer, queries: pa.Table, batches, schema: pa.Schema, digits)
             part = batch.slice(at, step)
             scores, ties = scorer.scores(state, part)
             if digits is not None:
-                scores = np.round(scores, digits)
+                with np.errstate(over="ignore"):  # the score of unequal lengths stays as it is
+                    near = np.round(scores, digits)
+                scores = np.where(np.isinf(near), scores, near)
             if filter_no is not None:
                 passes = part.column("passes").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 scores = np.where(passes[:, filter_no], scores, -np.inf)
