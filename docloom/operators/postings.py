@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.filters import filter_column
 from docloom.functions.text import with_tokens
 from docloom.operators.fulltext import best, bm25, idf, with_stats
 from docloom.operators.match import Leaf, Match, Near, PostingsView
@@ -119,8 +120,8 @@ class TextIndex:
                 "_split": F.pmod(F.xxhash64("id"), F.lit(splits)),
             }
         )
-        tasks = max(1, min(buckets * splits, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        placed = placed.repartition(tasks, "bucket", "_split").sortWithinPartitions("bucket", "term", "id").drop("_split")
+        placed = placed.repartition(buckets * splits, "bucket", "_split").drop("_split")
+        placed = placed.sortWithinPartitions("bucket", "term", "id")
         placed.write.partitionBy("bucket").parquet(f"{path}/postings")
         self.lengths.write.parquet(f"{path}/lengths")
         stored = spark.read.parquet(f"{path}/lengths")
@@ -164,27 +165,37 @@ class TextIndex:
         return self.postings.where(wanted)
 
     def _by_document(self, match: Match):
-        """One row per document with the words asked for, and its view."""
+        """One row per document with the words asked for; its view; and the
+        document frequency of each leaf as one row."""
         leaves = match.all_leaves()
         rows = self.lookup(leaves)
-        if _single_words(match):
-            keys = list(dict.fromkeys((leaf.words[0], leaf.prefix) for leaf in leaves))
-            columns = {key: f"_n{i}" for i, key in enumerate(keys)}
-            hit = {key: F.col("term").startswith(key[0]) if key[1] else F.col("term") == key[0] for key in keys}
-            if len(keys) == 1 and not keys[0][1]:  # a posting is a document: no grouping
-                return rows.select("id", "length", F.col("tf").alias("_n0")), _CountView(columns)
-            counts = [F.sum(F.when(hit[key], F.col("tf")).otherwise(0)).alias(columns[key]) for key in keys]
-            return rows.groupBy("id").agg(F.max("length").alias("length"), *counts), _CountView(columns)
-        words = F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("_words")
-        return rows.groupBy("id").agg(F.max("length").alias("length"), words), PostingsView("_words")
+        if not _single_words(match):
+            words = F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("_words")
+            documents = rows.groupBy("id").agg(F.max("length").alias("length"), words)
+            return documents, PostingsView("_words"), self._frequencies(documents, PostingsView("_words"), match)
+        keys = list(dict.fromkeys((leaf.words[0], leaf.prefix) for leaf in leaves))
+        view = _CountView({key: f"_n{i}" for i, key in enumerate(keys)})
+        hit = {key: F.col("term").startswith(key[0]) if key[1] else F.col("term") == key[0] for key in keys}
+        if len(keys) == 1 and not keys[0][1]:  # a posting is a document: no grouping
+            documents = rows.select("id", "length", F.col("tf").alias("_n0"))
+            return documents, view, self._frequencies(documents, view, match)
+        counts = [F.sum(F.when(hit[key], F.col("tf")).otherwise(0)).alias(view.columns[key]) for key in keys]
+        documents = rows.groupBy("id").agg(F.max("length").alias("length"), *counts)
+        if any(key[1] for key in keys):
+            return documents, view, self._frequencies(documents, view, match)
+        # one posting per document: words are counted without grouping
+        exact = [F.count_if(hit[leaf.words[0], False]).cast("double") for leaf in match.leaves()]
+        return documents, view, rows.agg(*(n.alias(f"df_{i}") for i, n in enumerate(exact)))
+
+    @staticmethod
+    def _frequencies(documents: DataFrame, view, match: Match) -> DataFrame:
+        counts = [F.count_if(view.has(leaf)).cast("double") for leaf in match.leaves()]
+        return documents.agg(*(n.alias(f"df_{i}") for i, n in enumerate(counts)))
 
     def score(self, match: Match) -> DataFrame:
         """``id, score`` of every matching document."""
         leaves = match.leaves()
-        documents, view = self._by_document(match)
-        frequencies = documents.agg(
-            *(F.count_if(view.has(leaf)).cast("double").alias(f"df_{n}") for n, leaf in enumerate(leaves))
-        )
+        documents, view, frequencies = self._by_document(match)
         n_docs, n_tokens = F.col("_total.n_docs"), F.col("_total.n_tokens")
         stats = with_stats(frequencies, self.totals, "_total").select(
             (n_tokens / n_docs).alias("mean_length"),
@@ -201,7 +212,5 @@ class TextIndex:
 
     def search_filtered(self, match: Match, docs: DataFrame, k: int | None = None, filters: dict | None = None) -> DataFrame:
         """As ``search`` over the documents that pass the filters."""
-        from docloom.functions.filters import filter_column
-
         allowed = docs.where(filter_column(filters)).select("id")
         return best(self.score(match).join(allowed, "id", "left_semi"), clamp_limit(k))

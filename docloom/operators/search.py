@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -74,30 +75,32 @@ def search_requests(
     each becomes one boolean per document.
     """
     asked = accepted_requests(requests)
-    present = asked.select("type", "filters").distinct().orderBy("filters", "type").collect()
-    filters = sorted({row["filters"] for row in present})
-    spark, hits = docs.sparkSession, None
+    present = [(r["type"], r["filters"]) for r in asked.select("type", "filters").distinct().collect()]
+    filters = sorted({f for _, f in present})
+    parts = [asked.select("query_id", F.lit("").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)]
     for at in range(0, len(filters), FILTERS_PER_PASS):
         chunk = filters[at : at + FILTERS_PER_PASS]
-        numbered = spark.createDataFrame(list(enumerate(chunk)), "filter_no int, filters string")
+        kinds = {kind for kind, f in present if f in chunk}
+        numbered = docs.sparkSession.createDataFrame(list(enumerate(chunk)), "filter_no int, filters string")
         numbered = asked.join(F.broadcast(numbered), "filters").drop("filters")
         visible = docs.withColumn("passes", F.array(*(filter_column(json.loads(f)) for f in chunk)))
         visible = visible.withColumn("vector", F.when(F.col("is_embedded"), F.col("vector")))
-        for kind in sorted({row["type"] for row in present if row["filters"] in chunk}):
-            part = numbered.where(F.col("type") == kind).drop("type")
-            if kind != "fulltext":
-                part = embed_column(part, embedder, text="query")
-            if kind == "vector":
-                found = knn_join(part, visible, digits=digits, **layout)
-            elif kind == "fulltext":
-                found = search_text_batch(part, visible, every_word=every_word, digits=digits, **layout)
-            else:
-                found = search_hybrid_batch(part, visible, every_word=every_word, digits=digits, **layout)
-            found = found.select("query_id", F.lit(kind).alias("type"), "id", "score", "rank")
-            hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = asked.select("query_id", "type", F.lit("").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    return hits
+        by_type = {kind: numbered.where(F.col("type") == kind).drop("type") for kind in kinds}
+        for kind in kinds & {"vector", "hybrid"}:
+            by_type[kind] = embed_column(by_type[kind], embedder, text="query")
+        if "vector" in kinds:
+            parts.append(knn_join(by_type["vector"], visible, digits=digits, **layout))
+        options = {"every_word": every_word, "digits": digits, **layout}
+        if "hybrid" in kinds:
+            both = by_type["hybrid"].withColumn("by_vector", F.lit(True))
+            if "fulltext" in kinds:
+                plain = by_type["fulltext"].withColumn("by_vector", F.lit(False))
+                both = both.unionByName(plain, allowMissingColumns=True)
+            parts.append(search_hybrid_batch(both, visible, **options).drop("text_score"))
+        elif "fulltext" in kinds:
+            parts.append(search_text_batch(by_type["fulltext"], visible, **options))
+    hits = reduce(DataFrame.unionByName, parts)
+    return hits.join(asked.select("query_id", "type"), "query_id").select("query_id", "type", "id", "score", "rank")
 
 
 def responses(requests: DataFrame, hits: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens, with_tokens
 from docloom.operators.fulltext import B, K1, idf
-from docloom.operators.topk_join import BROADCAST_CELLS, Scorer, query_bound, topk_join
+from docloom.operators.topk_join import BROADCAST_CELLS, Scorer, size_of, topk_join
 from docloom.operators.vector import score_lists, vectors_by_length
 from docloom.schema import DEFAULT_LIMIT
 
@@ -78,13 +78,15 @@ class TextScorer(Scorer):
 class HybridScorer(TextScorer):
     """Text matches in the order of their vectors: cosine first, then BM25.
 
-    Matches without a vector come last. Both sides also have ``vector``.
+    Matches without a vector come last. Both sides also have ``vector``. A
+    query with a false ``by_vector`` is a plain text query.
     """
 
     NO_VECTOR = -2.0  # below every cosine
 
     def prepare(self, queries):
-        return {**super().prepare(queries), "vectors": list(vectors_by_length(queries["vector"].chunk(0)))}
+        vectors = list(vectors_by_length(queries["vector"].chunk(0)))
+        return {**super().prepare(queries), "vectors": vectors, "by_vector": queries["by_vector"].to_numpy()}
 
     def scores(self, state, docs):
         total, keep = self.totals(state, docs.column("tokens"))
@@ -92,7 +94,8 @@ class HybridScorer(TextScorer):
         cosine = score_lists("cosine", vectors, state["vectors"])
         has_vector = pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False) > 0
         cosine = np.where(has_vector[:, None], cosine, self.NO_VECTOR)
-        return np.where(keep, cosine, -np.inf), total
+        first = np.where(state["by_vector"], cosine, total)
+        return np.where(keep, first, -np.inf), np.where(state["by_vector"], total, 0.0)
 
 
 def weigh_queries(queries: DataFrame, tokenized: DataFrame, broadcast_words: bool) -> DataFrame:
@@ -140,7 +143,7 @@ def _prepared(queries: DataFrame, docs: DataFrame, text: str, k: int, every_word
         if name not in queries.columns:
             queries = queries.withColumn(name, default)
     tokenized = with_tokens(docs, text).drop(text)
-    bound = query_bound(queries, F.size(tokens("query")))
+    bound = size_of(queries, F.size(tokens("query")))
     weighted = weigh_queries(queries, tokenized.select("tokens"), broadcast_words=bound[1] <= BROADCAST_CELLS)
     return weighted.join(queries.drop("query"), "query_id"), tokenized, bound
 
@@ -163,7 +166,7 @@ def search_text_batch(
     """
     docs = docs.select("id", text, *(["passes"] if "filter_no" in queries.columns else []))
     ready, tokenized, bound = _prepared(queries, docs, text, k, every_word)
-    hits = topk_join(ready, tokenized, TextScorer(), bound, digits, **layout)
+    hits = topk_join(ready, tokenized, TextScorer(), bound, F.size("tokens"), digits, **layout)
     return hits.drop("tie").withColumn("score", -F.col("score"))
 
 
@@ -179,10 +182,24 @@ def search_hybrid_batch(
     """Text matches re-ranked by vector: ``query_id, id, score, text_score,
     rank``. As :func:`search_text_batch`, with a ``vector`` on both sides;
     every match is a candidate. ``score`` is NULL for matches without vector.
+
+    Queries may have ``by_vector``; where it is false the query is answered
+    as by :func:`search_text_batch` and both scores are the text score, so
+    that text and hybrid queries share the passes over the documents.
     """
+    if "by_vector" not in queries.columns:
+        queries = queries.withColumn("by_vector", F.lit(True))
     docs = docs.select("id", text, "vector", *(["passes"] if "filter_no" in queries.columns else []))
     ready, tokenized, (n_queries, n_words) = _prepared(queries, docs, text, k, every_word)
-    n_cells = n_words + query_bound(queries, F.size("vector"))[1]
-    hits = topk_join(ready, tokenized, HybridScorer(), (n_queries, n_cells), digits, **layout)
-    score = F.when(F.col("score") > HybridScorer.NO_VECTOR, F.col("score"))
-    return hits.select("query_id", "id", score.alias("score"), (-F.col("tie")).alias("text_score"), "rank")
+    bound = n_queries, n_words + size_of(queries, F.size("vector"))[1]
+    doc_size = F.size("tokens") + F.greatest(F.size("vector"), F.lit(0))
+    hits = topk_join(ready, tokenized, HybridScorer(), bound, doc_size, digits, **layout)
+    hits = hits.join(queries.select("query_id", "by_vector"), "query_id")
+    cosine = F.when(F.col("score") > HybridScorer.NO_VECTOR, F.col("score"))
+    return hits.select(
+        "query_id",
+        "id",
+        F.when(F.col("by_vector"), cosine).otherwise(-F.col("score")).alias("score"),
+        F.when(F.col("by_vector"), -F.col("tie")).otherwise(-F.col("score")).alias("text_score"),
+        "rank",
+    )

@@ -15,6 +15,8 @@ Two layouts give the same result:
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,7 +27,8 @@ from pyspark.sql import types as T
 
 BROADCAST_QUERIES = 4096  # rows
 BROADCAST_CELLS = 16_000_000  # array elements over all query rows
-CELL_DOCS = 32_768  # documents of one co-group
+CELL_QUERIES = 32_768  # queries of one co-group
+CELL_ELEMENTS = 32_000_000  # array elements of either side of one co-group
 SCORE_BLOCK = 4_000_000  # scores computed at a time
 
 
@@ -104,10 +107,10 @@ def _blocks(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
 
 
-def query_bound(queries: DataFrame, size_of) -> tuple[int, int]:
-    """Counted size of the query side: rows and array elements."""
-    n_queries, n_cells = queries.agg(F.count("*"), F.sum(size_of)).first()
-    return n_queries, n_cells or 0
+def size_of(df: DataFrame, elements) -> tuple[int, int]:
+    """Counted size of one side: rows and array elements."""
+    n_rows, n_elements = df.agg(F.count("*"), F.sum(elements)).first()
+    return n_rows, n_elements or 0
 
 
 def topk_join(
@@ -115,16 +118,20 @@ def topk_join(
     docs: DataFrame,
     scorer: Scorer,
     bound: tuple[int, int],
+    doc_size,
     digits: int | None = None,
     max_broadcast: int = BROADCAST_QUERIES,
-    cell_docs: int = CELL_DOCS,
+    cell_queries: int = CELL_QUERIES,
+    cell_elements: int = CELL_ELEMENTS,
 ) -> DataFrame:
     """``query_id, id, score, tie, rank``: the best k documents per query.
 
     ``queries`` has ``query_id`` and ``k`` besides what the scorer reads;
     ``docs`` has ``id``. If queries have a ``filter_no``, they only see
-    documents whose ``passes`` array is true at that place. ``bound`` gives the number of queries and of their
-    array elements (see :func:`query_bound`) and decides the layout.
+    documents whose ``passes`` array is true at that place. ``bound`` gives
+    the number of queries and of their array elements (see :func:`size_of`)
+    and decides the layout; ``doc_size``, a column with the array elements of
+    a document, sizes the cells of the second layout.
     ``digits`` rounds scores before ranking, so that equal documents tie
     whatever the order of sums.
     """
@@ -158,9 +165,10 @@ def topk_join(
 
         partial = docs.mapInArrow(score_partition, out)
     else:
-        n_docs = docs.count()
-        q_blocks = -(-max(n_queries * BROADCAST_CELLS, n_cells * max_broadcast) // (max_broadcast * BROADCAST_CELLS))
-        d_blocks = max(1, -(-n_docs // cell_docs))
+        n_docs, n_elements = size_of(docs, doc_size)
+        # empty arrays take space too: count one element per document
+        d_blocks = max(1, math.ceil((n_docs + n_elements) / cell_elements))
+        q_blocks = max(1, math.ceil(n_queries / cell_queries), math.ceil(n_cells / cell_elements))
         left = _blocks(queries, "query_id", q_blocks).withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))))
         left = left.withColumnsRenamed({"_block": "_q", "_cell": "_d"})
         right = _blocks(docs, "id", d_blocks).withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))

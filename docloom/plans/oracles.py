@@ -95,6 +95,7 @@ SQL["fulltext_filtered"] = (
     f"WITH {bm25(TOP_WORDS, has_any(TOP_WORDS) + ' AND id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1)')} "
     + _TOP.format(score=rounded("score"), k=20)
 )
+SQL["filtered_postings"] = SQL["fulltext_filtered"]
 
 
 def word_scores(queries):

@@ -122,6 +122,14 @@ def fulltext_postings(spark, sf_dir):
     return hits.select("id", _score(), "rank")
 
 
+@query
+def filtered_postings(spark, sf_dir):
+    docs = collection(spark, sf_dir, with_vectors=False)
+    index = _stored_index(spark, sf_dir)
+    hits = index.search_filtered(match.any_of(*TOP_WORDS), docs, 20, {"tag": "hq", "labeled": True})
+    return hits.select("id", _score(), "rank")
+
+
 @query
 def phrase_postings(spark, sf_dir):
     condition = match.phrase("the", "of") & match.prefix("estio")

@@ -94,7 +94,8 @@ class Collection:
         split = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(self.files_per_bucket))
         rows = transform(current).withColumn("bucket", self.bucket_of())
         # an uncommitted leftover of a failed try is overwritten
-        rows.repartition("bucket", split).write.mode("overwrite").partitionBy("bucket").parquet(data)
+        files = max(1, len(touched) * self.files_per_bucket)
+        rows.repartition(files, "bucket", split).write.mode("overwrite").partitionBy("bucket").parquet(data)
         filled = {r[0] for r in self.spark.read.schema("bucket int").parquet(data).distinct().collect()}
         places = {**places, **{b: version if b in filled else None for b in touched}}
         commit = [(b, v, note) for b, v in sorted(places.items())] or [(0, None, note)]

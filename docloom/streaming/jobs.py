@@ -20,32 +20,30 @@ def _trigger(writer, once: bool):
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TICK)
 
 
-def stream_upserts(
-    records: DataFrame,
-    target: Collection,
-    checkpoint: str,
-    embedder=None,
-    embed: str = "sync",
-    order: str | None = None,
-    as_of=None,
-    once: bool = False,
-) -> StreamingQuery:
+def store_batch(
+    batch: DataFrame, target: Collection, note: str, embedder=None, embed="sync", order: str | None = None, as_of=None
+) -> None:
+    """Store ingest records once: a batch whose note is already committed,
+    because it is delivered again after a failure, is skipped."""
+    if target.has_commit(note):
+        return
+    # written first: ids drawn at random and vectors must be the same in
+    # every pass over the batch
+    staged = shared_dir(target.spark, "batch")
+    to_documents(batch, embedder, embed, as_of, order).write.parquet(staged)
+    target.upsert(target.spark.read.parquet(staged), as_of, note=note)
+
+
+def stream_upserts(records: DataFrame, target: Collection, checkpoint: str, once: bool = False, **options) -> StreamingQuery:
     """Store a stream of ingest records in a collection.
 
-    A micro-batch delivered again after a failure is recognised by its number
-    and not applied twice.
+    ``options`` are those of :func:`store_batch`.
     """
 
-    def apply(batch: DataFrame, number: int):
-        note = f"{checkpoint}#{number}"
-        if not target.has_commit(note):
-            # written first: ids drawn at random must be the same in every
-            # pass over the batch
-            staged = shared_dir(target.spark, "batch")
-            to_documents(batch, embedder, embed, as_of, order).write.parquet(staged)
-            target.upsert(target.spark.read.parquet(staged), as_of, note=note)
+    def store(batch: DataFrame, number: int):
+        store_batch(batch, target, f"{checkpoint}#{number}", **options)
 
-    writer = records.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = records.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return _trigger(writer, once).start()
 
 

@@ -10,7 +10,7 @@ from docloom.operators.match import any_of
 from docloom.session import shared_dir
 from docloom.sources import ingest
 from docloom.sources.collection import Collection
-from docloom.streaming.jobs import run_backfill, stream_backfill, stream_upserts
+from docloom.streaming.jobs import run_backfill, store_batch, stream_backfill, stream_upserts
 
 DAY1 = "2025-01-01 00:00:00"
 
@@ -83,7 +83,7 @@ REQUESTS = [
 ]
 
 
-@pytest.mark.parametrize("layout", [{}, {"max_broadcast": 0, "cell_docs": 2}])
+@pytest.mark.parametrize("layout", [{}, {"max_broadcast": 0, "cell_queries": 2, "cell_elements": 4}])
 def test_requests(spark, docs, layout):
     requests = spark.createDataFrame(REQUESTS, "query_id string, query string, type string, limit int, filters string")
     hits = search.search_requests(docs, requests, BatchEmbedder(towards_plum, 2), digits=9, **layout)
@@ -145,8 +145,16 @@ def test_stream_upserts_and_backfill(spark):
 
 def test_redelivered_batch_is_applied_once(spark):
     stored = Collection(spark, shared_dir(spark, "store"), "db", "t", buckets=2)
-    batch = spark.createDataFrame([("a", "one")], "id string, content string")
-    stored.upsert(batch, DAY1, note="s#0")
-    version = stored._commit()[0]
-    path, progress = shared_dir(spark, "in"), "unused"
-    assert stored.has_commit("s#0") and version == 1 and path and progress
+    batch = spark.createDataFrame([(None, "one"), ("a", "two")], "id string, content string")
+    for _ in range(2):
+        store_batch(batch, stored, "s#0", as_of=DAY1)
+    assert sorted(r["content"] for r in stored.read().collect()) == ["one", "two"]
+    store_batch(batch, stored, "s#1", as_of=DAY1)
+    assert sorted(r["content"] for r in stored.read().collect()) == ["one", "one", "two"]
+
+
+def test_order_within_a_batch(spark):
+    stored = Collection(spark, shared_dir(spark, "store"), "db", "t", buckets=2)
+    batch = spark.createDataFrame([("a", "last", 2), ("a", "first", 1)], "id string, content string, n int")
+    store_batch(batch, stored, "s#0", order="n", as_of=DAY1)
+    assert [r["content"] for r in stored.read().collect()] == ["last"]

@@ -163,7 +163,7 @@ def test_no_word():
 
 
 @pytest.mark.parametrize("every_word", [False, True])
-@pytest.mark.parametrize("layout", [{}, {"max_broadcast": 1, "cell_docs": 7}])
+@pytest.mark.parametrize("layout", [{}, {"max_broadcast": 1, "cell_queries": 2, "cell_elements": 90}])
 def test_batch(spark, corpus, every_word, layout):
     queries = {"q1": "dog mat", "q2": "cat Cat sat", "q3": "zebra", "q4": "...", "q5": "the the the cat mat dog ran"}
     asked = spark.createDataFrame(list(queries.items()), "query_id string, query string")

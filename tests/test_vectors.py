@@ -56,7 +56,7 @@ def table(spark):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
-@pytest.mark.parametrize("layout", [{}, {"max_broadcast": 30, "cell_docs": 60}])
+@pytest.mark.parametrize("layout", [{}, {"max_broadcast": 30, "cell_queries": 70, "cell_elements": 300}])
 def test_knn_join(table, metric, layout):
     queries = table.select(F.col("id").alias("query_id"), "vector")
     found = knn_join(queries, table, 6, metric, digits=6, **layout).collect()
