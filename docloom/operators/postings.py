@@ -114,13 +114,10 @@ class TextIndex:
         """Store under a new path: ``buckets`` directories by word, each in
         ``splits`` files by document. Returns the stored index."""
         spark = self.postings.sparkSession
-        placed = self.postings.withColumns(
-            {
-                "bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"),
-                "_split": F.pmod(F.xxhash64("id"), F.lit(splits)),
-            }
-        )
-        placed = placed.repartition(buckets * splits, "bucket", "_split").drop("_split")
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        split = F.pmod(F.xxhash64("id"), F.lit(splits)).cast("int")
+        placed = self.postings.withColumn("bucket", bucket)
+        placed = placed.repartitionById(buckets * splits, F.col("bucket") * splits + split)
         placed = placed.sortWithinPartitions("bucket", "term", "id")
         placed.write.partitionBy("bucket").parquet(f"{path}/postings")
         self.lengths.write.parquet(f"{path}/lengths")
