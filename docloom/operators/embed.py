@@ -87,10 +87,16 @@ def backfill_cycle(docs: DataFrame, embedder, n: int | None = CYCLE_SIZE) -> Dat
     returned as ``db, table, id, vector``, the others stay pending. With
     ``n=None`` all pending documents are done.
     """
-    queue = docs.where(~F.col("is_embedded")).select("db", "table", "id", "content", "created_at")
+    keys = ["db", "table", "id", *(["bucket"] if "bucket" in docs.columns else [])]
+    queue = docs.where(~F.col("is_embedded"))
     if n is not None:
+        # ranked without the texts; n rows per table are then few enough to
+        # broadcast, and their buckets prune the directories to read
         oldest = W.partitionBy("db", "table").orderBy("created_at", "id")
-        queue = queue.withColumn("_place", F.row_number().over(oldest)).where(F.col("_place") <= n).drop("_place")
+        place = F.row_number().over(oldest).alias("place")
+        chosen = queue.select(*keys, "created_at", place).where(F.col("place") <= n).drop("place", "created_at")
+        queue = queue.join(F.broadcast(chosen), keys)
+    queue = queue.select("db", "table", "id", "content", "created_at")
     done = embed_column(queue, embedder).where(F.col("vector").isNotNull())
     if n is not None:
         done = done.orderBy("db", "table", "created_at", "id").limit(n)

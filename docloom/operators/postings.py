@@ -8,6 +8,8 @@ and a search opens only the files of its words.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,6 +23,8 @@ from docloom.operators.match import Leaf, Match, Near, PostingsView
 from docloom.schema import clamp_limit
 
 TOKEN_BLOCK = 2_000_000  # tokens grouped at a time inside a task
+FILE_ROWS = 4_000_000  # postings aimed at per stored file
+MIN_BUCKETS = 16
 
 POSTINGS_DDL = "term string, id string, tf int, length int, positions array<int>"
 
@@ -110,20 +114,27 @@ class TextIndex:
     def build(cls, df: DataFrame, text="content") -> TextIndex:
         return cls(build_postings(df, text), document_lengths(df, text))
 
-    def write(self, path: str, buckets: int = 64, splits: int = 8) -> TextIndex:
+    def write(self, path: str, buckets: int | None = None, splits: int | None = None) -> TextIndex:
         """Store under a new path: ``buckets`` directories by word, each in
-        ``splits`` files by document. Returns the stored index."""
+        ``splits`` files by document. Returns the stored index.
+
+        The defaults follow from the counts: a word has at most one posting
+        per document, so even a word of every document stays within
+        ``FILE_ROWS`` rows per file.
+        """
         spark = self.postings.sparkSession
+        self.lengths.write.parquet(f"{path}/lengths")
+        totals = TextIndex(self.postings, spark.read.parquet(f"{path}/lengths")).totals.first()
+        splits = splits or max(1, math.ceil(totals["n_docs"] / FILE_ROWS))
+        buckets = buckets or max(MIN_BUCKETS, math.ceil((totals["n_tokens"] or 0) / (splits * FILE_ROWS)))
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
         split = F.pmod(F.xxhash64("id"), F.lit(splits)).cast("int")
         placed = self.postings.withColumn("bucket", bucket)
         placed = placed.repartitionById(buckets * splits, F.col("bucket") * splits + split)
         placed = placed.sortWithinPartitions("bucket", "term", "id")
         placed.write.partitionBy("bucket").parquet(f"{path}/postings")
-        self.lengths.write.parquet(f"{path}/lengths")
-        stored = spark.read.parquet(f"{path}/lengths")
-        totals = TextIndex(self.postings, stored).totals.withColumn("buckets", F.lit(buckets))
-        totals.coalesce(1).write.parquet(f"{path}/totals")
+        row = [(totals["n_docs"], totals["n_tokens"], buckets)]
+        spark.createDataFrame(row, "n_docs double, n_tokens long, buckets int").coalesce(1).write.parquet(f"{path}/totals")
         return TextIndex.read(spark, path)
 
     @classmethod

@@ -78,6 +78,12 @@ class _Best:
         self.floor[qs[last]] = np.maximum(self.floor[qs[last]], rows["score"].to_numpy()[last])
 
 
+def _rounded(scores: np.ndarray, digits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):  # the score of unequal lengths stays as it is
+        near = np.round(scores, digits)
+    return np.where(np.isinf(near), scores, near)
+
+
 def _run(scorer: Scorer, queries: pa.Table, batches, schema: pa.Schema, digits) -> pa.Table:
     """Best rows of a stream of document batches for a block of queries."""
     queries = queries.combine_chunks()
@@ -91,9 +97,8 @@ def _run(scorer: Scorer, queries: pa.Table, batches, schema: pa.Schema, digits)
             part = batch.slice(at, step)
             scores, ties = scorer.scores(state, part)
             if digits is not None:
-                with np.errstate(over="ignore"):  # the score of unequal lengths stays as it is
-                    near = np.round(scores, digits)
-                scores = np.where(np.isinf(near), scores, near)
+                scores = _rounded(scores, digits)
+                ties = ties if ties is None else _rounded(ties, digits)
             if filter_no is not None:
                 passes = part.column("passes").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 scores = np.where(passes[:, filter_no], scores, -np.inf)

@@ -259,7 +259,7 @@ ANSWERS = f"""{word_scores(_OPEN)}, {DOCS},
   WHERE n_found = n_words AND type IN ('fulltext', 'hybrid') AND (NOT english OR c.lang = 'en')),
  ranked AS (SELECT query_id, type, k, id, CASE type WHEN 'hybrid' THEN cosine ELSE -total END AS score,
     row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC NULLS LAST,
-      CASE type WHEN 'hybrid' THEN total ELSE round(total, 9) END DESC, id) AS rank FROM text_hit),
+      round(total, 9) DESC, id) AS rank FROM text_hit),
  vector_hit AS (SELECT query_id, type, k, id, round({COSINE.format('CAST(vector AS DOUBLE[])', STUB)}, 9) AS score
   FROM q, c WHERE type = 'vector' AND is_embedded AND (NOT english OR c.lang = 'en')),
  answers AS (SELECT query_id, type, id, score, rank FROM ranked WHERE rank <= k

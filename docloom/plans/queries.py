@@ -113,7 +113,7 @@ def postings_build(spark, sf_dir):
 
 
 def _stored_index(spark, sf_dir):
-    return postings.TextIndex.build(texts(spark, sf_dir)).write(shared_dir(spark, "index"), buckets=8, splits=2)
+    return postings.TextIndex.build(texts(spark, sf_dir)).write(shared_dir(spark, "index"))
 
 
 @query

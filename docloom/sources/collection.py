@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import mutate
 from docloom.operators.listing import storage_size
+from docloom.operators.postings import TextIndex
 from docloom.schema import DOCUMENT_COLUMNS, DOCUMENT_SCHEMA
 
 _COMMIT = "bucket int, data_version int, note string, version int"
@@ -43,11 +44,11 @@ class Collection:
                 return self.spark.createDataFrame([], _COMMIT)
             raise
 
-    def _commit(self) -> tuple[int, dict[int, int]]:
-        """Newest version, and which data version holds each filled bucket
-        (one row per bucket, so bounded)."""
+    def _commit(self, version: int | None = None) -> tuple[int, dict[int, int]]:
+        """A version (default: the newest), and which data version holds each
+        filled bucket in it (one row per bucket, so bounded)."""
         log = self._log()
-        newest = log.agg(F.max("version")).first()[0] or 0
+        newest = version if version is not None else log.agg(F.max("version")).first()[0] or 0
         rows = log.where((F.col("version") == newest) & F.col("data_version").isNotNull()).collect()
         return newest, {r["bucket"]: r["data_version"] for r in rows}
 
@@ -64,8 +65,8 @@ class Collection:
         return self._read(self._commit()[1])
 
     def documents(self) -> DataFrame:
-        """Current documents with their ``db`` and ``table``."""
-        return self.read().drop("bucket").withColumns({"db": F.lit(self.db), "table": F.lit(self.table)})
+        """Current documents with their ``db``, ``table`` and ``bucket``."""
+        return self.read().withColumns({"db": F.lit(self.db), "table": F.lit(self.table)})
 
     def get(self, *ids: str) -> DataFrame:
         """Documents by id, reading only their buckets."""
@@ -73,6 +74,22 @@ class Collection:
         docs = self.read().where(F.col("bucket").isin(wanted) & F.col("id").isin(list(ids)))
         return docs.drop("bucket")
 
+    def version(self) -> int:
+        """Number of the newest commit."""
+        return self._commit()[0]
+
+    def refresh_index(self, index: TextIndex, since: int) -> TextIndex:
+        """Bring a text index of version ``since`` up to date.
+
+        Only buckets written after that version are tokenized again; what
+        they held before is dropped from the index.
+        """
+        now = self._commit()[1]
+        before = self._commit(since)[1]
+        changed = self._read({b: v for b, v in now.items() if v > since})
+        touched = {b: v for b, v in before.items() if now.get(b, since + 1) > since}
+        return index.update(changed.select("id", "content"), self._read(touched).select("id"))
+
     def size_bytes(self) -> DataFrame:
         return storage_size(self.spark, f"{self.path}/data")
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from docloom.operators import listing, mutate
 from docloom.operators.embed import StubEmbedder
-from docloom.operators.fulltext import search_text
+from docloom.operators.fulltext import score_text, search_text
 from docloom.operators.match import term
+from docloom.operators.postings import TextIndex
 from docloom.schema import DOCUMENT_COLUMNS
 from docloom.session import shared_dir
 from docloom.sources import ingest
@@ -132,7 +133,7 @@ def test_databases(spark):
 
 def test_stored_collection(spark, current):
     stored = Collection(spark, shared_dir(spark, "store"), "db", "t", buckets=3, files_per_bucket=2)
-    assert stored.read().count() == 0 and stored.documents().columns[-2:] == ["db", "table"]
+    assert stored.read().count() == 0 and stored.documents().columns[-3:] == ["bucket", "db", "table"]
     stored.upsert(current.select("id", "content", "vector", "tags"), DAY1, note="n1")
     assert by_id(stored.read().drop("bucket")) == by_id(current)
     assert stored.has_commit("n1") and not stored.has_commit("n2")
@@ -151,6 +152,21 @@ def test_stored_collection(spark, current):
     assert stored.size_bytes().first()[0] > 0
 
 
+def test_index_refresh(spark):
+    stored = Collection(spark, shared_dir(spark, "store"), "db", "t", buckets=4)
+    words = [(f"d{n}", f"word{n} common") for n in range(12)]
+    stored.upsert(spark.createDataFrame(words, "id string, content string"), DAY1)
+    index, since = TextIndex.build(stored.read()).write(shared_dir(spark, "index")), stored.version()
+    stored.upsert(spark.createDataFrame([("d1", "changed common"), ("new", "word3")], "id string, content string"), DAY2)
+    stored.delete(spark.createDataFrame([("d5",), ("d6",)], "id string"))
+    fresh = stored.refresh_index(index, since)
+    for word in ("common", "word1", "word3", "word5", "changed"):
+        expected = {(r["id"], round(r["score"], 9)) for r in score_text(stored.read(), term(word)).collect()}
+        assert {(r["id"], round(r["score"], 9)) for r in fresh.score(term(word)).collect()} == expected
+    stored.delete(stored.read().select("id"))
+    assert stored.refresh_index(index, since).postings.count() == 0
+
+
 def test_failed_change_leaves_collection(spark, current):
     stored = Collection(spark, shared_dir(spark, "store"), "db", "t", buckets=3)
     stored.upsert(current.select("id", "content"), DAY1)
