@@ -15,6 +15,7 @@ from docloom.functions.filters import filter_column
 from docloom.functions.text import with_tokens
 from docloom.operators.match import Match, TokenView
 from docloom.schema import clamp_limit
+from docloom.session import shared_dir
 
 # The two free parameters of BM25 and the weight of a word that
 # occurs in more than half of the documents.
@@ -90,9 +91,31 @@ def score_text(df: DataFrame, match: Match, filters: dict | None = None, text="c
     return with_stats(hits, stats).withColumn("score", score).drop("_tokens", "_stats")
 
 
+def rank_all(scored: DataFrame, order: list[Column]) -> DataFrame:
+    """Number all rows in order, without bringing them into one task.
+
+    The sorted rows are written to the shared folder with their place in
+    their partition; adding the sizes of the partitions before gives the rank.
+    """
+    spark = scored.sparkSession
+    path = shared_dir(spark, "ranked")
+    scored.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.schema(scored.schema.add("_place", "long")).parquet(path)
+    part = F.shiftright("_place", 33)  # the lower 33 bits count rows in a partition
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    # one row per partition of the sort
+    before = F.sum("_size").over(W.orderBy("_part")) - F.col("_size")
+    placed = rows.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    rank = F.col("_place").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1
+    return placed.withColumn("rank", rank).drop("_part", "_place", "_before")
+
+
 def best(scored: DataFrame, k: int, id="id", descending=False) -> DataFrame:
-    """The k best rows with ``rank`` 1..k; ties are ordered by id."""
+    """The k best rows with ``rank`` 1..k, or all rows for ``k <= 0``; ties
+    are ordered by id."""
     order = [F.col("score").desc() if descending else F.col("score").asc(), F.col(id).asc()]
+    if k <= 0:
+        return rank_all(scored, order)
     # the window sees only the k rows that the limit left
     return scored.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 

@@ -40,7 +40,9 @@ def collection_stats(df: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def storage_size(spark: SparkSession, path: str) -> DataFrame:
-    """Bytes stored under a path; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def storage_size(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Bytes stored under some paths; file contents are not read."""
+    if not paths:
+        return spark.createDataFrame([(0,)], "size_bytes long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))

@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.filters import filter_column
-from docloom.functions.text import with_tokens
+from docloom.functions.text import tokens, with_tokens
 from docloom.operators.fulltext import best, bm25, idf, with_stats
 from docloom.operators.match import Leaf, Match, Near, PostingsView
-from docloom.schema import clamp_limit
+from docloom.operators.text_batch import BROADCAST_WORDS, TextScorer, query_words, weigh_queries, with_options
+from docloom.operators.topk_join import size_of, topk_join
+from docloom.schema import DEFAULT_LIMIT, clamp_limit
 
 TOKEN_BLOCK = 2_000_000  # tokens grouped at a time inside a task
 FILE_ROWS = 4_000_000  # postings aimed at per stored file
@@ -222,3 +224,31 @@ class TextIndex:
         """As ``search`` over the documents that pass the filters."""
         allowed = docs.where(filter_column(filters)).select("id")
         return best(self.score(match).join(allowed, "id", "left_semi"), clamp_limit(k))
+
+    def search_batch(
+        self, queries: DataFrame, k: int = DEFAULT_LIMIT, every_word: bool = False, digits: int | None = None, **layout
+    ) -> DataFrame:
+        """As ``search_text_batch``, reading only the postings of the words
+        that the queries ask for."""
+        queries = with_options(queries, k, every_word)
+        size = size_of(queries, F.size(tokens("query")))
+        words = query_words(queries)
+        keys = words.select(F.col("word").alias("term")).distinct()
+        on = ["term"]
+        if self.buckets:  # the directories to read follow from the words
+            keys = keys.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
+            on = ["term", "bucket"]
+        keys = F.broadcast(keys) if size[1] <= BROADCAST_WORDS else keys
+        rows = self.postings.join(keys, on, "left_semi").select("term", "id", "tf", "length")
+        whole = self.totals.select(F.lit("").alias("word"), F.col("n_docs").alias("df"), "n_tokens")
+        counts = rows.groupBy(F.col("term").alias("word")).agg(F.count("*").cast("double").alias("df"))
+        counts = counts.withColumn("n_tokens", F.lit(None).cast("long")).unionByName(whole)
+        ready = weigh_queries(words, counts).join(queries.drop("query"), "query_id")
+        # one row per document with the asked words in it
+        entries = F.collect_list(F.struct("term", "tf"))
+        documents = rows.groupBy("id").agg(F.max("length").alias("length"), entries.alias("entries"))
+        documents = documents.select(
+            "id", "length", F.col("entries.term").alias("words"), F.col("entries.tf").alias("counts")
+        )
+        hits = topk_join(ready, documents, TextScorer(), size, F.size("words"), digits, **layout)
+        return hits.drop("tie").withColumn("score", -F.col("score"))

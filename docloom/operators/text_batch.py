@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens, with_tokens
 from docloom.operators.fulltext import B, K1, idf
-from docloom.operators.topk_join import BROADCAST_CELLS, Scorer, size_of, topk_join
+from docloom.operators.topk_join import Scorer, size_of, topk_join
 from docloom.operators.vector import score_lists, vectors_by_length
 from docloom.schema import DEFAULT_LIMIT
 
+BROADCAST_WORDS = 1_000_000  # query words
 PAIR_BLOCK = 4_000_000  # word-query pairs expanded at a time
 
 
 class TextScorer(Scorer):
-    """BM25 of documents (``id, tokens``) against queries
-    (``query_id, k, words, weights, n_words, every_word, mean_length``)."""
+    """BM25 of documents against queries
+    (``query_id, k, words, weights, n_words, every_word, mean_length``).
+
+    Documents have ``id`` and either ``tokens`` or, from an index, the counted
+    ``words`` the queries ask for with their ``counts`` and the ``length``.
+    """
 
     def prepare(self, queries):
         words = queries["words"].chunk(0)
@@ -39,21 +44,31 @@ class TextScorer(Scorer):
         }
 
     def scores(self, state, docs):
-        total, keep = self.totals(state, docs.column("tokens"))
+        total, keep = self.totals(state, docs)
         return np.where(keep, total, -np.inf), None
 
-    def totals(self, state, token_lists: pa.Array):
+    @staticmethod
+    def _frequencies(state, docs: pa.RecordBatch):
+        """Document lengths, and document, word and count of each occurrence
+        of a query word."""
+        counted = "counts" in docs.schema.names
+        lists = docs.column("words" if counted else "tokens")
+        per_doc = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        code = pc.index_in(lists.flatten(), state["vocabulary"])
+        known = code.is_valid().to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(lists)), per_doc)[known]
+        word = code.drop_null().to_numpy(zero_copy_only=False).astype("int64")
+        if counted:
+            lengths = docs.column("length").to_numpy(zero_copy_only=False)
+            return lengths, doc, word, docs.column("counts").flatten().to_numpy(zero_copy_only=False)[known]
+        n_words = max(1, len(state["vocabulary"]))
+        cell, tf = np.unique(doc * n_words + word, return_counts=True)
+        return per_doc, cell // n_words, cell % n_words, tf
+
+    def totals(self, state, docs: pa.RecordBatch):
         """Sums of word contributions, and which pairs match."""
-        n_docs, n_queries, n_words = len(token_lists), len(state["need"]), len(state["vocabulary"])
-        lengths = pc.list_value_length(token_lists).to_numpy(zero_copy_only=False)
-        word = pc.index_in(token_lists.flatten(), state["vocabulary"])
-        doc = np.repeat(np.arange(n_docs), lengths)
-        known = word.is_valid().to_numpy(zero_copy_only=False)
-        # frequency of each (document, query word)
-        cell, tf = np.unique(
-            doc[known] * n_words + word.drop_null().to_numpy(zero_copy_only=False).astype("int64"), return_counts=True
-        )
-        doc, word = cell // max(n_words, 1), cell % max(n_words, 1)
+        n_docs, n_queries = docs.num_rows, len(state["need"])
+        lengths, doc, word, tf = self._frequencies(state, docs)
         norm = K1 * ((1 - B) + B * lengths[doc] / state["mean_length"])
         part = tf * (K1 + 1) / (tf + norm)
         fan = state["start"][word + 1] - state["start"][word]  # queries asking for it
@@ -89,7 +104,7 @@ class HybridScorer(TextScorer):
         return {**super().prepare(queries), "vectors": vectors, "by_vector": queries["by_vector"].to_numpy()}
 
     def scores(self, state, docs):
-        total, keep = self.totals(state, docs.column("tokens"))
+        total, keep = self.totals(state, docs)
         vectors = docs.column("vector")
         cosine = score_lists("cosine", vectors, state["vectors"])
         has_vector = pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False) > 0
@@ -98,28 +113,30 @@ class HybridScorer(TextScorer):
         return np.where(keep, first, -np.inf), np.where(state["by_vector"], total, 0.0)
 
 
-def weigh_queries(queries: DataFrame, tokenized: DataFrame, broadcast_words: bool) -> DataFrame:
-    """Words and BM25 weights per query from whole-collection statistics.
+def query_words(queries: DataFrame) -> DataFrame:
+    """``query_id, word, times``. Every query also has the empty word, which
+    no tokenizer returns: it stands for the document itself, so that one join
+    brings the totals of the collection along with the frequencies."""
+    words = F.concat(F.array(F.lit("")), tokens("query"))
+    return queries.select("query_id", F.explode(words).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
 
-    One pass over the collection counts documents, tokens and document
-    frequencies together: the empty word, which no tokenizer returns, stands
-    for the document itself and is added to every query.
-    """
-    words = (
-        queries.select("query_id", F.explode(F.concat(F.array(F.lit("")), tokens("query"))).alias("word"))
-        .groupBy("query_id", "word")
-        .agg(F.count("*").alias("times"))
-    )
+
+def count_words(words: DataFrame, tokenized: DataFrame, n_words: int) -> DataFrame:
+    """``word, df, n_tokens`` of the asked words, in one pass over a collection."""
     marks = tokenized.select(
         F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("word"),
         F.size("tokens").alias("length"),
     )
     asked = words.select("word").distinct()
     per_word = [F.count("*").cast("double").alias("df"), F.sum("length").alias("n_tokens")]
-    if broadcast_words:
-        counts = marks.join(F.broadcast(asked), "word", "left_semi").groupBy("word").agg(*per_word)
-    else:  # partial counts shrink the collection's side before it is shuffled
-        counts = marks.groupBy("word").agg(*per_word).join(asked, "word", "left_semi")
+    if n_words <= BROADCAST_WORDS:
+        return marks.join(F.broadcast(asked), "word", "left_semi").groupBy("word").agg(*per_word)
+    # partial counts shrink the collection's side before it is shuffled
+    return marks.groupBy("word").agg(*per_word).join(asked, "word", "left_semi")
+
+
+def weigh_queries(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """Words and BM25 weights per query."""
     is_document = F.col("word") == ""
     entry = F.when(~is_document & F.col("df").isNotNull(), F.struct("word", "times", "df"))
     per_query = words.join(counts, "word", "left").groupBy("query_id").agg(
@@ -137,14 +154,20 @@ def weigh_queries(queries: DataFrame, tokenized: DataFrame, broadcast_words: boo
     )
 
 
-def _prepared(queries: DataFrame, docs: DataFrame, text: str, k: int, every_word: bool):
-    """Weighted queries, tokenized documents, and the size of the queries."""
+def with_options(queries: DataFrame, k: int, every_word: bool) -> DataFrame:
     for name, default in {"k": F.lit(int(k)), "every_word": F.lit(every_word)}.items():
         if name not in queries.columns:
             queries = queries.withColumn(name, default)
+    return queries
+
+
+def _prepared(queries: DataFrame, docs: DataFrame, text: str, k: int, every_word: bool):
+    """Weighted queries, tokenized documents, and the size of the queries."""
+    queries = with_options(queries, k, every_word)
     tokenized = with_tokens(docs, text).drop(text)
     bound = size_of(queries, F.size(tokens("query")))
-    weighted = weigh_queries(queries, tokenized.select("tokens"), broadcast_words=bound[1] <= BROADCAST_CELLS)
+    words = query_words(queries)
+    weighted = weigh_queries(words, count_words(words, tokenized.select("tokens"), bound[1]))
     return weighted.join(queries.drop("query"), "query_id"), tokenized, bound
 
 

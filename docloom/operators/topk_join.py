@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_QUERIES = 4096  # rows
-BROADCAST_CELLS = 16_000_000  # array elements over all query rows
+BROADCAST_CELLS = 4_000_000  # array elements over all query rows
 CELL_QUERIES = 32_768  # queries of one co-group
 CELL_ELEMENTS = 32_000_000  # array elements of either side of one co-group
 SCORE_BLOCK = 4_000_000  # scores computed at a time

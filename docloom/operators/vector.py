@@ -70,7 +70,7 @@ def search_vectors(
 ) -> DataFrame:
     """The k most similar documents with ``score`` and ``rank``.
 
-    ``digits`` rounds scores before ranking.
+    ``k <= 0`` ranks all of them. ``digits`` rounds scores before ranking.
     """
     scored = score_vectors(df, vector, metric, filters)
     if digits is not None:

@@ -122,6 +122,7 @@ SQL["fulltext_batch"] = f"""WITH {word_scores("SELECT CAST(item_id AS VARCHAR) A
 
 # -- postings
 
+SQL["batch_postings"] = SQL["fulltext_batch"]
 SQL["postings_build"] = f"""WITH {TOKENS}, {POSITIONS} SELECT t AS term, id, CAST(count(*) AS INTEGER) AS tf,
   CAST(any_value(n) AS INTEGER) AS length, CAST(sum(p) AS INTEGER) AS position_sum
   FROM pos JOIN (SELECT id, len(k) AS n FROM tk) USING (id) GROUP BY t, id"""
@@ -231,6 +232,7 @@ SQL["vec_euclidean"] = f"WITH {VECS} SELECT id, {_EUC} AS score FROM v"
 SQL["vec_dot"] = f"WITH {VECS} SELECT id, {_DOT} AS score FROM v"
 SQL["vector_topk"] = nearest(VECS, _COS, 10)
 SQL["vector_topk_euclidean"] = nearest(VECS, _EUC, 10)
+SQL["vector_ranked"] = nearest(VECS, _DOT, "rank")
 SQL["vector_filtered"] = nearest(
     f"{DOCS}, v AS (SELECT id, CAST(vector AS DOUBLE[]) AS x FROM c WHERE is_embedded AND lang = 'en' AND labeled)", _COS, 20
 )
@@ -291,3 +293,6 @@ SQL["backfill_tables"] = f"""WITH {DOCS}, p AS (SELECT *, CASE lang WHEN 'en' TH
    row_number() OVER (PARTITION BY CASE lang WHEN 'en' THEN 'english' ELSE 'other' END ORDER BY is_embedded, created, id) AS place FROM c),
  d AS (SELECT id FROM p WHERE place <= 15 AND NOT is_embedded ORDER BY t, created, id LIMIT 15)
  SELECT t AS "table", id, is_embedded OR id IN (SELECT id FROM d) AS is_embedded FROM p"""
+SQL["database_list"] = f"""WITH {DOCS} SELECT lang AS name, count(*) + count(*) FILTER (WHERE labeled) AS document_count,
+  count(*) FILTER (WHERE is_embedded) AS embedded_count, least(min(created), {WRITTEN}) AS created_at, {WRITTEN} AS last_updated,
+  true AS stored FROM c WHERE lang IN ('en', 'fr') GROUP BY lang"""

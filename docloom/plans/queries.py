@@ -18,7 +18,7 @@ from docloom.operators import embed, fulltext, listing, match, mutate, postings,
 from docloom.plans.constants import AS_OF, DIM, QUERY_VECTOR, SCORED, TOP_WORDS
 from docloom.session import shared_dir
 from docloom.sources import ingest
-from docloom.sources.collection import Collection
+from docloom.sources.collection import Collection, list_databases
 from docloom.sources.tables import collection, load, texts, vectors
 from docloom.streaming.jobs import run_backfill, stream_backfill, stream_upserts
 
@@ -96,10 +96,15 @@ def fulltext_filtered(spark, sf_dir):
     return hits.select("id", _score(), "rank")
 
 
+def _passages(spark, sf_dir):
+    """Every passage as one query text."""
+    passages = load(spark, sf_dir, "benchmark")
+    return passages.select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
+
+
 @query
 def fulltext_batch(spark, sf_dir):
-    wanted = load(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
-    hits = text_batch.search_text_batch(wanted, texts(spark, sf_dir), 10, digits=9)
+    hits = text_batch.search_text_batch(_passages(spark, sf_dir), texts(spark, sf_dir), 10, digits=9)
     return hits.select("query_id", "id", _score(), "rank")
 
 
@@ -122,6 +127,12 @@ def fulltext_postings(spark, sf_dir):
     return hits.select("id", _score(), "rank")
 
 
+@query
+def batch_postings(spark, sf_dir):
+    hits = _stored_index(spark, sf_dir).search_batch(_passages(spark, sf_dir), 10, digits=9)
+    return hits.select("query_id", "id", _score(), "rank")
+
+
 @query
 def filtered_postings(spark, sf_dir):
     docs = collection(spark, sf_dir, with_vectors=False)
@@ -415,6 +426,14 @@ def vector_topk_euclidean(spark, sf_dir):
     return hits.select("id", _score(), "rank")
 
 
+@query
+def vector_ranked(spark, sf_dir):
+    """Without a limit, every vector gets its rank."""
+    docs = vectors(spark, sf_dir).withColumn("is_embedded", F.lit(True))
+    hits = vector.search_vectors(docs, QUERY_VECTOR, 0, "dot", digits=6)
+    return hits.select("id", _score(), F.col("rank").cast("int").alias("rank"))
+
+
 @query
 def vector_filtered(spark, sf_dir):
     hits = vector.search_vectors(collection(spark, sf_dir), QUERY_VECTOR, 20, filters={"tag": "en", "labeled": True}, digits=6)
@@ -431,8 +450,7 @@ def knn_join(spark, sf_dir):
 @query
 def vector_text_query(spark, sf_dir):
     """Passages are embedded and each searched among the documents."""
-    asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
-    asked = embed.embed_column(asked, embed.StubEmbedder(DIM), text="query")
+    asked = embed.embed_column(_passages(spark, sf_dir), embed.StubEmbedder(DIM), text="query")
     hits = vector.knn_join(asked, vectors(spark, sf_dir), 10, digits=6)
     return hits.select("query_id", "id", _score(), "rank")
 
@@ -507,6 +525,21 @@ def stored_collection(spark, sf_dir):
     return _changed(stored.read())
 
 
+@query
+def database_list(spark, sf_dir):
+    """Documents stored as one database per language and listed again."""
+    base = shared_dir(spark, "store")
+    docs = collection(spark, sf_dir).drop("updated_at", "is_embedded")
+    for name in ("en", "fr"):
+        mine = docs.where(F.array_contains("tags", name))
+        Collection(spark, base, name, "docs", buckets=4).upsert(mine, AS_OF)
+        Collection(spark, base, name, "revised", buckets=2).upsert(_revised(spark, sf_dir).where(F.col("lang") == name), AS_OF)
+    found = list_databases(spark, base)
+    return found.select(
+        "name", "document_count", "embedded_count", _seconds("created_at"), _seconds("last_updated"), (F.col("size_bytes") > 0).alias("stored")
+    )
+
+
 @query
 def storage_bytes(spark, sf_dir):
     stored = Collection(spark, shared_dir(spark, "store"), "main", "docs", buckets=8)

@@ -10,26 +10,32 @@ leaves the collection as it was.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import mutate
-from docloom.operators.listing import storage_size
+from docloom.operators.listing import collection_stats, storage_size
 from docloom.operators.postings import TextIndex
 from docloom.schema import DOCUMENT_COLUMNS, DOCUMENT_SCHEMA
 
-_COMMIT = "bucket int, data_version int, note string, version int"
+_COMMIT = "bucket int, data_version int, note string, buckets int, version int"
 
 
 class Collection:
-    """One table of one database. Single writer."""
+    """One table of one database. Single writer.
+
+    ``buckets`` counts for a new collection; a stored one keeps its number.
+    """
 
     def __init__(self, spark: SparkSession, base: str, db: str, table: str, buckets: int = 64, files_per_bucket: int = 1):
         self.spark, self.db, self.table = spark, db, table
         self.path = f"{base}/{db}/{table}"
-        self.buckets, self.files_per_bucket = buckets, files_per_bucket
+        self.files_per_bucket = files_per_bucket
+        stored = self._log().agg(F.max("buckets")).first()[0]
+        self.buckets = stored or buckets
 
     def bucket_of(self, id="id"):
         return F.pmod(F.xxhash64(id), F.lit(self.buckets)).cast("int")
@@ -49,6 +55,8 @@ class Collection:
         filled bucket in it (one row per bucket, so bounded)."""
         log = self._log()
         newest = version if version is not None else log.agg(F.max("version")).first()[0] or 0
+        if newest == 0:
+            return 0, {}
         rows = log.where((F.col("version") == newest) & F.col("data_version").isNotNull()).collect()
         return newest, {r["bucket"]: r["data_version"] for r in rows}
 
@@ -91,7 +99,9 @@ class Collection:
         return index.update(changed.select("id", "content"), self._read(touched).select("id"))
 
     def size_bytes(self) -> DataFrame:
-        return storage_size(self.spark, f"{self.path}/data")
+        """Bytes of the current files."""
+        places = self._commit()[1]
+        return storage_size(self.spark, [f"{self.path}/data/version={v}/bucket={b}" for b, v in places.items()])
 
     def has_commit(self, note: str) -> bool:
         """Was a change with this note committed before?"""
@@ -115,8 +125,8 @@ class Collection:
         rows.repartition(files, "bucket", split).write.mode("overwrite").partitionBy("bucket").parquet(data)
         filled = {r[0] for r in self.spark.read.schema("bucket int").parquet(data).distinct().collect()}
         places = {**places, **{b: version if b in filled else None for b in touched}}
-        commit = [(b, v, note) for b, v in sorted(places.items())] or [(0, None, note)]
-        table = self.spark.createDataFrame(commit, "bucket int, data_version int, note string").coalesce(1)
+        commit = [(b, v, note, self.buckets) for b, v in sorted(places.items())] or [(0, None, note, self.buckets)]
+        table = self.spark.createDataFrame(commit, "bucket int, data_version int, note string, buckets int").coalesce(1)
         table.write.mode("overwrite").parquet(f"{self.path}/commits/version={version}")
 
     def upsert(self, batch: DataFrame, as_of=None, order: str | None = None, note: str | None = None) -> None:
@@ -127,3 +137,22 @@ class Collection:
 
     def update_vectors(self, vectors: DataFrame, as_of=None, note: str | None = None) -> None:
         self._change(vectors, lambda current: mutate.update_vectors(current, vectors, as_of), note)
+
+
+def open_all(spark: SparkSession, base: str) -> list[Collection]:
+    """All stored collections under a folder, by database and table."""
+    commits = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{base}/*/*/commits/*")
+    name = F.regexp_extract("path", r"([^/]+)/([^/]+)/commits/", 1), F.regexp_extract("path", r"([^/]+)/([^/]+)/commits/", 2)
+    found = commits.select(name[0].alias("db"), name[1].alias("table")).distinct().orderBy("db", "table")
+    return [Collection(spark, base, r["db"], r["table"]) for r in found.collect()]  # names only
+
+
+def list_databases(spark: SparkSession, base: str) -> DataFrame:
+    """One row per database: counts and dates over all its collections, and
+    the bytes of their current files."""
+    stored = open_all(spark, base)
+    columns = ["db", "is_embedded", "created_at", "updated_at"]
+    docs = reduce(DataFrame.unionByName, (c.documents().select(*columns) for c in stored))
+    sizes = reduce(DataFrame.unionByName, (c.size_bytes().withColumn("db", F.lit(c.db)) for c in stored))
+    sizes = sizes.groupBy("db").agg(F.sum("size_bytes").alias("size_bytes"))
+    return collection_stats(docs, "db").join(sizes, "db").withColumnRenamed("db", "name")

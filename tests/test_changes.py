@@ -150,6 +150,8 @@ def test_stored_collection(spark, current):
     stored.upsert(spark.createDataFrame([("z", "back")], "id string, content string"), DAY2)
     assert [r["content"] for r in stored.get("z").collect()] == ["back"] and stored.get("a").collect() == []
     assert stored.size_bytes().first()[0] > 0
+    again = Collection(spark, stored.path.removesuffix("/db/t"), "db", "t", buckets=99)
+    assert again.buckets == 3 and again.get("z").count() == 1
 
 
 def test_index_refresh(spark):

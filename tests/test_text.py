@@ -164,10 +164,14 @@ def test_no_word():
 
 @pytest.mark.parametrize("every_word", [False, True])
 @pytest.mark.parametrize("layout", [{}, {"max_broadcast": 1, "cell_queries": 2, "cell_elements": 90}])
-def test_batch(spark, corpus, every_word, layout):
+@pytest.mark.parametrize("by", ["scan", "index"])
+def test_batch(spark, corpus, index, every_word, layout, by):
     queries = {"q1": "dog mat", "q2": "cat Cat sat", "q3": "zebra", "q4": "...", "q5": "the the the cat mat dog ran"}
     asked = spark.createDataFrame(list(queries.items()), "query_id string, query string")
-    found = search_text_batch(asked, corpus, 4, every_word=every_word, digits=9, **layout).collect()
+    if by == "scan":
+        found = search_text_batch(asked, corpus, 4, every_word=every_word, digits=9, **layout).collect()
+    else:
+        found = index.search_batch(asked, 4, every_word=every_word, digits=9, **layout).collect()
     got = sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 8)) for r in found)
     expected = []
     for name, text in queries.items():
