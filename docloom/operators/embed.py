@@ -16,6 +16,8 @@ STUB_DIM = 2560
 STUB_VALUE = 0.1
 CYCLE_SIZE = 15
 
+BROADCAST_ROWS = 100_000
+
 
 class StubEmbedder:
     """Placeholder: the same constant vector for every text."""
@@ -90,12 +92,13 @@ def backfill_cycle(docs: DataFrame, embedder, n: int | None = CYCLE_SIZE) -> Dat
     keys = ["db", "table", "id", *(["bucket"] if "bucket" in docs.columns else [])]
     queue = docs.where(~F.col("is_embedded"))
     if n is not None:
-        # ranked without the texts; n rows per table are then few enough to
-        # broadcast, and their buckets prune the directories to read
+        # ranked without the texts; the texts of the chosen few are fetched
+        # by broadcast, and their buckets prune the directories to read
         oldest = W.partitionBy("db", "table").orderBy("created_at", "id")
         place = F.row_number().over(oldest).alias("place")
         chosen = queue.select(*keys, "created_at", place).where(F.col("place") <= n).drop("place", "created_at")
-        queue = queue.join(F.broadcast(chosen), keys)
+        n_chosen = n * docs.select("db", "table").distinct().count()
+        queue = queue.join(F.broadcast(chosen) if n_chosen <= BROADCAST_ROWS else chosen, keys)
     queue = queue.select("db", "table", "id", "content", "created_at")
     done = embed_column(queue, embedder).where(F.col("vector").isNotNull())
     if n is not None:

@@ -128,10 +128,10 @@ def search_text(
 
 
 def hydrate(hits: DataFrame, docs: DataFrame, id="id") -> DataFrame:
-    """Bring the other columns of the documents to a limited set of hits.
+    """Bring the other columns of the documents to the hits of a search.
 
-    ``hits`` must be the output of a top-k search: its size is bound by k, so
-    it is broadcast and the collection is not shuffled.
+    Spark knows from the limit in a top-k search that the hits are few and
+    broadcasts them; unlimited hits are joined by a shuffle.
     """
     extra = [c for c in docs.columns if c == id or c not in hits.columns]
-    return docs.select(*extra).join(F.broadcast(hits), id)
+    return docs.select(*extra).join(hits, id)

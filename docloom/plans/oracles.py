@@ -194,7 +194,7 @@ SQL["ingest_rejected"] = f"""WITH {DOCS} SELECT CASE WHEN source = 'src7' THEN '
   AS reason, count(*) AS n FROM c WHERE source = 'src7' OR toxic = 1 GROUP BY ALL"""
 SQL["ingest_embed_sync"] = f"SELECT CAST(doc_id AS VARCHAR) AS id, true AS is_embedded, {summary(STUB)} FROM documents"
 SQL["ingest_embed_async"] = "SELECT CAST(doc_id AS VARCHAR) AS id, false AS is_embedded, true AS cleared FROM documents"
-SQL["tags_from_text"] = f"""WITH {DOCS} SELECT id, {CSV} AS csv, CAST(len(string_split({CSV}, ',')) AS INTEGER) AS n_tags,
+SQL["tags_from_csv"] = f"""WITH {DOCS} SELECT id, {CSV} AS csv, CAST(len(string_split({CSV}, ',')) AS INTEGER) AS n_tags,
   string_split({CSV}, ',')[-1] AS last_tag FROM c"""
 
 # -- embedding
@@ -287,7 +287,7 @@ SQL["stored_collection"] = f"""WITH {DOCS}, {BATCH}, {DOOMED}, s AS (SELECT coal
  SELECT {_CHANGED} FROM s WHERE id NOT IN (SELECT id FROM x)"""
 SQL["stream_upsert"] = f"""WITH {DOCS} SELECT id, md5(content) AS content, {CSV} AS tags, {WRITTEN} AS created_at,
   {WRITTEN} AS updated_at, false AS is_embedded FROM c"""
-SQL["stream_backfill_all"] = f"""WITH {DOCS}, f AS (SELECT id, CASE WHEN is_embedded THEN CAST(vector AS DOUBLE[]) ELSE {STUB} END AS x FROM c)
+SQL["stream_backfill"] = f"""WITH {DOCS}, f AS (SELECT id, CASE WHEN is_embedded THEN CAST(vector AS DOUBLE[]) ELSE {STUB} END AS x FROM c)
  SELECT id, true AS is_embedded, {summary('x')} FROM f"""
 SQL["backfill_tables"] = f"""WITH {DOCS}, p AS (SELECT *, CASE lang WHEN 'en' THEN 'english' ELSE 'other' END AS t,
    row_number() OVER (PARTITION BY CASE lang WHEN 'en' THEN 'english' ELSE 'other' END ORDER BY is_embedded, created, id) AS place FROM c),

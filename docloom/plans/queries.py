@@ -25,12 +25,12 @@ from docloom.streaming.jobs import run_backfill, stream_backfill, stream_upserts
 QUERIES = {}
 
 
-def query(fn):
+def query(fn, name=None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return fn(spark, sf_dir)
 
-    QUERIES[fn.__name__] = run
+    QUERIES[name or fn.__name__] = run
     return run
 
 
@@ -60,8 +60,7 @@ def _matching(name, condition):
     def run(spark, sf_dir):
         return fulltext.match_text(texts(spark, sf_dir), condition).select("id")
 
-    run.__name__ = name
-    return query(run)
+    return query(run, name)
 
 
 _matching("match_term", match.term("Esat"))
@@ -175,8 +174,7 @@ def _filtering(name, filters):
     def run(spark, sf_dir):
         return collection(spark, sf_dir, with_vectors=False).where(filter_column(filters)).select("id")
 
-    run.__name__ = name
-    return query(run)
+    return query(run, name)
 
 
 _filtering("filter_tag", {"tag": "fr"})
@@ -342,13 +340,15 @@ def ingest_embed_async(spark, sf_dir):
     return docs.select("id", "is_embedded", F.col("vector").isNull().alias("cleared"))
 
 
-@query
-def tags_from_text(spark, sf_dir):
+def _tags_round_trip(spark, sf_dir):
     docs = collection(spark, sf_dir, with_vectors=False).select("id", tags_to_csv("tags").alias("csv"))
     back = docs.withColumn("tags", tags_from_csv("csv"))
     return back.select("id", "csv", F.size("tags").alias("n_tags"), F.element_at("tags", -1).alias("last_tag"))
 
 
+query(_tags_round_trip, "tags_from_csv")
+
+
 # -- embedding
 
 
@@ -403,8 +403,7 @@ def _against_query(name, metric):
         docs = vectors(spark, sf_dir)
         return docs.select("id", F.round(similarity(metric, "vector", fixed), 6).alias("score"))
 
-    run.__name__ = name
-    return query(run)
+    return query(run, name)
 
 
 _against_query("vec_cosine", "cosine")
@@ -563,8 +562,7 @@ def stream_upsert(spark, sf_dir):
     return _changed(stored.read())
 
 
-@query
-def stream_backfill_all(spark, sf_dir):
+def _drained(spark, sf_dir):
     """Documents arrive unembedded; every micro-batch drains the queue."""
     base = shared_dir(spark, "store")
     stored = Collection(spark, base, "main", "docs", buckets=8)
@@ -575,6 +573,9 @@ def stream_backfill_all(spark, sf_dir):
     return stored.read().select("id", "is_embedded", *_vector_summary())
 
 
+query(_drained, "stream_backfill")
+
+
 @query
 def backfill_tables(spark, sf_dir):
     """One capped cycle over two stored tables, split by language."""

@@ -10,7 +10,6 @@ leaves the collection as it was.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -141,7 +140,13 @@ class Collection:
 
 def open_all(spark: SparkSession, base: str) -> list[Collection]:
     """All stored collections under a folder, by database and table."""
-    commits = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{base}/*/*/commits/*")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+    try:
+        commits = files.load(f"{base}/*/*/commits/*")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
     name = F.regexp_extract("path", r"([^/]+)/([^/]+)/commits/", 1), F.regexp_extract("path", r"([^/]+)/([^/]+)/commits/", 2)
     found = commits.select(name[0].alias("db"), name[1].alias("table")).distinct().orderBy("db", "table")
     return [Collection(spark, base, r["db"], r["table"]) for r in found.collect()]  # names only
@@ -150,9 +155,10 @@ def open_all(spark: SparkSession, base: str) -> list[Collection]:
 def list_databases(spark: SparkSession, base: str) -> DataFrame:
     """One row per database: counts and dates over all its collections, and
     the bytes of their current files."""
-    stored = open_all(spark, base)
-    columns = ["db", "is_embedded", "created_at", "updated_at"]
-    docs = reduce(DataFrame.unionByName, (c.documents().select(*columns) for c in stored))
-    sizes = reduce(DataFrame.unionByName, (c.size_bytes().withColumn("db", F.lit(c.db)) for c in stored))
+    docs = spark.createDataFrame([], "db string, is_embedded boolean, created_at timestamp, updated_at timestamp")
+    sizes = spark.createDataFrame([], "size_bytes long, db string")
+    for stored in open_all(spark, base):
+        docs = docs.unionByName(stored.documents().select(*docs.columns))
+        sizes = sizes.unionByName(stored.size_bytes().withColumn("db", F.lit(stored.db)))
     sizes = sizes.groupBy("db").agg(F.sum("size_bytes").alias("size_bytes"))
     return collection_stats(docs, "db").join(sizes, "db").withColumnRenamed("db", "name")

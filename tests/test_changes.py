@@ -14,7 +14,7 @@ from docloom.operators.postings import TextIndex
 from docloom.schema import DOCUMENT_COLUMNS
 from docloom.session import shared_dir
 from docloom.sources import ingest
-from docloom.sources.collection import Collection
+from docloom.sources.collection import Collection, list_databases, open_all
 
 DAY1, DAY2 = "2025-01-01 00:00:00", "2025-01-02 00:00:00"
 BATCH = "id string, content string, vector array<float>, tags array<string>, n int"
@@ -127,6 +127,10 @@ def test_databases(spark):
     docs = stored[0].documents().unionByName(stored[1].documents()).unionByName(stored[2].documents())
     stats = {r["db"]: (r["document_count"], r["embedded_count"]) for r in listing.collection_stats(docs, "db").collect()}
     assert stats == {"mydb": (2, 0), "analytics": (1, 0)}
+    listed = {r["name"]: (r["document_count"], r["size_bytes"] > 0) for r in list_databases(spark, base).collect()}
+    assert listed == {"mydb": (2, True), "analytics": (1, True)}
+    assert [(c.db, c.table) for c in open_all(spark, base)] == [("analytics", "events"), ("mydb", "products"), ("mydb", "users")]
+    assert list_databases(spark, base + "-none").collect() == []
     assert stored[0].get("user1").first()["content"] == "John Doe is a software engineer"
     assert [r["id"] for r in search_text(stored[0].read(), term("engineer")).collect()] == ["user1"]
 

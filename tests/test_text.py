@@ -120,7 +120,9 @@ def test_top_and_hydrate(corpus, index):
     order = sorted((bm25(w, condition), i) for i, w in CORPUS.items() if "dog" in w or "mat" in w)[:10]
     for hits in (search_text(corpus, condition), index.search(condition), search_text(corpus, condition, -1)):
         assert [(r["id"], r["rank"]) for r in hits.orderBy("rank").collect()] == [(i, n + 1) for n, (_, i) in enumerate(order)]
-    full = hydrate(index.search(condition, 3), corpus).collect()
+    joined = hydrate(index.search(condition, 3), corpus)
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+    full = joined.collect()
     assert {r["id"]: r["content"] for r in full} == {i: " ".join(CORPUS[i]) for _, i in order[:3]}
 
 
