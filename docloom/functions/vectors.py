@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 METRICS = ("cosine", "euclidean", "dot")
+NEAR_PAIR = 1e-4  # squared distance below this share of the squared norms
+NEAR_BLOCK = 100_000  # near pairs computed at a time
 WORST_DISTANCE = -sys.float_info.max  # euclidean score of unequal lengths
 
 
@@ -48,14 +50,25 @@ def similarity(metric: str, a, b) -> Column:
     return {"cosine": cosine, "euclidean": euclidean, "dot": dot}[metric_name(metric)](a, b)
 
 
+def _distances(docs: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Euclidean distances as one matrix product.
+
+    The product loses digits where two vectors nearly coincide; those pairs
+    are computed again from their differences.
+    """
+    squares = np.einsum("ij,ij->i", docs, docs)[:, None] + np.einsum("ij,ij->i", queries, queries)
+    found = squares - 2 * (docs @ queries.T)
+    d, q = np.nonzero(found <= NEAR_PAIR * squares)
+    for at in range(0, len(d), NEAR_BLOCK):
+        diff = docs[d[at : at + NEAR_BLOCK]] - queries[q[at : at + NEAR_BLOCK]]
+        found[d[at : at + NEAR_BLOCK], q[at : at + NEAR_BLOCK]] = np.einsum("ij,ij->i", diff, diff)
+    return np.sqrt(found)
+
+
 def score_block(metric: str, docs: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Scores of every document row against every query row, same length."""
     if metric == "euclidean":
-        out = np.empty((len(docs), len(queries)))
-        for j, query in enumerate(queries):
-            diff = docs - query
-            out[:, j] = -np.sqrt(np.einsum("ij,ij->i", diff, diff))
-        return out
+        return -_distances(docs, queries)
     products = docs @ queries.T
     if metric == "dot":
         return products

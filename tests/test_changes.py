@@ -55,6 +55,14 @@ def test_upsert(spark, current):
     assert rows["b"]["is_embedded"] and rows["b"]["vector"] == [7.0]
 
 
+def test_one_id_fills_a_batch(spark, current):
+    """Half of a batch are versions of one document."""
+    hot = spark.range(2000).select(F.lit("a").alias("id"), F.concat(F.lit("v"), "id").alias("content"), F.col("id").alias("n"))
+    cold = spark.range(2000).select(F.concat(F.lit("x"), "id").alias("id"), F.lit("y").alias("content"), F.col("id").alias("n"))
+    rows = by_id(mutate.upsert(current, hot.unionByName(cold), DAY2, order="n"))
+    assert len(rows) == 2003 and rows["a"]["content"] == "v1999"
+
+
 def test_upsert_keeps_given_date(spark, current):
     batch = spark.createDataFrame([("a", "x", when("2020-05-05")), ("n", "x", when("2020-05-05"))], "id string, content string, created_at timestamp")
     rows = by_id(mutate.upsert(current, batch, DAY2))

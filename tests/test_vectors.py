@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.payloads import parse_payload
 from docloom.functions.tags import tags_from_csv, tags_to_csv
-from docloom.functions.vectors import blob_to_vector, similarity, vector_to_blob
+from docloom.functions.vectors import blob_to_vector, score_block, similarity, vector_to_blob
 from docloom.operators.vector import dimension_report, knn_join, score_vectors, search_vectors
 
 WORST = -sys.float_info.max
@@ -68,6 +68,12 @@ def test_knn_join(table, metric, layout):
     assert got == sorted(expected)
 
 
+def test_distances_of_near_vectors():
+    docs = np.array([[1e3, 1e3], [1e3 + 1e-5, 1e3], [0.0, 0.0], [-5.0, 2.0]])
+    exact = np.sqrt(((docs[:, None, :] - docs[None, :, :]) ** 2).sum(-1))
+    assert np.allclose(-score_block("euclidean", docs, docs), exact, rtol=1e-11, atol=0)
+
+
 def test_knn_fewer_than_k_and_own_k(table):
     few = table.where(F.col("id") < "v004")
     queries = few.select(F.col("id").alias("query_id"), "vector", F.when(F.col("id") == "v002", 2).otherwise(9).alias("k"))
