@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import near_dedup
+from docloom.llm import near_dedup, suffix_dedup
 from docloom.sources.tables import load
 
 QUERIES = {}
@@ -16,3 +16,8 @@ def query(fn):
 @query
 def op9_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+@query
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), with_bytes=False).drop("kept_bytes")
