@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import near_dedup, suffix_dedup
+from pyspark.sql import functions as F
+
+from docloom.llm import decontaminate, near_dedup, suffix_dedup
 from docloom.sources.tables import load
 
 QUERIES = {}
@@ -21,3 +23,10 @@ def op9_near_dedup(spark, sf_dir):
 @query
 def op8_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), with_bytes=False).drop("kept_bytes")
+
+
+@query
+def op4_decontaminate(spark, sf_dir):
+    found = decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
