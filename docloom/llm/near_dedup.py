@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACE_TABLE, binary, chunks, gram_hashes, mix, signed, stage, word_hashes
+from docloom.llm.common import SPACE_TABLE, binary, buffers, chunks, gram_hashes, mix, signed, stage, word_hashes
 from docloom.llm.components import components
 
 SHINGLE = 5
@@ -225,30 +225,51 @@ def _tie(batches):
         yield pa.RecordBatch.from_arrays([_nodes(np.concatenate(lefts)), _nodes(np.concatenate(rights))], ["a", "b"])
 
 
-def _across(batches):
-    """Under each block pair of a large key: alike classes of different components."""
-    for batch in _whole_groups(batches):
-        keys, nodes, roots = batch.column("key").to_numpy(zero_copy_only=False), _void(batch.column("node"), 16), _void(batch.column("root"), 16)
-        sides = batch.column("side").to_numpy(zero_copy_only=False)
-        sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        at = _runs(keys)
-        for start, end in zip(at[:-1], at[1:]):
-            own = slice(start, end)
-            halves = np.frombuffer(roots[own].tobytes(), np.uint64).reshape(-1, 2)
-            _, code = np.unique(halves[:, 0] * _FACTORS[0] + halves[:, 1], return_inverse=True)
-            common = np.bincount(code).argmax()
-            outside = np.flatnonzero(code != common)
-            lefts, rights = [], []
-            for x in outside:  # every pair across components has a side outside the commonest one
-                other = (code != code[x]) & ((code == common) | (np.arange(end - start) > x)) & ((sides[own] != sides[start + x]) | (sides[own] == 2))
-                found = np.flatnonzero(other)
-                found = found[_agree(sketches[own][found], sketches[start + x]) >= SKETCH_AGREE]
-                lefts.append(np.full(len(found), start + x))
-                rights.append(found + start)
-            if lefts:
-                left, right = np.concatenate(lefts), np.concatenate(rights)
-                if len(left):
-                    yield pa.RecordBatch.from_arrays([_nodes(nodes[left]), _nodes(nodes[right])], ["a", "b"])
+def _across(percent):
+    """Under each block pair of a large key: links that tie components.
+
+    Classes of different components are compared by size and sketch, then on
+    their full sets, until their components are tied; so a key gives fewer
+    links than it has components, never all of its pairs.
+    """
+
+    def run(batches):
+        for batch in _whole_groups(batches, 2048):
+            keys, nodes = batch.column("key").to_numpy(zero_copy_only=False), _void(batch.column("node"), 16)
+            roots = np.frombuffer(_void(batch.column("root"), 16).tobytes(), np.uint64).reshape(-1, 2)
+            sides = batch.column("side").to_numpy(zero_copy_only=False)
+            sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            values, offsets = buffers(batch.column("shingles"))
+            values, offsets = np.ascontiguousarray(values).view(np.uint64), offsets // 8
+            sizes = np.diff(offsets)
+            left, right = [], []
+            at = _runs(keys)
+            for start, end in zip(at[:-1].tolist(), at[1:].tolist()):
+                own = slice(start, end)
+                _, code = np.unique(roots[own, 0] * _FACTORS[0] + roots[own, 1], return_inverse=True)
+                common, side, size, sketch = np.bincount(code).argmax(), sides[own], sizes[own], sketches[own]
+                for x in np.flatnonzero(code != common):  # of two components one is not the commonest
+                    near = (code != code[x]) & ((side != side[x]) | (side == 2))
+                    near &= (np.minimum(size, size[x]) * 100 >= percent * np.maximum(size, size[x]))
+                    others = np.flatnonzero(near)
+                    agree = _agree(sketch[others], sketch[x])
+                    others = others[np.argsort(-agree, kind="stable")[: int((agree >= SKETCH_AGREE).sum())]]
+                    mine = values[offsets[start + x] : offsets[start + x + 1]]
+                    for few in np.split(others, [8, 64, 512]):  # the likeliest first
+                        few = few[code[few] != code[x]]
+                        if not len(few):
+                            continue
+                        theirs = np.concatenate([values[offsets[start + y] : offsets[start + y + 1]] for y in few])
+                        found = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                        both = np.add.reduceat(found, np.concatenate([[0], np.cumsum(size[few])[:-1]]), dtype=np.int64)
+                        for y in few[100 * both >= percent * (size[few] + size[x] - both)]:
+                            if code[y] != code[x]:
+                                left.append(start + x), right.append(start + y)
+                                code[code == code[x]] = code[y]
+            if left:
+                yield pa.RecordBatch.from_arrays([_nodes(nodes[left]), _nodes(nodes[right])], ["a", "b"])
+
+    return run
 
 
 def _full_sets(id_col, text_col):
@@ -312,9 +333,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     open_large = stage(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "open")
     counts = open_large.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    blocks = _blocks(open_large.join(counts, "key"))
-    across = _ordered(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a binary, b binary"))
-    links = links.union(_confirmed(stage(across, "across"), sets, percent))
+    blocks = _blocks(open_large.join(counts, "key").join(sets, "node"))
+    across = stage(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_across(percent), "a binary, b binary").distinct(), "across")
+    links = links.union(across)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     ids = signed_docs.groupBy("node").agg(F.min("id").alias("least"))
@@ -346,4 +367,4 @@ def _blocks(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.select(pair.alias("key"), "node", "root", "sketch", side.cast("int").alias("side"))
+    return rows.select(pair.alias("key"), "node", "root", "sketch", "shingles", side.cast("int").alias("side"))
