@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, near_dedup, suffix_dedup
+from docloom.llm import decontaminate, near_dedup, suffix_dedup, toxicity
+from docloom.llm.common import held_out
 from docloom.sources.tables import load
 
 QUERIES = {}
@@ -30,3 +31,9 @@ def op4_decontaminate(spark, sf_dir):
     found = decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    scored = toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
