@@ -33,6 +33,14 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def known_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``(id, label)`` to learn from: ids that are not held out and have one
+    label, 0 or 1. A null id, or one with labels that differ, gives none."""
+    rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
+    rows = rows.where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
+    return rows.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("id", "label")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values (a bijection)."""
     x = x ^ (x >> np.uint64(30))

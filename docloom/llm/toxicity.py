@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ODD, SPACE_TABLE, buffers, chunks, held_out, mix, signed, word_hashes
+from docloom.llm.common import ODD, SPACE_TABLE, buffers, chunks, known_labels, mix, signed, word_hashes
 
 ORDER = 4
 CODES = 28  # a gap, a-z, anything else
@@ -331,12 +331,9 @@ def _context_rows(batches, costs, features):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(costs, features, chances)`` from ``docs(id, text)`` and ``labels(id,
-    label)``; held-out ids give no labels. Labels other than 0 and 1 are left
-    out, as is an id with labels that differ."""
+    """``(costs, features, chances)`` from ``docs(id, text)`` and the labels to learn from."""
     costs = language_model(docs.select("text"))
-    known = labels.where(F.col("label").isin(0, 1) & ~held_out("id")).groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most")
-    rows = docs.join(known.select("id", "label"), "id").select("text", F.col("label").cast("int").alias("label"))
+    rows = docs.join(labels, "id").select("text", "label")
     counted = rows.mapInArrow(partial(_evidence_counts, costs=costs), "feature long, bad long, fine long")
     sums = counted.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
     likely = sums.where((F.col("bad") >= SUPPORT) & (F.col("bad") * 3 > F.col("fine")))
@@ -367,8 +364,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Rows with one id are separate rows. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"))
-    costs, features, chances = train(docs, labels)
+    costs, features, chances = train(docs, known_labels(labels, id_col, label_col))
     scored = docs.mapInArrow(partial(_scores, costs=costs, features=features, chances=chances), "id long, score double")
     return scored.withColumnRenamed("id", id_col)
 
