@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, near_dedup, quality_classifier, suffix_dedup, toxicity
+from docloom.llm import decontaminate, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity
 from docloom.llm.common import held_out
 from docloom.sources.tables import load
 
@@ -43,3 +43,8 @@ def op10_toxicity(spark, sf_dir):
 def op1_quality_classifier(spark, sf_dir):
     scored = quality_classifier.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op2_quality_rules(spark, sf_dir):
+    return quality_rules.apply_rules(load(spark, sf_dir, "documents"))
