@@ -41,6 +41,12 @@ def known_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("id", "label")
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(id, text, label)`` of ``docs(id, text)`` with a label to learn from,
+    stored, since training reads it more than once."""
+    return stage(docs.where(F.col("id").isNotNull() & ~held_out("id")).join(labels, "id"), "labelled")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values (a bijection)."""
     x = x ^ (x >> np.uint64(30))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import binary, byte_table, chunks, known_labels, mix, word_hashes
+from docloom.llm.common import binary, byte_table, chunks, known_labels, labelled, mix, word_hashes
 
 CELLS = 1 << 18
 SAMPLE = 6000
@@ -148,7 +148,7 @@ def calibrate(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]:
     """``(weights, slope, offset)`` from ``docs(id, text)`` and labels to learn from."""
-    rows = docs.join(labels, "id")
+    rows = labelled(docs, labels)
     sums = rows.select("label", "text").mapInArrow(_class_counts, "cell long, poor long, good long").groupBy("cell").agg(F.sum("poor").alias("poor"), F.sum("good").alias("good")).toArrow()
     cells = sums.column("cell").to_numpy()
     counts = np.zeros((2, CELLS + 1))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ODD, SPACE_TABLE, buffers, chunks, known_labels, mix, signed, word_hashes
+from docloom.llm.common import ODD, SPACE_TABLE, buffers, chunks, known_labels, labelled, mix, signed, word_hashes
 
 ORDER = 4
 CODES = 28  # a gap, a-z, anything else
@@ -333,7 +333,7 @@ def _context_rows(batches, costs, features):
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(costs, features, chances)`` from ``docs(id, text)`` and the labels to learn from."""
     costs = language_model(docs.select("text"))
-    rows = docs.join(labels, "id").select("text", "label")
+    rows = labelled(docs, labels).select("text", "label")
     counted = rows.mapInArrow(partial(_evidence_counts, costs=costs), "feature long, bad long, fine long")
     sums = counted.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
     likely = sums.where((F.col("bad") >= SUPPORT) & (F.col("bad") * 3 > F.col("fine")))
