@@ -1,3 +1,34 @@
 """SQL for DuckDB for the queries that SQL can express."""
 
 SQL = {}
+
+#: Repeated runs: a line of 50 words, or two neighbouring lines with words, that stand earlier.
+LINE_DEDUP = r"""
+WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {documents}),
+numbered AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM docs),
+units AS (
+  SELECT doc_id, line, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+         lead(line) OVER w AS next_line, lead(i) OVER w AS next_i
+  FROM numbered WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+),
+windows AS (
+  SELECT doc_id, i, NULL AS j, line AS g FROM units WHERE words >= 50
+  UNION ALL
+  SELECT doc_id, i, next_i, line || chr(10) || next_line FROM units WHERE next_line IS NOT NULL
+),
+later AS (
+  SELECT doc_id, i, j FROM (
+    SELECT *, row_number() OVER (PARTITION BY j IS NULL, g ORDER BY doc_id, i) AS nth FROM windows
+  ) WHERE nth > 1
+),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i FROM later UNION ALL SELECT doc_id, j FROM later) WHERE i IS NOT NULL),
+runs AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gone),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM numbered ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+"""
+
+SQL["op3_line_dedup"] = LINE_DEDUP.format(documents="documents") + """
+SELECT d.doc_id, coalesce(len(d.lines), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+       CASE WHEN d.lines IS NOT NULL THEN md5(coalesce(k.text, '')) END AS text_md5
+FROM docs d LEFT JOIN kept k USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_removed, count(DISTINCT run) AS n_runs FROM runs GROUP BY doc_id) r USING (doc_id)
+"""

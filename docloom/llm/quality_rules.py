@@ -41,6 +41,7 @@ RULES = (
     Rule("symbols_per_word", "n_symbols / n_words", None, 0.1),
     Rule("stop_word_share", "n_stop_words / n_words", 0.02, None),
     Rule("words_with_letters", "n_letter_words / n_words", 0.6, None),
+    Rule("stuttered_words", "n_stutter / n_words", None, 0.3),
     Rule("duplicate_lines", "(n_dup_lines - 1) / greatest(n_lines, 1)", None, 0.3),  # one is fine in a short text
     Rule("bullet_lines", "n_bullet_lines / greatest(n_lines, 1)", None, 0.9),
     Rule("ellipsis_lines", "n_ellipsis_lines / greatest(n_lines, 1)", None, 0.3),
@@ -94,6 +95,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         long(chars - F.char_length(F.translate("_text", SYMBOLS, ""))).alias("n_symbols"),
         long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         _repeat_words("_windows").alias("n_repeat_words"),
+        long(F.size(F.filter(F.zip_with("_words", F.slice("_words", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda same: same))).alias("n_stutter"),
         long(F.size("_lines")).alias("n_lines"),
         long(F.size(F.filter(F.split(bare, f"[{SPACES}]+"), lambda w: w.isin(*sorted(set(STOP_WORDS)))))).alias("n_stop_words"),
         long(letters).alias("n_letter_words"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity
+from docloom.llm import decontaminate, line_dedup, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity
 from docloom.llm.common import held_out
 from docloom.sources.tables import load
 
@@ -48,3 +48,9 @@ def op1_quality_classifier(spark, sf_dir):
 @query
 def op2_quality_rules(spark, sf_dir):
     return quality_rules.apply_rules(load(spark, sf_dir, "documents"))
+
+
+@query
+def op3_line_dedup(spark, sf_dir):
+    cut = line_dedup.deduplicate_lines(load(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5("text").alias("text_md5"))
