@@ -32,3 +32,44 @@ SELECT d.doc_id, coalesce(len(d.lines), 0) AS n_lines, coalesce(n_removed, 0) AS
 FROM docs d LEFT JOIN kept k USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n_removed, count(DISTINCT run) AS n_runs FROM runs GROUP BY doc_id) r USING (doc_id)
 """
+
+#: Poisson counts by inversion: how many cumulative chances lie at or under a hashed number, summed over parts.
+MIXING = r"""
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM {documents} GROUP BY source),
+rates AS (
+  SELECT source, (SELECT sum(n) FROM counts) * 1.0::DOUBLE / ((SELECT count(*)::DOUBLE FROM counts) * n) AS rate FROM counts
+),
+means AS (SELECT source, greatest(ceil(rate / 32), 1)::INT AS parts, rate / greatest(ceil(rate / 32), 1) AS mean FROM rates),
+cdf AS (
+  SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM means
+  UNION ALL
+  SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < ceil(mean + 10 * sqrt(mean) + 20)
+),
+lists AS (SELECT source, list(c ORDER BY k) AS chances FROM cdf GROUP BY source),
+drawn AS (
+  SELECT d.doc_id, d.source, j, ('0x' || substr(md5('7:' || d.doc_id || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM {documents} d JOIN means m ON d.source IS NOT DISTINCT FROM m.source, unnest(range(1, m.parts + 1)) t(j)
+),
+repeats AS (
+  SELECT doc_id, drawn.source, sum(len(list_filter(chances, lambda c: c <= u)))::INT AS times
+  FROM drawn JOIN lists ON drawn.source IS NOT DISTINCT FROM lists.source GROUP BY doc_id, drawn.source
+),
+mixed AS (
+  SELECT doc_id, source, copy::INT AS copy, md5('7:order:' || doc_id || ':' || copy) AS mix_key
+  FROM repeats, unnest(range(1, times + 1)) t(copy)
+)
+"""
+
+SQL["op5_mixing"] = MIXING.format(documents="documents") + "SELECT doc_id, source, copy, mix_key FROM mixed"
+
+#: SHA-1 as base32: 160 bits written as a string, read five at a time.
+SQL["op6_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS sha, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+bits AS (SELECT *, list_aggregate(list_transform(range(0, 40), lambda i: right(bin(('0x' || sha[i + 1])::INT + 16), 4)), 'string_agg', '') AS b FROM d)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+         1 + 16 * b[5 * i + 1]::INT + 8 * b[5 * i + 2]::INT + 4 * b[5 * i + 3]::INT + 2 * b[5 * i + 4]::INT + b[5 * i + 5]::INT]), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits
+"""

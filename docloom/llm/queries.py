@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, line_dedup, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity
+from docloom.llm import decontaminate, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity, warc
 from docloom.llm.common import held_out
 from docloom.sources.tables import load
 
@@ -54,3 +54,13 @@ def op2_quality_rules(spark, sf_dir):
 def op3_line_dedup(spark, sf_dir):
     cut = line_dedup.deduplicate_lines(load(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5("text").alias("text_md5"))
+
+
+@query
+def op5_mixing(spark, sf_dir):
+    return mixing.mix_sources(load(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "mix_key")
+
+
+@query
+def op6_warc(spark, sf_dir):
+    return warc.archive_pages(load(spark, sf_dir, "pages")).drop("url")
