@@ -43,8 +43,9 @@ def known_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(id, text, label)`` of ``docs(id, text)`` with a label to learn from,
-    stored, since training reads it more than once."""
-    return stage(docs.where(F.col("id").isNotNull() & ~held_out("id")).join(labels, "id"), "labelled")
+    stored, since training reads it more than once. Labels grow with the
+    documents, so they are merged, not broadcast, at every size."""
+    return stage(docs.where(F.col("id").isNotNull() & ~held_out("id")).join(labels.hint("merge"), "id"), "labelled")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
