@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity, warc
+from docloom.llm import decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity, warc
 from docloom.llm.common import held_out
 from docloom.sources.tables import load
 
@@ -64,3 +64,8 @@ def op5_mixing(spark, sf_dir):
 @query
 def op6_warc(spark, sf_dir):
     return warc.archive_pages(load(spark, sf_dir, "pages")).drop("url")
+
+
+@query
+def op7_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(load(spark, sf_dir, "documents"))
