@@ -348,13 +348,33 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, n
     return costs, features, chances
 
 
-def _scores(batches, costs, features, chances):
+def _best(data, offsets, costs, features, chances) -> np.ndarray:
+    hashes, rows, _ = evidence(data, offsets, costs)
+    which, place = _of_model(features, hashes)
+    best = np.zeros(len(offsets) - 1)
+    np.maximum.at(best, rows[which], chances[place])
+    return best
+
+
+def _scores(batches, model):
     for batch, data, offsets in chunks(batches, "text"):
-        hashes, rows, _ = evidence(data, offsets, costs)
-        which, place = _of_model(features, hashes)
-        best = np.zeros(batch.num_rows)
-        np.maximum.at(best, rows[which], chances[place])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(best)], ["id", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_best(data, offsets, *model))], ["id", "score"])
+
+
+def _clean(batches, text_col, threshold, model):
+    for batch, data, offsets in chunks(batches, text_col):
+        yield batch.filter(pa.array(_best(data, offsets, *model) < threshold))
+
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of ``docs``, all columns, that score under ``threshold``; null
+    and empty texts stay. One pass over the rows, without a join."""
+    model = train(_id_text(docs, id_col, text_col), known_labels(labels, id_col, label_col))
+    return docs.mapInArrow(partial(_clean, text_col=text_col, threshold=threshold, model=model), docs.schema)
+
+
+def _id_text(docs, id_col, text_col):
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -363,10 +383,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Rows with one id are separate rows. Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    costs, features, chances = train(docs, known_labels(labels, id_col, label_col))
-    scored = docs.mapInArrow(partial(_scores, costs=costs, features=features, chances=chances), "id long, score double")
-    return scored.withColumnRenamed("id", id_col)
+    docs = _id_text(docs, id_col, text_col)
+    model = train(docs, known_labels(labels, id_col, label_col))
+    return docs.mapInArrow(partial(_scores, model=model), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def restored(docs: DataFrame, costs: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
