@@ -37,14 +37,14 @@ class Rule:
 
 #: Public thresholds for web text, the word count apart, which the base rule has.
 RULES = (
-    Rule("mean_word_length", "word_chars / n_words", 2.0, 14.0),
-    Rule("symbols_per_word", "n_symbols / n_words", None, 0.1),
-    Rule("stop_word_share", "n_stop_words / n_words", 0.02, None),
-    Rule("words_with_letters", "n_letter_words / n_words", 0.6, None),
-    Rule("stuttered_words", "n_stutter / n_words", None, 0.3),
-    Rule("duplicate_lines", "(n_dup_lines - 1) / greatest(n_lines, 1)", None, 0.3),  # one is fine in a short text
-    Rule("bullet_lines", "n_bullet_lines / greatest(n_lines, 1)", None, 0.9),
-    Rule("ellipsis_lines", "n_ellipsis_lines / greatest(n_lines, 1)", None, 0.3),
+    Rule("mean_word_length", "try_divide(word_chars, n_words)", 2.0, 14.0),
+    Rule("symbols_per_word", "try_divide(n_symbols, n_words)", None, 0.1),
+    Rule("stop_word_share", "try_divide(n_stop_words, n_words)", 0.02, None),
+    Rule("words_with_letters", "try_divide(n_letter_words, n_words)", 0.6, None),
+    Rule("stuttered_words", "try_divide(n_stutter, n_words)", None, 0.3),
+    Rule("duplicate_lines", "try_divide(n_dup_lines - 1, n_lines)", None, 0.3),  # one is fine in a short text
+    Rule("bullet_lines", "try_divide(n_bullet_lines, n_lines)", None, 0.9),
+    Rule("ellipsis_lines", "try_divide(n_ellipsis_lines, n_lines)", None, 0.3),
 )
 
 
