@@ -105,19 +105,22 @@ def _sampled(batches):
 def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, seed: int = 1) -> np.ndarray:
     """Weights per cell, ratios included, and the bias last: hinge loss by
     coordinate descent on the dual. Rows are scaled to one length per n-gram."""
-    weights = np.zeros(len(ratios) + 1)
+    weights, bias = np.zeros(len(ratios)), 0.0
     sign = np.where(labels == 1, 1.0, -1.0)
-    values = [np.append(ratios[r] / np.sqrt(max(len(r), 1)), 1.0) for r in rows]
-    places = [np.append(r, len(ratios)) for r in rows]
-    norms = np.array([float(v @ v) for v in values])
+    scale = np.array([1 / np.sqrt(max(len(r), 1)) for r in rows])
+    norms = np.array([float((ratios[r] ** 2).sum()) for r in rows]) * scale**2 + 1.0
     alpha, order = np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in order.permutation(len(rows)):
-            gradient = sign[i] * float(weights[places[i]] @ values[i]) - 1.0
+            values = ratios[rows[i]]
+            gradient = sign[i] * (float(weights[rows[i]] @ values) * scale[i] + bias) - 1.0
             new = min(max(alpha[i] - gradient / norms[i], 0.0), COST)
             if new != alpha[i]:
-                weights[places[i]] += (new - alpha[i]) * sign[i] * values[i]
+                step = (new - alpha[i]) * sign[i]
+                weights[rows[i]] += step * scale[i] * values
+                bias += step
                 alpha[i] = new
+    weights = np.append(weights, bias)
     used = weights[:-1][weights[:-1] != 0]
     mean = np.abs(used).mean() if len(used) else 0.0
     weights[:-1] = (1 - SHARE) * mean + SHARE * weights[:-1]
