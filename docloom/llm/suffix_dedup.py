@@ -85,7 +85,11 @@ def picks(data: np.ndarray, offsets: np.ndarray):
 
 
 def _pick_rows(batches):
+    """The picks of each text, of equal texts in one task only once."""
+    seen = set()
     for batch, data, offsets in chunks(batches, "text", 1 << 20):
+        keys = list(zip(batch.column("c").to_pylist(), batch.column("d").to_pylist()))
+        fresh = np.array([not (k in seen or seen.add(k)) for k in keys])
         parts = [(0, data, offsets)]
         if len(data) > LONG:  # one row
             parts = [(at, data[at : at + LONG + LEAST - 1], None) for at in range(0, len(data), LONG)]
@@ -93,7 +97,8 @@ def _pick_rows(batches):
             if len(part) < LEAST:
                 continue
             cuts = np.array([0, len(part)]) if cuts is None else cuts
-            h, row, place, low, high = picks(part, cuts)
+            found = picks(part, cuts)
+            h, row, place, low, high = (x[fresh[found[1]]] for x in found)
             c, d = batch.column("c").take(pa.array(row)), batch.column("d").take(pa.array(row))
             yield pa.RecordBatch.from_arrays([signed(h), c, d, *(pa.array(x + base, pa.int64()) for x in (place, low, high))], ["h", "c", "d", "place", "low", "high"])
 
@@ -339,7 +344,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = stage(long.mapInArrow(_pick_rows, "h long, c long, d long, place long, low long, high long"), "picks")
     spot = F.xxhash64("c", "d", "place")
     again = runs.groupBy("h").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("h")
-    per_text = runs.join(again, "h", "left_semi").distinct().groupBy("c", "d").agg(F.collect_list(F.struct("h", "place", "low", "high")).alias("runs"))
+    # dealt by text before copies are merged, so that Spark may split the join at a common pick
+    shared = runs.join(again, "h", "left_semi").repartition("c", "d").distinct()
+    per_text = shared.groupBy("c", "d").agg(F.collect_list(F.struct("h", "place", "low", "high")).alias("runs"))
     copies = long.groupBy("c", "d").agg(F.min(F.coalesce("id", F.lit(-1))).alias("one"), F.count("*").alias("m"), F.first(F.octet_length("text")).cast("long").alias("size"))
     copies = stage(copies, "copies")
     chosen = per_text.join(copies.select("c", "d", "one"), ["c", "d"])
