@@ -13,6 +13,8 @@ from operator import and_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What ``metadata_path`` accepts, as one pattern.
+PATH_RULE = r"""^[^.\[\]'"\\]+(\.?[^.\[\]'"\\]+|\[[0-9]+\])*$"""
 _SEGMENT = re.compile(r"""\.?(?P<name>[^.\[\]'"\\]+)|\[(?P<index>\d+)\]""")
 
 

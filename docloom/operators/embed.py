@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Length and filler of the placeholder embedding, documents
-# embedded per backfill cycle.
+# embedded per cycle where a rate is asked for.
 STUB_DIM = 2560
 STUB_VALUE = 0.1
 CYCLE_SIZE = 15
@@ -81,16 +81,29 @@ def embed_column(df: DataFrame, embedder, text="content", vector="vector", error
     return (df.withColumn(error, F.col("_embedded.error")) if error else df).drop("_embedded")
 
 
-def backfill_cycle(docs: DataFrame, embedder, n: int | None = CYCLE_SIZE) -> DataFrame:
+def backfill_cycle(docs: DataFrame, embedder, n: int | None = None, failures: DataFrame | None = None, max_tries: int | None = None) -> DataFrame:
     """Vectors for the next pending documents of several collections.
 
-    ``docs`` carries ``db`` and ``table``. The n oldest pending documents of
-    each table are embedded; of those that succeed the first n overall are
-    returned as ``db, table, id, vector``, the others stay pending. With
-    ``n=None`` all pending documents are done.
+    ``docs`` carries ``db`` and ``table``. All pending documents are done,
+    or, with a rate ``n``, the n oldest of each table, and of those that
+    succeed the first n overall: ``db, table, id, vector``. The others stay
+    pending. ``failures(db, table, id, tries)`` counts earlier tries: with
+    ``max_tries`` a document that failed as often is passed over, so it
+    cannot keep those behind it waiting.
     """
+    done = attempted(docs, embedder, n, failures, max_tries).where(F.col("vector").isNotNull())
+    if n is not None:
+        done = done.orderBy("db", "table", "created_at", "id").limit(n)
+    return done.select("db", "table", "id", "vector")
+
+
+def attempted(docs: DataFrame, embedder, n: int | None = None, failures: DataFrame | None = None, max_tries: int | None = None) -> DataFrame:
+    """The pending documents of a cycle with ``vector`` and ``error``."""
     keys = ["db", "table", "id", *(["bucket"] if "bucket" in docs.columns else [])]
     queue = docs.where(~F.col("is_embedded"))
+    if failures is not None and max_tries is not None:
+        given_up = failures.where(F.col("tries") >= max_tries).select("db", "table", "id").distinct()
+        queue = queue.join(given_up, ["db", "table", "id"], "left_anti")
     if n is not None:
         # ranked without the texts; the texts of the chosen few are fetched
         # by broadcast, and their buckets prune the directories to read
@@ -100,7 +113,4 @@ def backfill_cycle(docs: DataFrame, embedder, n: int | None = CYCLE_SIZE) -> Dat
         n_chosen = n * docs.select("db", "table").distinct().count()
         queue = queue.join(F.broadcast(chosen) if n_chosen <= BROADCAST_ROWS else chosen, keys)
     queue = queue.select("db", "table", "id", "content", "created_at")
-    done = embed_column(queue, embedder).where(F.col("vector").isNotNull())
-    if n is not None:
-        done = done.orderBy("db", "table", "created_at", "id").limit(n)
-    return done.select("db", "table", "id", "vector")
+    return embed_column(queue, embedder, error="error")

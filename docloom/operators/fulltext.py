@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docloom.functions.filters import filter_column
 from docloom.functions.text import with_tokens
 from docloom.operators.match import Match, TokenView
-from docloom.schema import clamp_limit
+from docloom.schema import wanted
 from docloom.session import shared_dir
 
 # The two free parameters of BM25 and the weight of a word that
@@ -91,6 +91,9 @@ def score_text(df: DataFrame, match: Match, filters: dict | None = None, text="c
     return with_stats(hits, stats).withColumn("score", score).drop("_tokens", "_stats")
 
 
+WINDOW_ROWS = 10_000  # rows ranked in one task; more are ranked by a distributed sort
+
+
 def rank_all(scored: DataFrame, order: list[Column]) -> DataFrame:
     """Number all rows in order, without bringing them into one task.
 
@@ -110,12 +113,19 @@ def rank_all(scored: DataFrame, order: list[Column]) -> DataFrame:
     return placed.withColumn("rank", rank).drop("_part", "_place", "_before")
 
 
-def best(scored: DataFrame, k: int, id="id", descending=False) -> DataFrame:
-    """The k best rows with ``rank`` 1..k, or all rows for ``k <= 0``; ties
+def best(scored: DataFrame, k: int | None, id="id", descending=False) -> DataFrame:
+    """The k best rows with ``rank`` 1..k, or all rows without a limit; ties
     are ordered by id."""
     order = [F.col("score").desc() if descending else F.col("score").asc(), F.col(id).asc()]
-    if k <= 0:
-        return rank_all(scored, order)
+    return ranked(scored, order, k)
+
+
+def ranked(scored: DataFrame, order: list[Column], k: int | None) -> DataFrame:
+    """The first k rows in an order (None: all) with their ``rank``."""
+    k = wanted(k)
+    if k is None or k > WINDOW_ROWS:
+        rows = rank_all(scored, order)
+        return rows if k is None else rows.where(F.col("rank") <= k)
     # the window sees only the k rows that the limit left
     return scored.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
@@ -123,8 +133,8 @@ def best(scored: DataFrame, k: int, id="id", descending=False) -> DataFrame:
 def search_text(
     df: DataFrame, match: Match, k: int | None = None, filters: dict | None = None, text="content", id="id"
 ) -> DataFrame:
-    """The k best matches: columns of ``df`` plus ``score`` and ``rank``."""
-    return best(score_text(df, match, filters, text), clamp_limit(k), id)
+    """The k best matches (None: all): columns of ``df`` plus ``score`` and ``rank``."""
+    return best(score_text(df, match, filters, text), k, id)
 
 
 def hydrate(hits: DataFrame, docs: DataFrame, id="id") -> DataFrame:

@@ -1,8 +1,9 @@
 """Changes to a collection as DataFrame -> DataFrame transforms.
 
-Each gives the next content of the collection. The documents that stay are
-passed through by an anti or left join on the id; when the batch is small,
-Spark broadcasts it and the collection is not shuffled.
+Each gives the next content of the collection. An upsert is one full outer
+join of the collection with the batch, so both are read once; a delete or an
+update of vectors is an anti or left join, for which Spark broadcasts a small
+batch.
 """
 
 from __future__ import annotations
@@ -26,12 +27,16 @@ def latest_per_id(batch: DataFrame, order: str | None = None, id="id") -> DataFr
     """One row per id: the one with the highest ``order`` value.
 
     An aggregate, so copies of one hot id are reduced before the shuffle.
-    Without an order column the largest row wins, which is arbitrary but the
-    same on every run.
+    Without an order column nothing says which of two rows of an id is the
+    last: equal rows count as one, and rows that differ fail the job.
     """
     others = [c for c in batch.columns if c != id]
     row = F.struct(*others)
-    chosen = F.max_by(row, F.struct(order, *[c for c in others if c != order])) if order else F.max(row)
+    if order:
+        chosen = F.max_by(row, F.struct(order, *[c for c in others if c != order]))
+    else:
+        clash = F.raise_error(F.concat(F.lit("several rows for id "), F.first(id), F.lit(", and no order to choose by")))
+        chosen = F.when(F.min(row) == F.max(row), F.max(row)).otherwise(clash.cast(batch.select(row.alias("r")).schema["r"].dataType))
     return batch.groupBy(id).agg(chosen.alias("_row")).select(id, *(F.col(f"_row.{c}").alias(c) for c in others))
 
 
@@ -60,16 +65,17 @@ def complete(batch: DataFrame, as_of=None) -> DataFrame:
 def upsert(current: DataFrame, batch: DataFrame, as_of=None, order: str | None = None) -> DataFrame:
     """Insert new ids and replace existing ones.
 
-    A replaced document keeps only its ``created_at``; one stored again
-    without a vector loses the old vector and is pending again.
+    Documents without an id get a new one each. A replaced document keeps
+    only its ``created_at``; one stored again without a vector loses the old
+    vector and is pending again.
     """
-    fresh = complete(latest_per_id(batch, order), as_of)
-    ids = fresh.select("id")
-    stay = current.join(ids, "id", "left_anti").select(*DOCUMENT_COLUMNS)
-    # two columns of the collection are enough to look the old dates up
-    known = current.select("id", F.col("created_at").alias("_created")).join(ids, "id", "left_semi")
-    changed = fresh.join(known, "id", "left").withColumn("created_at", F.coalesce("_created", "created_at"))
-    return stay.unionByName(changed.select(*DOCUMENT_COLUMNS))
+    fresh = complete(latest_per_id(with_ids(batch), order), as_of)
+    old = current.select(F.col("id").alias("_id"), F.struct(*DOCUMENT_COLUMNS).alias("_old"))
+    both = old.join(fresh.select("id", F.struct(*DOCUMENT_COLUMNS).alias("_new")), F.col("_id") == F.col("id"), "full_outer")
+    is_new = F.col("_new").isNotNull()
+    columns = {c: F.when(is_new, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")) for c in DOCUMENT_COLUMNS}
+    columns["created_at"] = F.coalesce("_old.created_at", "_new.created_at")
+    return both.select(*(value.alias(name) for name, value in columns.items()))
 
 
 def delete(current: DataFrame, ids: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from docloom.operators.fulltext import best, bm25, idf, with_stats
 from docloom.operators.match import Leaf, Match, Near, PostingsView
 from docloom.operators.text_batch import BROADCAST_WORDS, TextScorer, query_words, weigh_queries, with_options
 from docloom.operators.topk_join import size_of, topk_join
-from docloom.schema import DEFAULT_LIMIT, clamp_limit
+from docloom.schema import DEFAULT_LIMIT
 
 TOKEN_BLOCK = 2_000_000  # tokens grouped at a time inside a task
 FILE_ROWS = 4_000_000  # postings aimed at per stored file
@@ -217,13 +217,13 @@ class TextIndex:
         return hits.select("id", bm25(counts, idfs, F.col("length"), F.col("_stats.mean_length")).alias("score"))
 
     def search(self, match: Match, k: int | None = None) -> DataFrame:
-        """The k best documents: ``id, score, rank``; see ``hydrate`` for the rest."""
-        return best(self.score(match), clamp_limit(k))
+        """The k best documents (None: all): ``id, score, rank``; see ``hydrate`` for the rest."""
+        return best(self.score(match), k)
 
     def search_filtered(self, match: Match, docs: DataFrame, k: int | None = None, filters: dict | None = None) -> DataFrame:
         """As ``search`` over the documents that pass the filters."""
         allowed = docs.where(filter_column(filters)).select("id")
-        return best(self.score(match).join(allowed, "id", "left_semi"), clamp_limit(k))
+        return best(self.score(match).join(allowed, "id", "left_semi"), k)
 
     def search_batch(
         self, queries: DataFrame, k: int = DEFAULT_LIMIT, every_word: bool = False, digits: int | None = None, **layout

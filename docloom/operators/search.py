@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import json
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.functions.filters import filter_column
+from docloom.functions.filters import PATH_RULE, filter_column
+from docloom.functions.text import query_tokens, with_tokens
 from docloom.operators.embed import embed_column
-from docloom.operators.fulltext import score_text
-from docloom.operators.match import Match
+from docloom.operators.fulltext import ranked, score_text
+from docloom.operators.match import Match, TokenView, any_of, phrase, prefix, term
 from docloom.operators.text_batch import search_hybrid_batch, search_text_batch
 from docloom.operators.vector import knn_join, similarity_to
-from docloom.schema import DEFAULT_LIMIT, clamp_limit
+from docloom.schema import DEFAULT_LIMIT
+from docloom.session import shared_dir
 
 TYPES = ("fulltext", "vector", "hybrid")
 FILTERS_PER_PASS = 256  # distinct filters evaluated in one pass over the documents
@@ -30,7 +33,7 @@ def search_hybrid(
     id="id",
     digits: int | None = None,
 ) -> DataFrame:
-    """All text matches, ordered by cosine to ``vector`` and then by BM25.
+    """The first k text matches (None: all), ordered by cosine to ``vector`` and then by BM25.
 
     Adds ``score`` (cosine, NULL without a vector, those come last),
     ``text_score`` and ``rank``.
@@ -39,14 +42,29 @@ def search_hybrid(
     cosine = F.when(F.size("vector") > 0, similarity_to(vector))
     scored = scored.withColumn("score", cosine if digits is None else F.round(cosine, digits))
     order = [F.col("score").desc_nulls_last(), F.col("text_score"), F.col(id)]
-    top = scored.orderBy(*order).limit(clamp_limit(k))
-    return top.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    return ranked(scored, order, k)
+
+
+def _bad_filters():
+    """Filters that are no JSON object, or have a tag condition of the wrong
+    kind or an impossible path. One such request must not fail the others."""
+    parsed = F.try_parse_json("filters")
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, path, "variant")), F.lit("absent"))
+    bad_tag = ~kind("$.tag").isin("STRING", "absent")
+    bad_tags = ~kind("$.tags").rlike("^(STRING|ARRAY|absent)")
+    bad_path = F.exists(F.coalesce(F.json_object_keys("filters"), F.array().cast("array<string>")), lambda key: ~key.rlike(PATH_RULE))
+    empty = F.coalesce("filters", F.lit("")) == ""
+    return ~empty & F.coalesce(parsed.isNull() | ~F.schema_of_variant(parsed).startswith("OBJECT") | bad_tag | bad_tags | bad_path, F.lit(True))
 
 
 def _reason():
     kind = F.coalesce("type", F.lit(""))
-    return F.when(F.coalesce("query", F.lit("")) == "", F.lit("query is required")).when(
-        (kind != "") & ~kind.isin(*TYPES), F.concat(F.lit("invalid search type: "), kind)
+    copies = F.count("*").over(W.partitionBy("query_id"))
+    return (
+        F.when(F.coalesce("query", F.lit("")) == "", F.lit("query is required"))
+        .when((kind != "") & ~kind.isin(*TYPES), F.concat(F.lit("invalid search type: "), kind))
+        .when(_bad_filters(), F.lit("invalid filters"))
+        .when(F.col("query_id").isNull() | (copies > 1), F.lit("query_id is not unique"))
     )
 
 
@@ -59,9 +77,27 @@ def accepted_requests(requests: DataFrame) -> DataFrame:
     """Requests that can be answered, defaults filled in."""
     kind = F.when(F.coalesce("type", F.lit("")) == "", F.lit("fulltext")).otherwise(F.col("type"))
     k = F.when(F.coalesce("limit", F.lit(0)) > 0, F.col("limit")).otherwise(F.lit(DEFAULT_LIMIT))
-    return requests.where(_reason().isNull()).select(
-        "query_id", "query", kind.alias("type"), k.cast("int").alias("k"), F.coalesce("filters", F.lit("{}")).alias("filters")
-    )
+    filters = F.when(F.coalesce("filters", F.lit("")) == "", "{}").otherwise(F.col("filters"))
+    words = F.col("match") if "match" in requests.columns else F.lit(None).cast("string")
+    good = requests.withColumn("_reason", _reason()).where("_reason IS NULL")
+    return good.select("query_id", "query", kind.alias("type"), k.cast("int").alias("k"), filters.alias("filters"), F.coalesce(words, F.lit("{}")).alias("match"))
+
+
+def _condition(match: str):
+    """The text condition of a request's ``match``, or None.
+
+    A JSON object with lists: ``phrases`` and ``prefixes`` that must occur,
+    ``none`` of these words, and ``any`` of these words.
+    """
+    asked = json.loads(match)
+    parts = [phrase(*query_tokens(p)) for p in asked.get("phrases", []) if query_tokens(p)]
+    parts += [prefix(p) for p in asked.get("prefixes", []) if query_tokens(p)]
+    if asked.get("any"):
+        parts.append(any_of(*asked["any"]))
+    view = TokenView("_tokens")
+    columns = [p.matches(view) for p in parts]
+    columns += [~term(w).matches(view) for w in asked.get("none", []) if query_tokens(w)]
+    return reduce(and_, columns) if columns else None
 
 
 def search_requests(
@@ -69,25 +105,39 @@ def search_requests(
 ) -> DataFrame:
     """Answer a table of requests: ``query_id, type, id, score, rank``.
 
-    ``requests``: ``query_id, query, type, limit, filters`` (JSON text). All
-    requests of a kind share one pass over the documents; a query text asks
-    for all its words. The distinct filters are compiled on the driver and
-    each becomes one boolean per document.
+    ``requests``: ``query_id, query, type, limit, filters`` (JSON text), and
+    optionally ``match`` (JSON text, see :func:`_condition`) with further
+    conditions on the text. All requests of a kind share one pass over the
+    documents. A query text asks for all its words; with ``any`` words in
+    ``match``, or without ``every_word``, for any of them. The distinct
+    filters and conditions are compiled on the driver, ``FILTERS_PER_PASS`` at
+    a time, and each becomes one boolean per document.
     """
     asked = accepted_requests(requests)
-    present = [(r["type"], r["filters"]) for r in asked.select("type", "filters").distinct().collect()]
-    filters = sorted({f for _, f in present})
+    per_request = F.when(F.coalesce(F.json_array_length(F.get_json_object("match", "$.any")), F.lit(0)) > 0, False).otherwise(every_word)
+    asked = asked.withColumns({"every_word": per_request, "_pair": F.struct("filters", "match")})
+    pairs = asked.select("_pair").distinct()
     parts = [asked.select("query_id", F.lit("").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)]
-    for at in range(0, len(filters), FILTERS_PER_PASS):
-        chunk = filters[at : at + FILTERS_PER_PASS]
-        kinds = {kind for kind, f in present if f in chunk}
-        numbered = docs.sparkSession.createDataFrame(list(enumerate(chunk)), "filter_no int, filters string")
-        numbered = asked.join(F.broadcast(numbered), "filters").drop("filters")
-        visible = docs.withColumn("passes", F.array(*(filter_column(json.loads(f)) for f in chunk)))
+    last = None
+    while True:
+        rest = pairs if last is None else pairs.where(F.col("_pair") > F.struct(F.lit(last["filters"]).alias("filters"), F.lit(last["match"]).alias("match")))
+        chunk = [r["_pair"] for r in rest.orderBy("_pair").limit(FILTERS_PER_PASS).collect()]
+        if not chunk:
+            break
+        last = chunk[-1]
+        numbered = docs.sparkSession.createDataFrame([(n, p["filters"], p["match"]) for n, p in enumerate(chunk)], "filter_no int, filters string, match string")
+        numbered = asked.join(F.broadcast(numbered), ["filters", "match"]).drop("filters", "match", "_pair")
+        kinds = {r["type"] for r in numbered.select("type").distinct().collect()}  # three at most
+        conditions = [_condition(p["match"]) for p in chunk]
+        visible = with_tokens(docs, name="_tokens") if any(c is not None for c in conditions) else docs
+        passes = [filter_column(json.loads(p["filters"])) for p in chunk]
+        passes = [f if c is None else f & F.coalesce(c, F.lit(False)) for f, c in zip(passes, conditions)]
+        visible = visible.withColumn("passes", F.array(*passes)).select(*docs.columns, "passes")
         visible = visible.withColumn("vector", F.when(F.col("is_embedded"), F.col("vector")))
         by_type = {kind: numbered.where(F.col("type") == kind).drop("type") for kind in kinds}
         for kind in kinds & {"vector", "hybrid"}:
-            by_type[kind] = embed_column(by_type[kind], embedder, text="query")
+            # stored: the embedder must run once per text, and its rows are counted before they are used
+            by_type[kind] = _stored(embed_column(by_type[kind], embedder, text="query"))
         if "vector" in kinds:
             parts.append(knn_join(by_type["vector"], visible, digits=digits, **layout))
         options = {"every_word": every_word, "digits": digits, **layout}
@@ -103,6 +153,12 @@ def search_requests(
     return hits.join(asked.select("query_id", "type"), "query_id").select("query_id", "type", "id", "score", "rank")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    path = shared_dir(df.sparkSession, "asked")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def responses(requests: DataFrame, hits: DataFrame) -> DataFrame:
     """One row per answered request: ``query_id, query, type, total, results``.
 

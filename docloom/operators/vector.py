@@ -32,7 +32,7 @@ def score_lists(metric: str, docs: pa.Array, queries: list) -> np.ndarray:
         for query_length, columns, query_matrix in queries:
             if length == query_length:
                 out[np.ix_(rows, columns)] = score_block(metric, matrix, query_matrix)
-    return out
+    return np.where(np.isnan(out), WORST_DISTANCE, out)  # not a number: the last rank, in every search
 
 
 def similarity_to(vector: list[float], metric="cosine", column="vector"):
@@ -62,7 +62,7 @@ def score_vectors(df: DataFrame, vector: list[float], metric="cosine", filters:
 def search_vectors(
     df: DataFrame,
     vector: list[float],
-    k: int = DEFAULT_LIMIT,
+    k: int | None = None,
     metric="cosine",
     filters: dict | None = None,
     id="id",
@@ -70,7 +70,8 @@ def search_vectors(
 ) -> DataFrame:
     """The k most similar documents with ``score`` and ``rank``.
 
-    ``k <= 0`` ranks all of them. ``digits`` rounds scores before ranking.
+    Without a limit all are ranked. ``digits`` rounds scores before ranking.
+    A score that is not a number ranks last.
     """
     scored = score_vectors(df, vector, metric, filters)
     if digits is not None:
@@ -97,8 +98,10 @@ def knn_join(
     """The k nearest documents of every query vector.
 
     ``queries``: ``query_id, vector`` and optionally ``k`` and ``filter_no``;
-    ``docs``: ``id, vector``, and ``passes`` if ``filter_no`` is used.
+    ``docs``: ``id, vector``, and ``passes`` if ``filter_no`` is used. A query
+    without a vector has no neighbours.
     """
+    queries = queries.where(F.size("vector") > 0)
     if "k" not in queries.columns:
         queries = queries.withColumn("k", F.lit(int(k)))
     filtered = "filter_no" in queries.columns

@@ -21,6 +21,8 @@ DOCS = """c AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, d.doc_id, d.text AS cont
 CSV = "array_to_string(tags, ',')"
 WRITTEN = 1735689600  # the write time of the changes, 2025-01-01
 FIXED = "CAST(CAST([" + ", ".join(str(x) for x in QUERY_VECTOR) + "] AS FLOAT[]) AS DOUBLE[])"
+# A vector that depends on the text: counts of letters, weighted.
+LETTERS = "list_transform(range(64), lambda i: CAST(length({0}) - length(replace({0}, chr(CAST(97 + i % 26 AS INTEGER)), '')) AS DOUBLE) * (1 + i // 26))"
 STUB = f"list_transform(range({DIM}), lambda i: CAST(CAST(0.1 AS FLOAT) AS DOUBLE))"
 WIDE = "CAST({} AS DOUBLE[])"
 
@@ -91,6 +93,11 @@ _TOP = """SELECT id, {score} AS score, CAST(rank AS INTEGER) AS rank FROM
   (SELECT id, score, row_number() OVER (ORDER BY score, id) AS rank FROM sc) WHERE rank <= {k}"""
 SQL["fulltext_topk"] = f"WITH {bm25(TOP_WORDS, has_any(TOP_WORDS))} " + _TOP.format(score=rounded("score"), k=10)
 SQL["fulltext_postings"] = SQL["fulltext_topk"]
+SQL["fulltext_ranked_all"] = f"""WITH {bm25(TOP_WORDS, has_any(TOP_WORDS))}, r AS (SELECT id, {rounded("score")} AS score FROM sc)
+ SELECT id, score, CAST(row_number() OVER (ORDER BY score, id) AS INTEGER) AS rank FROM r"""
+SQL["hydrate_hits"] = f"""WITH {bm25(TOP_WORDS, has_any(TOP_WORDS))}, {DOCS}
+ SELECT c.id, CAST(rank AS INTEGER) AS rank, md5(content) AS content, {CSV} AS tags, is_embedded
+ FROM (SELECT id, row_number() OVER (ORDER BY score, id) AS rank FROM sc) JOIN c USING (id) WHERE rank <= 10"""
 SQL["fulltext_filtered"] = (
     f"WITH {bm25(TOP_WORDS, has_any(TOP_WORDS) + ' AND id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1)')} "
     + _TOP.format(score=rounded("score"), k=20)
@@ -184,6 +191,7 @@ SQL["delete_documents"] = f"WITH {DOCS}, {DOOMED} SELECT id FROM c WHERE id NOT
 SQL["delete_not_found"] = f"WITH {DOCS}, {DOOMED} SELECT DISTINCT id FROM x WHERE id NOT IN (SELECT id FROM c)"
 SQL["update_vectors"] = f"""WITH {DOCS} SELECT id, is_embedded, CASE WHEN is_embedded THEN {WRITTEN} ELSE created END AS updated_at,
   {summary('vector')} FROM c"""
+SQL["upsert_missing_ids"] = "SELECT count(*) AS n, count(*) AS n_ids, count(DISTINCT conv_id || '/' || turn || '/' || coalesce(text, '')) AS n_texts FROM conversations"
 SQL["assign_ids"] = "SELECT count(*) AS n, count(*) AS n_distinct, count(*) AS n_uuid FROM conversations"
 
 # -- ingest
@@ -192,7 +200,11 @@ SQL["ingest_valid"] = f"""WITH {DOCS} SELECT id, md5(content) AS content, '{{"te
   false AS is_embedded FROM c WHERE source <> 'src7' AND coalesce(toxic, 0) <> 1"""
 SQL["ingest_rejected"] = f"""WITH {DOCS} SELECT CASE WHEN source = 'src7' THEN 'invalid request body' ELSE 'content is required' END
   AS reason, count(*) AS n FROM c WHERE source = 'src7' OR toxic = 1 GROUP BY ALL"""
-SQL["ingest_embed_sync"] = f"SELECT CAST(doc_id AS VARCHAR) AS id, true AS is_embedded, {summary(STUB)} FROM documents"
+SQL["ingest_wrong_kinds"] = """SELECT CASE WHEN doc_id % 5 = 3 THEN 'stored' ELSE 'invalid request body' END AS reason, count(*) AS n
+  FROM documents GROUP BY ALL"""
+SQL["ingest_embed_sync"] = f"SELECT CAST(doc_id AS VARCHAR) AS id, true AS is_embedded, {summary(LETTERS.format('text'))} FROM documents"
+SQL["embed_failures"] = """SELECT CAST(doc_id AS VARCHAR) AS id, NOT starts_with(text, 'E') AS done,
+  CASE WHEN starts_with(text, 'E') THEN 'begins with E' END AS error FROM documents"""
 SQL["ingest_embed_async"] = "SELECT CAST(doc_id AS VARCHAR) AS id, false AS is_embedded, true AS cleared FROM documents"
 SQL["tags_from_csv"] = f"""WITH {DOCS} SELECT id, {CSV} AS csv, CAST(len(string_split({CSV}, ',')) AS INTEGER) AS n_tags,
   string_split({CSV}, ',')[-1] AS last_tag FROM c"""
@@ -207,6 +219,20 @@ SQL["embed_custom"] = """SELECT CAST(doc_id AS VARCHAR) AS id, CAST(length(text)
 SQL["embedding_backfill"] = f"""WITH {DOCS}, p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY created, id) AS place
   FROM c WHERE NOT is_embedded)
  SELECT 'main' AS db, lang AS "table", id, {DIM} AS dim FROM p WHERE place <= 15 ORDER BY lang, created, id LIMIT 15"""
+SQL["backfill_all"] = f"""WITH {DOCS} SELECT 'main' AS db, lang AS "table", id, {summary(LETTERS.format('content'))} FROM c WHERE NOT is_embedded"""
+# Cycles of 20: two tries for each of the failing documents at the head of the queue.
+SQL["backfill_with_failures"] = f"""WITH RECURSIVE {DOCS}, pending AS (SELECT id, starts_with(content, 'E') AS bad,
+   row_number() OVER (ORDER BY created, id) AS place FROM c WHERE NOT is_embedded),
+ cycle AS (
+   SELECT 0 AS nth, list({{'id': id, 'bad': bad, 'tries': 0, 'done': false}} ORDER BY place) AS queue FROM pending
+   UNION ALL
+   SELECT nth + 1, list_transform(queue, lambda x, i: CASE
+     WHEN x.done OR x.tries >= 2 OR len(list_filter(queue[1:i], lambda y: NOT y.done AND y.tries < 2)) > 20 THEN x
+     WHEN x.bad THEN {{'id': x.id, 'bad': x.bad, 'tries': x.tries + 1, 'done': false}}
+     ELSE {{'id': x.id, 'bad': x.bad, 'tries': x.tries, 'done': true}} END) FROM cycle WHERE nth < 5),
+ last AS (SELECT unnest(queue) AS x FROM cycle WHERE nth = 5)
+ SELECT c.id, c.is_embedded OR coalesce(x.done, false) AS is_embedded, CASE WHEN x.tries > 0 THEN CAST(x.tries AS BIGINT) END AS tries,
+   CASE WHEN x.tries > 0 THEN 'begins with E' END AS error FROM c LEFT JOIN last ON c.id = x.id"""
 SQL["embedding_payloads"] = f"""SELECT vec_id, CASE WHEN label % 5 < 3 THEN {DIM} END AS dim,
   CASE WHEN label % 5 < 3 THEN {rounded('list_sum(CAST(embedding AS DOUBLE[]))', 4)} END AS total,
   CASE label % 5 WHEN 3 THEN 'dimension is not {DIM} but 3' WHEN 4 THEN 'unreadable' END AS error FROM embeddings"""
@@ -231,6 +257,7 @@ SQL["vec_cosine"] = f"WITH {VECS} SELECT id, {_COS} AS score FROM v"
 SQL["vec_euclidean"] = f"WITH {VECS} SELECT id, {_EUC} AS score FROM v"
 SQL["vec_dot"] = f"WITH {VECS} SELECT id, {_DOT} AS score FROM v"
 SQL["vector_topk"] = nearest(VECS, _COS, 10)
+SQL["metric_fallback"] = SQL["vector_topk"]
 SQL["vector_topk_euclidean"] = nearest(VECS, _EUC, 10)
 SQL["vector_ranked"] = nearest(VECS, _DOT, "rank")
 SQL["vector_filtered"] = nearest(
@@ -239,9 +266,10 @@ SQL["vector_filtered"] = nearest(
 SQL["knn_join"] = f"""WITH {VECS}, s AS (SELECT a.id AS query_id, b.id AS id, {rounded(COSINE.format('a.x', 'b.x'))} AS score
   FROM v a, v b) SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER
   (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"""
-SQL["vector_text_query"] = f"""WITH {VECS}, s AS (SELECT id, {rounded(COSINE.format('x', STUB))} AS score FROM v),
-  t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s)
- SELECT CAST(item_id AS VARCHAR) AS query_id, id, score, CAST(rank AS INTEGER) AS rank FROM benchmark, t WHERE rank <= 10"""
+SQL["vector_text_query"] = f"""WITH {VECS}, b AS (SELECT item_id, {LETTERS.format('text')} AS y FROM benchmark),
+  s AS (SELECT item_id, id, {rounded(COSINE.format('x', 'y'))} AS score FROM v, b),
+  t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM s)
+ SELECT CAST(item_id AS VARCHAR) AS query_id, id, score, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 10"""
 SQL["vector_dim_report"] = f"""WITH {DOCS} SELECT CAST(coalesce(len(vector), 0) AS INTEGER) AS dim, count(*) AS n,
   coalesce(len(vector), 0) = {DIM} AS as_expected FROM c GROUP BY ALL"""
 SQL["vector_blob_roundtrip"] = f"""SELECT CAST(vec_id AS VARCHAR) AS id, CAST(4 * len(embedding) AS INTEGER) AS n_bytes,
@@ -256,19 +284,27 @@ _OPEN = f"""SELECT query_id, query, CASE type WHEN '' THEN 'fulltext' ELSE type
   WHERE query <> '' AND type <> 'fuzzy'"""
 ANSWERS = f"""{word_scores(_OPEN)}, {DOCS},
  text_hit AS (SELECT query_id, type, k, id, total, CASE WHEN type = 'hybrid' AND is_embedded
-    THEN round({COSINE.format('CAST(vector AS DOUBLE[])', STUB)}, 9) END AS cosine
+    THEN round({COSINE.format('CAST(vector AS DOUBLE[])', LETTERS.format('query'))}, 9) END AS cosine
   FROM hit JOIN q USING (query_id) JOIN c USING (id)
   WHERE n_found = n_words AND type IN ('fulltext', 'hybrid') AND (NOT english OR c.lang = 'en')),
  ranked AS (SELECT query_id, type, k, id, CASE type WHEN 'hybrid' THEN cosine ELSE -total END AS score,
     row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC NULLS LAST,
       round(total, 9) DESC, id) AS rank FROM text_hit),
- vector_hit AS (SELECT query_id, type, k, id, round({COSINE.format('CAST(vector AS DOUBLE[])', STUB)}, 9) AS score
+ vector_hit AS (SELECT query_id, type, k, id, round({COSINE.format('CAST(vector AS DOUBLE[])', LETTERS.format('query'))}, 9) AS score
   FROM q, c WHERE type = 'vector' AND is_embedded AND (NOT english OR c.lang = 'en')),
  answers AS (SELECT query_id, type, id, score, rank FROM ranked WHERE rank <= k
   UNION ALL SELECT query_id, type, id, score, rank FROM (SELECT *, row_number() OVER
     (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vector_hit) WHERE rank <= k)"""
 SQL["search_requests"] = f"""WITH {ANSWERS} SELECT query_id, type, id, {rounded('score')} AS score, CAST(rank AS INTEGER) AS rank
   FROM answers"""
+_KINDS = """SELECT CAST(item_id AS VARCHAR) AS query_id, item_id % 6 AS n,
+  CASE item_id % 6 WHEN 0 THEN 'esat lich que' WHEN 4 THEN 'que' ELSE 'the' END AS query FROM benchmark"""
+SQL["search_match_kinds"] = f"""WITH {word_scores(_KINDS)}, ok AS (SELECT hit.*, q.n FROM hit JOIN q USING (query_id) JOIN tk USING (id) WHERE CASE q.n
+   WHEN 0 THEN true WHEN 1 THEN NOT list_contains(k, 'of') WHEN 2 THEN contains(' ' || array_to_string(k, ' ') || ' ', ' the of ')
+   WHEN 3 THEN len(list_filter(k, lambda x: starts_with(x, 'estio'))) > 0 WHEN 4 THEN NOT list_contains(k, 'de') ELSE false END)
+ SELECT query_id, id, {rounded('-total')} AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER
+  (PARTITION BY query_id ORDER BY round(total, 9) DESC, id) AS rank FROM ok) WHERE rank <= 7
+ UNION ALL SELECT query_id, 'invalid filters', NULL, 0 FROM ({_KINDS}) WHERE n = 5"""
 SQL["search_rejected"] = f"""SELECT query_id, CASE WHEN query = '' THEN 'query is required'
   ELSE 'invalid search type: fuzzy' END AS reason FROM ({_ASKED}) WHERE query = '' OR type = 'fuzzy'"""
 SQL["search_response"] = f"""WITH {ANSWERS} SELECT query_id, q.type, CAST(count(id) AS INTEGER) AS total,
@@ -287,7 +323,7 @@ SQL["stored_collection"] = f"""WITH {DOCS}, {BATCH}, {DOOMED}, s AS (SELECT coal
  SELECT {_CHANGED} FROM s WHERE id NOT IN (SELECT id FROM x)"""
 SQL["stream_upsert"] = f"""WITH {DOCS} SELECT id, md5(content) AS content, {CSV} AS tags, {WRITTEN} AS created_at,
   {WRITTEN} AS updated_at, false AS is_embedded FROM c"""
-SQL["stream_backfill"] = f"""WITH {DOCS}, f AS (SELECT id, CASE WHEN is_embedded THEN CAST(vector AS DOUBLE[]) ELSE {STUB} END AS x FROM c)
+SQL["stream_backfill"] = f"""WITH {DOCS}, f AS (SELECT id, CASE WHEN is_embedded THEN CAST(vector AS DOUBLE[]) ELSE {LETTERS.format('content')} END AS x FROM c)
  SELECT id, true AS is_embedded, {summary('x')} FROM f"""
 SQL["backfill_tables"] = f"""WITH {DOCS}, p AS (SELECT *, CASE lang WHEN 'en' THEN 'english' ELSE 'other' END AS t,
    row_number() OVER (PARTITION BY CASE lang WHEN 'en' THEN 'english' ELSE 'other' END ORDER BY is_embedded, created, id) AS place FROM c),
@@ -295,4 +331,8 @@ SQL["backfill_tables"] = f"""WITH {DOCS}, p AS (SELECT *, CASE lang WHEN 'en' TH
  SELECT t AS "table", id, is_embedded OR id IN (SELECT id FROM d) AS is_embedded FROM p"""
 SQL["database_list"] = f"""WITH {DOCS} SELECT lang AS name, count(*) + count(*) FILTER (WHERE labeled) AS document_count,
   count(*) FILTER (WHERE is_embedded) AS embedded_count, least(min(created), {WRITTEN}) AS created_at, {WRITTEN} AS last_updated,
-  true AS stored FROM c WHERE lang IN ('en', 'fr') GROUP BY lang"""
+  true AS stored FROM c GROUP BY lang UNION ALL SELECT 'gone', 0, 0, NULL, NULL, false"""
+SQL["collection_get"] = "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS content FROM documents WHERE doc_id IN (7, 42, 199)"
+SQL["index_refresh"] = SQL["postings_incremental"]
+SQL["stream_last_wins"] = """SELECT CAST(doc_id AS VARCHAR) AS id, md5('last ' || text) AS content FROM documents
+  WHERE doc_id IN (SELECT doc_id FROM labels)"""

@@ -15,12 +15,12 @@ from docloom.functions.tags import tags_from_csv, tags_to_csv
 from docloom.functions.text import tokens, with_tokens
 from docloom.functions.vectors import blob_to_vector, similarity, vector_to_blob
 from docloom.operators import embed, fulltext, listing, match, mutate, postings, search, text_batch, vector
-from docloom.plans.constants import AS_OF, DIM, QUERY_VECTOR, SCORED, TOP_WORDS
+from docloom.plans.constants import AS_OF, DIM, LANGUAGES, QUERY_VECTOR, SCORED, TOP_WORDS
 from docloom.session import shared_dir
 from docloom.sources import ingest
 from docloom.sources.collection import Collection, list_databases
 from docloom.sources.tables import collection, load, texts, vectors
-from docloom.streaming.jobs import run_backfill, stream_backfill, stream_upserts
+from docloom.streaming.jobs import read_failures, run_backfill, stream_backfill, stream_upserts
 
 QUERIES = {}
 
@@ -84,10 +84,25 @@ def bm25_scores(spark, sf_dir):
 
 @query
 def fulltext_topk(spark, sf_dir):
-    hits = fulltext.search_text(texts(spark, sf_dir), match.any_of(*TOP_WORDS))
+    hits = fulltext.search_text(texts(spark, sf_dir), match.any_of(*TOP_WORDS), 10)
     return hits.select("id", _score(), "rank")
 
 
+@query
+def fulltext_ranked_all(spark, sf_dir):
+    """Without a limit, every match gets its rank."""
+    scored = fulltext.score_text(texts(spark, sf_dir), match.any_of(*TOP_WORDS)).withColumn("score", F.round("score", 6))
+    return fulltext.best(scored, None).select("id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+@query
+def hydrate_hits(spark, sf_dir):
+    docs = collection(spark, sf_dir)
+    hits = fulltext.search_text(docs.select("id", "content"), match.any_of(*TOP_WORDS), 10).select("id", "rank")
+    whole = fulltext.hydrate(hits, docs)
+    return whole.select("id", "rank", F.md5("content").alias("content"), tags_to_csv("tags").alias("tags"), "is_embedded")
+
+
 @query
 def fulltext_filtered(spark, sf_dir):
     docs = collection(spark, sf_dir, with_vectors=False)
@@ -122,7 +137,7 @@ def _stored_index(spark, sf_dir):
 
 @query
 def fulltext_postings(spark, sf_dir):
-    hits = _stored_index(spark, sf_dir).search(match.any_of(*TOP_WORDS))
+    hits = _stored_index(spark, sf_dir).search(match.any_of(*TOP_WORDS), 10)
     return hits.select("id", _score(), "rank")
 
 
@@ -300,6 +315,16 @@ def assign_ids(spark, sf_dir):
     )
 
 
+@query
+def upsert_missing_ids(spark, sf_dir):
+    """A batch of turns without ids, all different: none may be lost."""
+    turns = load(spark, sf_dir, "conversations")
+    batch = turns.select(F.when(F.col("turn") % 2 == 0, "").alias("id"), F.concat_ws("/", "conv_id", "turn", "text").alias("content"))
+    stored = Collection(spark, shared_dir(spark, "store"), "main", "turns", buckets=4)
+    stored.upsert(batch, AS_OF)
+    return stored.read().agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.count_distinct("content").alias("n_texts"))
+
+
 # -- ingest
 
 
@@ -328,9 +353,27 @@ def ingest_rejected(spark, sf_dir):
     return ingest.rejected(records).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query
+def ingest_wrong_kinds(spark, sf_dir):
+    """Requests whose fields are of a kind that a request cannot have."""
+    fields = [
+        F.concat(F.lit('{"id":"a","content":'), F.col("doc_id"), F.lit("}")),
+        F.concat(F.lit('{"content":"x","tags":['), F.col("doc_id"), F.lit("]}")),
+        F.concat(F.lit('{"content":"x","metadata":'), F.col("doc_id"), F.lit("}")),
+        F.concat(F.lit('{"content":"x","tags":["a",null],"metadata":{"n":'), F.col("doc_id"), F.lit("}}")),
+        F.concat(F.lit('["'), F.col("doc_id"), F.lit('"]')),
+    ]
+    path = shared_dir(spark, "ingest")
+    docs = load(spark, sf_dir, "documents")
+    docs.select(F.element_at(F.array(*fields), (F.col("doc_id") % 5 + 1).cast("int")).alias("value")).write.text(path)
+    records = ingest.read_json(spark, path)
+    good = ingest.accepted(records).agg(F.lit("stored").alias("reason"), F.count("*").alias("n"))
+    return good.unionByName(ingest.rejected(records).groupBy("reason").agg(F.count("*").alias("n")))
+
+
 @query
 def ingest_embed_sync(spark, sf_dir):
-    docs = ingest.to_documents(texts(spark, sf_dir), embed.StubEmbedder(DIM), "sync", AS_OF)
+    docs = ingest.to_documents(texts(spark, sf_dir), LETTERS, "sync", AS_OF)
     return docs.select("id", "is_embedded", *_vector_summary())
 
 
@@ -362,6 +405,28 @@ def _letter_counts(contents):
     return [[float(len(c)), float(c.count("a")), float(c.count("e"))] for c in contents]
 
 
+def _letters(contents):
+    """A vector that depends on the text and that SQL can compute, too."""
+    return [[float(c.count(chr(97 + i % 26)) * (1 + i // 26)) for i in range(DIM)] for c in contents]
+
+
+LETTERS = embed.BatchEmbedder(_letters, DIM)
+
+
+def _fussy(contents):
+    """Fails for texts that begin with an E."""
+    if any(c.startswith("E") for c in contents):
+        raise ValueError("begins with E")
+    return _letters(contents)
+
+
+@query
+def embed_failures(spark, sf_dir):
+    """A text that cannot be embedded does not spoil its batch."""
+    docs = embed.embed_column(texts(spark, sf_dir), embed.BatchEmbedder(_fussy, DIM, "null"), error="error")
+    return docs.select("id", F.col("vector").isNotNull().alias("done"), "error")
+
+
 @query
 def embed_custom(spark, sf_dir):
     docs = embed.embed_column(texts(spark, sf_dir), embed.BatchEmbedder(_letter_counts, 3))
@@ -371,10 +436,31 @@ def embed_custom(spark, sf_dir):
 @query
 def embedding_backfill(spark, sf_dir):
     docs = collection(spark, sf_dir).withColumns({"db": F.lit("main"), "table": F.get("tags", F.lit(0))})
-    done = embed.backfill_cycle(docs, embed.StubEmbedder(DIM))
+    done = embed.backfill_cycle(docs, embed.StubEmbedder(DIM), n=embed.CYCLE_SIZE)
     return done.select("db", "table", "id", F.size("vector").alias("dim"))
 
 
+@query
+def backfill_all(spark, sf_dir):
+    """Without a rate, one cycle does the whole queue."""
+    docs = collection(spark, sf_dir).withColumns({"db": F.lit("main"), "table": F.get("tags", F.lit(0))})
+    return embed.backfill_cycle(docs, LETTERS).select("db", "table", "id", *_vector_summary())
+
+
+@query
+def backfill_with_failures(spark, sf_dir):
+    """Five cycles at a rate: failing documents are given up after two tries
+    and do not keep those behind them waiting."""
+    base = shared_dir(spark, "store")
+    stored = Collection(spark, base, "main", "docs", buckets=4)
+    stored.upsert(collection(spark, sf_dir).drop("updated_at", "is_embedded"), AS_OF)
+    errors = shared_dir(spark, "errors")
+    for _ in range(5):
+        run_backfill([stored], embed.BatchEmbedder(_fussy, DIM, "null"), n=20, as_of=AS_OF, errors=errors, max_tries=2)
+    failed = read_failures(spark, errors).select("id", "tries", "error")
+    return stored.read().select("id", "is_embedded").join(failed, "id", "left")
+
+
 @query
 def embedding_payloads(spark, sf_dir):
     """Stored answers in the three shapes, and some that are cut short."""
@@ -446,10 +532,17 @@ def knn_join(spark, sf_dir):
     return hits.select("query_id", "id", _score(), "rank")
 
 
+@query
+def metric_fallback(spark, sf_dir):
+    """An unknown metric means cosine."""
+    docs = vectors(spark, sf_dir).withColumn("is_embedded", F.lit(True))
+    return vector.search_vectors(docs, QUERY_VECTOR, 10, "manhattan", digits=6).select("id", _score(), "rank")
+
+
 @query
 def vector_text_query(spark, sf_dir):
     """Passages are embedded and each searched among the documents."""
-    asked = embed.embed_column(_passages(spark, sf_dir), embed.StubEmbedder(DIM), text="query")
+    asked = embed.embed_column(_passages(spark, sf_dir), LETTERS, text="query")
     hits = vector.knn_join(asked, vectors(spark, sf_dir), 10, digits=6)
     return hits.select("query_id", "id", _score(), "rank")
 
@@ -485,10 +578,29 @@ def _requests(spark, sf_dir):
 
 @query
 def search_requests(spark, sf_dir):
-    hits = search.search_requests(collection(spark, sf_dir), _requests(spark, sf_dir), embed.StubEmbedder(DIM), digits=9)
+    hits = search.search_requests(collection(spark, sf_dir), _requests(spark, sf_dir), LETTERS, digits=9)
     return hits.select("query_id", "type", "id", _score(), "rank")
 
 
+@query
+def search_match_kinds(spark, sf_dir):
+    """Requests with any-of, exclusion, phrase and prefix conditions; those
+    with broken filters are refused alone."""
+    n = F.col("item_id") % 6
+    kinds = ['{"any": ["esat", "lich", "que"]}', '{"none": ["of"]}', '{"phrases": ["the of"]}', '{"prefixes": ["estio"]}', '{"any": ["que"], "none": ["de"]}', "{}"]
+    requests = load(spark, sf_dir, "benchmark").select(
+        F.col("item_id").cast("string").alias("query_id"),
+        F.when(n == 0, "esat lich que").when(n == 4, "que").otherwise("the").alias("query"),
+        F.lit("fulltext").alias("type"),
+        F.lit(7).alias("limit"),
+        F.when(n == 5, '{"tag": 3}').alias("filters"),
+        F.element_at(F.array(*(F.lit(k) for k in kinds)), (n + 1).cast("int")).alias("match"),
+    )
+    hits = search.search_requests(collection(spark, sf_dir, with_vectors=False), requests, LETTERS, digits=9)
+    refused = search.rejected_requests(requests).select("query_id", F.col("reason").alias("id"), F.lit(None).cast("double").alias("score"), F.lit(0).alias("rank"))
+    return hits.select("query_id", "id", _score(), "rank").unionByName(refused)
+
+
 @query
 def search_rejected(spark, sf_dir):
     return search.rejected_requests(_requests(spark, sf_dir)).select("query_id", "reason")
@@ -497,7 +609,7 @@ def search_rejected(spark, sf_dir):
 @query
 def search_response(spark, sf_dir):
     requests = _requests(spark, sf_dir)
-    hits = search.search_requests(collection(spark, sf_dir), requests, embed.StubEmbedder(DIM), digits=9)
+    hits = search.search_requests(collection(spark, sf_dir), requests, LETTERS, digits=9)
     answers = search.responses(requests, hits)
     ids = F.array_join(F.transform("results", lambda r: r["id"]), ",")
     return answers.select("query_id", "type", F.col("total").cast("int").alias("total"), ids.alias("ids"))
@@ -529,16 +641,40 @@ def database_list(spark, sf_dir):
     """Documents stored as one database per language and listed again."""
     base = shared_dir(spark, "store")
     docs = collection(spark, sf_dir).drop("updated_at", "is_embedded")
-    for name in ("en", "fr"):
+    for name in LANGUAGES:
         mine = docs.where(F.array_contains("tags", name))
         Collection(spark, base, name, "docs", buckets=4).upsert(mine, AS_OF)
         Collection(spark, base, name, "revised", buckets=2).upsert(_revised(spark, sf_dir).where(F.col("lang") == name), AS_OF)
+    emptied = Collection(spark, base, "gone", "docs", buckets=2)
+    emptied.upsert(_revised(spark, sf_dir).select("id", "content"), AS_OF)
+    emptied.delete(_labelled(spark, sf_dir))
     found = list_databases(spark, base)
     return found.select(
         "name", "document_count", "embedded_count", _seconds("created_at"), _seconds("last_updated"), (F.col("size_bytes") > 0).alias("stored")
     )
 
 
+@query
+def collection_get(spark, sf_dir):
+    """Documents by id, from the files of their buckets only."""
+    stored = Collection(spark, shared_dir(spark, "store"), "main", "docs", buckets=16)
+    stored.upsert(texts(spark, sf_dir).select("id", "content"), AS_OF)
+    return stored.get("7", "42", "199", "absent").select("id", F.md5("content").alias("content"))
+
+
+@query
+def index_refresh(spark, sf_dir):
+    """A text index brought up to date with a stored collection."""
+    stored = Collection(spark, shared_dir(spark, "store"), "main", "docs", buckets=8)
+    stored.upsert(texts(spark, sf_dir).select("id", "content"), AS_OF)
+    since = stored.version()
+    index = postings.TextIndex.build(stored.read()).write(shared_dir(spark, "index"))
+    stored.upsert(_revised(spark, sf_dir).select("id", "content"), AS_OF)
+    stored.delete(_labelled(spark, sf_dir, F.col("toxic") == 1))
+    fresh = stored.refresh_index(index, since).postings
+    return fresh.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+
+
 @query
 def storage_bytes(spark, sf_dir):
     stored = Collection(spark, shared_dir(spark, "store"), "main", "docs", buckets=8)
@@ -562,14 +698,26 @@ def stream_upsert(spark, sf_dir):
     return _changed(stored.read())
 
 
+@query
+def stream_last_wins(spark, sf_dir):
+    """Two versions of every labelled document in one file: the later line stays."""
+    path = shared_dir(spark, "arrivals")
+    docs = texts(spark, sf_dir).join(_labelled(spark, sf_dir), "id", "left_semi")
+    versions = docs.select("id", F.explode(F.array(F.lit("zzz first "), F.lit("last "))).alias("v"), "content")
+    lines = versions.select("id", "v", F.to_json(F.struct("id", F.concat("v", "content").alias("content"))).alias("value"))
+    lines.repartition(2, "id").sortWithinPartitions("id", F.desc("v")).select("value").write.text(path)
+    stored = Collection(spark, shared_dir(spark, "store"), "main", "docs", buckets=4)
+    stream_upserts(ingest.stream_json(spark, path), stored, shared_dir(spark, "progress"), as_of=AS_OF, once=True).awaitTermination()
+    return stored.read().select("id", F.md5("content").alias("content"))
+
+
 def _drained(spark, sf_dir):
     """Documents arrive unembedded; every micro-batch drains the queue."""
     base = shared_dir(spark, "store")
     stored = Collection(spark, base, "main", "docs", buckets=8)
     stored.upsert(collection(spark, sf_dir).drop("updated_at", "is_embedded"), AS_OF)
     ticks = _arrivals(spark, sf_dir, files=2)
-    stub = embed.StubEmbedder(DIM)
-    stream_backfill(ticks, [stored], stub, shared_dir(spark, "progress"), n=None, as_of=AS_OF, once=True).awaitTermination()
+    stream_backfill(ticks, base, LETTERS, shared_dir(spark, "progress"), as_of=AS_OF, once=True).awaitTermination()
     return stored.read().select("id", "is_embedded", *_vector_summary())
 
 
@@ -585,5 +733,5 @@ def backfill_tables(spark, sf_dir):
     stored = [Collection(spark, base, "main", name, buckets=4) for name in ("english", "other")]
     for target, rows in zip(stored, [docs.where(english), docs.where(~english)]):
         target.upsert(rows, AS_OF)
-    run_backfill(stored, embed.StubEmbedder(DIM), as_of=AS_OF)
+    run_backfill(stored, embed.StubEmbedder(DIM), n=embed.CYCLE_SIZE, as_of=AS_OF)
     return stored[0].documents().unionByName(stored[1].documents()).select("table", "id", "is_embedded")

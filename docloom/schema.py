@@ -15,17 +15,6 @@ DOCUMENT_SCHEMA = T.StructType(
     ]
 )
 
-# What a client sends to store one document. Metadata stays JSON text: the
-# JSON reader keeps a nested object verbatim when the column is a string.
-INGEST_SCHEMA = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("content", T.StringType()),
-        T.StructField("metadata", T.StringType()),
-        T.StructField("tags", T.ArrayType(T.StringType())),
-    ]
-)
-
 # Columns of the three detail levels of a listing.
 LEVELS = {
     "none": ["id"],
@@ -39,6 +28,9 @@ DEFAULT_LIMIT = 10
 DEFAULT_PAGE = 100
 
 
-def clamp_limit(k):
-    """A missing, zero or negative search limit means the default."""
-    return DEFAULT_LIMIT if k is None or k <= 0 else int(k)
+def wanted(k: int | None) -> int | None:
+    """A limit, or None: all results. Zero and negative numbers mean all, too.
+
+    The default limit of a request is filled in by the request front only.
+    """
+    return None if k is None or k <= 0 else int(k)

@@ -19,6 +19,7 @@ from docloom.operators import mutate
 from docloom.operators.listing import collection_stats, storage_size
 from docloom.operators.postings import TextIndex
 from docloom.schema import DOCUMENT_COLUMNS, DOCUMENT_SCHEMA
+from docloom.session import remove_dir, shared_dir
 
 _COMMIT = "bucket int, data_version int, note string, buckets int, version int"
 
@@ -108,34 +109,62 @@ class Collection:
 
     # -- writing
 
-    def _change(self, keys: DataFrame, transform: Callable[[DataFrame], DataFrame], note: str | None) -> None:
-        """Rewrite the buckets of some ids by a transform of their documents."""
+    def _change(self, keys: DataFrame, transform: Callable[[DataFrame, DataFrame], DataFrame], note: str | None) -> None:
+        """Rewrite the buckets of some ids by a transform of their documents.
+
+        ``keys`` is stored first: every pass over it, here and in the
+        transform, sees the same rows, however it was made.
+        """
+        staged = shared_dir(self.spark, "change")
+        keys.write.parquet(staged)
+        try:
+            self._apply(self.spark.read.schema(keys.schema).parquet(staged), transform, note)
+        finally:
+            remove_dir(self.spark, staged)
+
+    def _apply(self, keys: DataFrame, transform: Callable[[DataFrame, DataFrame], DataFrame], note: str | None) -> None:
         version, places = self._commit()
-        touched = [r[0] for r in keys.select(self.bucket_of().alias("bucket")).distinct().collect()]
+        touched = [r[0] for r in keys.select(self.bucket_of().alias("bucket")).distinct().collect()]  # at most one row per bucket
         if not touched and note is None:
             return
         version += 1
         data = f"{self.path}/data/version={version}"
         current = self._read({b: v for b, v in places.items() if b in set(touched)}).drop("bucket")
-        split = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(self.files_per_bucket))
-        rows = transform(current).withColumn("bucket", self.bucket_of())
+        split = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(self.files_per_bucket)).cast("int")
+        rows = transform(current, keys).withColumn("bucket", self.bucket_of())
         # an uncommitted leftover of a failed try is overwritten
-        files = max(1, len(touched) * self.files_per_bucket)
-        rows.repartition(files, "bucket", split).write.mode("overwrite").partitionBy("bucket").parquet(data)
+        placed = rows.repartitionById(self.buckets * self.files_per_bucket, F.col("bucket") * self.files_per_bucket + split)
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(data)
         filled = {r[0] for r in self.spark.read.schema("bucket int").parquet(data).distinct().collect()}
+        if not filled <= set(touched):
+            raise RuntimeError(f"buckets {sorted(filled - set(touched))} were written, but are not part of the change")
         places = {**places, **{b: version if b in filled else None for b in touched}}
         commit = [(b, v, note, self.buckets) for b, v in sorted(places.items())] or [(0, None, note, self.buckets)]
         table = self.spark.createDataFrame(commit, "bucket int, data_version int, note string, buckets int").coalesce(1)
         table.write.mode("overwrite").parquet(f"{self.path}/commits/version={version}")
 
     def upsert(self, batch: DataFrame, as_of=None, order: str | None = None, note: str | None = None) -> None:
-        self._change(batch, lambda current: mutate.upsert(current, batch, as_of, order), note)
+        """Insert or replace documents; ids that are missing are drawn once."""
+        self._change(mutate.with_ids(batch), lambda current, batch: mutate.upsert(current, batch, as_of, order), note)
 
     def delete(self, ids: DataFrame, note: str | None = None) -> None:
-        self._change(ids, lambda current: mutate.delete(current, ids), note)
+        self._change(ids.select("id"), mutate.delete, note)
 
     def update_vectors(self, vectors: DataFrame, as_of=None, note: str | None = None) -> None:
-        self._change(vectors, lambda current: mutate.update_vectors(current, vectors, as_of), note)
+        self._change(vectors, lambda current, vectors: mutate.update_vectors(current, vectors, as_of), note)
+
+    def vacuum(self, keep: int = 1) -> list[int]:
+        """Remove the files that none of the ``keep`` newest versions uses.
+
+        Returns the removed data versions. Readers of older versions must
+        have finished. Commits stay: they are small and record the notes.
+        """
+        newest = self._commit()[0]
+        used = {v for n in range(max(1, newest - keep + 1), newest + 1) for v in self._commit(n)[1].values()}
+        gone = [v for v in range(1, newest + 1) if v not in used]
+        for version in gone:
+            remove_dir(self.spark, f"{self.path}/data/version={version}")
+        return gone
 
 
 def open_all(spark: SparkSession, base: str) -> list[Collection]:
@@ -157,8 +186,11 @@ def list_databases(spark: SparkSession, base: str) -> DataFrame:
     the bytes of their current files."""
     docs = spark.createDataFrame([], "db string, is_embedded boolean, created_at timestamp, updated_at timestamp")
     sizes = spark.createDataFrame([], "size_bytes long, db string")
-    for stored in open_all(spark, base):
+    every = open_all(spark, base)
+    for stored in every:
         docs = docs.unionByName(stored.documents().select(*docs.columns))
         sizes = sizes.unionByName(stored.size_bytes().withColumn("db", F.lit(stored.db)))
     sizes = sizes.groupBy("db").agg(F.sum("size_bytes").alias("size_bytes"))
-    return collection_stats(docs, "db").join(sizes, "db").withColumnRenamed("db", "name")
+    names = spark.createDataFrame(sorted({(stored.db,) for stored in every}), "db string")  # an emptied database stays listed
+    stats = names.join(collection_stats(docs, "db"), "db", "left").join(sizes, "db", "left")
+    return stats.na.fill(0, ["document_count", "embedded_count", "size_bytes"]).withColumnRenamed("db", "name")

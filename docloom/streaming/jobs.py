@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docloom.operators.embed import CYCLE_SIZE, backfill_cycle
-from docloom.session import shared_dir
-from docloom.sources.collection import Collection
+from docloom.operators.embed import attempted
+from docloom.session import remove_dir, shared_dir
+from docloom.sources.collection import Collection, open_all
 from docloom.sources.ingest import to_documents
 
 TICK = "10 seconds"
@@ -30,8 +31,10 @@ def store_batch(
     # written first: ids drawn at random and vectors must be the same in
     # every pass over the batch
     staged = shared_dir(target.spark, "batch")
-    to_documents(batch, embedder, embed, as_of, order).write.parquet(staged)
-    target.upsert(target.spark.read.parquet(staged), as_of, note=note)
+    docs = to_documents(batch, embedder, embed, as_of, order)
+    docs.write.parquet(staged)
+    target.upsert(target.spark.read.schema(docs.schema).parquet(staged), as_of, note=note)
+    remove_dir(target.spark, staged)
 
 
 def stream_upserts(records: DataFrame, target: Collection, checkpoint: str, once: bool = False, **options) -> StreamingQuery:
@@ -47,31 +50,69 @@ def stream_upserts(records: DataFrame, target: Collection, checkpoint: str, once
     return _trigger(writer, once).start()
 
 
-def run_backfill(targets: list[Collection], embedder, n: int | None = CYCLE_SIZE, as_of=None, note: str | None = None) -> None:
-    """One backfill cycle over several collections."""
+_TRIED = "id string, vector array<float>, error string, created_at timestamp, db string, table string"
+
+
+def read_failures(spark: SparkSession, path: str) -> DataFrame:
+    """``db, table, id, tries, error`` from the error table of a backfill: how
+    often each document failed, and the last message."""
+    try:
+        rows = spark.read.schema("id string, error string, db string, table string, at timestamp").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], "id string, error string, db string, table string, at timestamp")
+    return rows.groupBy("db", "table", "id").agg(F.count("*").alias("tries"), F.max_by("error", "at").alias("error"))
+
+
+def run_backfill(
+    targets: list[Collection], embedder, n: int | None = None, as_of=None, note: str | None = None, errors: str | None = None, max_tries: int | None = None
+) -> None:
+    """One backfill cycle over several collections, all pending documents or
+    ``n`` of them. With ``errors``, a path, failures are added to the table
+    there, and documents that failed ``max_tries`` times are passed over."""
     spark = targets[0].spark
     docs = reduce(DataFrame.unionByName, (t.documents() for t in targets))
     staged = shared_dir(spark, "vectors")  # embed once, then update each table
-    backfill_cycle(docs, embedder, n).write.partitionBy("db", "table").parquet(staged)
-    done = spark.read.schema("id string, vector array<float>, db string, table string").parquet(staged)
+    failures = read_failures(spark, errors) if errors else None
+    tried = attempted(docs, embedder, n, failures, max_tries)
+    tried.select("id", "vector", "error", "created_at", "db", "table").write.partitionBy("db", "table").parquet(staged)
+    done = spark.read.schema(_TRIED).parquet(staged)
+    if errors:
+        failed = done.where(F.col("vector").isNull()).select("id", "error", "db", "table", F.current_timestamp().alias("at"))
+        failed.write.mode("append").parquet(errors)
+    done = done.where(F.col("vector").isNotNull())
+    if n is not None:
+        done = done.orderBy("db", "table", "created_at", "id").limit(n)
     for target in targets:
         mine = done.where((F.col("db") == target.db) & (F.col("table") == target.table)).select("id", "vector")
         target.update_vectors(mine, as_of, note)
+    remove_dir(spark, staged)
 
 
 def stream_backfill(
     ticks: DataFrame,
-    targets: list[Collection],
+    targets: list[Collection] | str,
     embedder,
     checkpoint: str,
-    n: int | None = CYCLE_SIZE,
+    n: int | None = None,
     as_of=None,
     once: bool = False,
+    **options,
 ) -> StreamingQuery:
     """Run a backfill cycle for every micro-batch of a stream.
 
+    ``targets`` are collections, or a folder whose collections are listed
+    anew in every cycle. ``options`` are those of :func:`run_backfill`.
+
     ``ticks`` can be any stream: the ``rate`` source for a plain clock, or the
     stream of arriving documents.
     """
-    writer = ticks.writeStream.foreachBatch(lambda _, number: run_backfill(targets, embedder, n, as_of))
+
+    def cycle(batch: DataFrame, number: int):
+        found = open_all(batch.sparkSession, targets) if isinstance(targets, str) else targets
+        if found:
+            run_backfill(found, embedder, n, as_of, **options)
+
+    writer = ticks.writeStream.foreachBatch(cycle)
     return _trigger(writer.option("checkpointLocation", checkpoint), once).start()

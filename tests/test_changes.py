@@ -196,3 +196,42 @@ def test_lookup_prunes_buckets(spark, current):
     stored = Collection(spark, shared_dir(spark, "store"), "db", "t", buckets=3)
     stored.upsert(current.select("id", "content"), DAY1)
     assert "PartitionFilters: [isnotnull(bucket" in stored.get("a")._jdf.queryExecution().toString()
+
+
+def test_a_batch_that_changes_loses_no_row(spark):
+    """Ids drawn anew in every pass over the batch."""
+    stored = Collection(spark, shared_dir(spark, "store"), "db", "t", buckets=8)
+    batch = spark.range(40).select(F.concat(F.lit("r"), (F.rand() * 1e9).cast("long").cast("string")).alias("id"), F.col("id").cast("string").alias("content"))
+    stored.upsert(batch, DAY1)
+    assert sorted(int(r["content"]) for r in stored.read().collect()) == list(range(40))
+
+
+def test_documents_without_id_stay_apart(spark, current):
+    batch = spark.createDataFrame([(None, "one"), ("", "two"), (None, "three"), ("", "two")], "id string, content string")
+    stored = Collection(spark, shared_dir(spark, "store"), "db", "t", buckets=2)
+    stored.upsert(batch, DAY1)
+    assert sorted(r["content"] for r in stored.read().collect()) == ["one", "three", "two", "two"]
+    assert mutate.upsert(current, batch, DAY2).count() == 7
+
+
+def test_duplicates_need_an_order(spark, current):
+    same = spark.createDataFrame([("x", "twice"), ("x", "twice")], "id string, content string")
+    assert by_id(mutate.upsert(current, same, DAY2))["x"]["content"] == "twice"
+    with pytest.raises(Exception, match="no order to choose by"):
+        mutate.upsert(current, same.union(spark.createDataFrame([("x", "other")], "id string, content string")), DAY2).collect()
+
+
+def test_vacuum_keeps_what_is_read(spark):
+    stored = Collection(spark, shared_dir(spark, "store"), "db", "t", buckets=2)
+    for n in range(3):
+        stored.upsert(spark.range(20).select(F.col("id").cast("string").alias("id"), F.lit(f"v{n}").alias("content")), DAY1)
+    assert stored.vacuum() == [1, 2]
+    assert {r["content"] for r in stored.read().collect()} == {"v2"} and stored.read().count() == 20
+
+
+def test_wrong_kinds_are_rejected(spark):
+    path = shared_dir(spark, "in")
+    lines = ['{"content": 5}', '{"content": {"z": 1}}', '{"content": "a", "tags": [1, 2]}', '{"content": "a", "metadata": 7}', '{"id": 3, "content": "a"}', "[]", "{", '{"content": "fine", "id": null, "tags": null}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    records = ingest.read_json(spark, path)
+    assert ingest.rejected(records).count() == 7 and [r["content"] for r in ingest.accepted(records).collect()] == ["fine"]

@@ -3,6 +3,8 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from docloom.plans.oracles import SQL as OWN_SQL
+from docloom.plans.queries import QUERIES
 from tests.checking import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -15,11 +17,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(OWN_SQL) == ROWS_ONLY
+    assert set(OWN_SQL) <= set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(OWN_SQL))
 def test_equal_to_sql(spark, con, name):
     assert compare(spark, con, SF, queries()[name], oracle_sql()[name]) == ""
 

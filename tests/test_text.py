@@ -117,9 +117,12 @@ def test_scan_and_index(corpus, index, case):
 
 def test_top_and_hydrate(corpus, index):
     condition = any_of("dog", "mat")
-    order = sorted((bm25(w, condition), i) for i, w in CORPUS.items() if "dog" in w or "mat" in w)[:10]
-    for hits in (search_text(corpus, condition), index.search(condition), search_text(corpus, condition, -1)):
-        assert [(r["id"], r["rank"]) for r in hits.orderBy("rank").collect()] == [(i, n + 1) for n, (_, i) in enumerate(order)]
+    order = sorted((bm25(w, condition), i) for i, w in CORPUS.items() if "dog" in w or "mat" in w)
+    ranks = [(i, n + 1) for n, (_, i) in enumerate(order)]
+    for hits in (search_text(corpus, condition, 10), index.search(condition, 10)):
+        assert [(r["id"], r["rank"]) for r in hits.orderBy("rank").collect()] == ranks[:10]
+    for hits in (search_text(corpus, condition), index.search(condition), search_text(corpus, condition, -1)):  # no limit: all
+        assert [(r["id"], r["rank"]) for r in hits.orderBy("rank").collect()] == ranks
     joined = hydrate(index.search(condition, 3), corpus)
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
     full = joined.collect()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions.payloads import parse_payload
 from docloom.functions.tags import tags_from_csv, tags_to_csv
 from docloom.functions.vectors import blob_to_vector, score_block, similarity, vector_to_blob
+from docloom.operators import vector
 from docloom.operators.vector import dimension_report, knn_join, score_vectors, search_vectors
 
 WORST = -sys.float_info.max
@@ -129,3 +130,15 @@ def test_payloads(spark, case):
 def test_tag_text(spark, tags):
     df = spark.createDataFrame([(tags,)], "tags array<string>").select(tags_to_csv("tags").alias("csv"))
     assert df.select(tags_from_csv("csv")).first()[0] == (tags or [])
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+@pytest.mark.parametrize("k", [1, 2, 9])
+def test_scores_that_are_no_number_rank_last(spark, metric, k):
+    rows = [("a", [1.0, 0.0], True), ("b", [float("nan"), 1.0], True), ("c", [0.5, 0.5], True)]
+    docs = spark.createDataFrame(rows, "id string, vector array<float>, is_embedded boolean")
+    asked = spark.createDataFrame([("q", [1.0, 0.2]), ("none", None)], "query_id string, vector array<float>")
+    joined = vector.knn_join(asked, docs, k, metric).orderBy("rank").collect()
+    single = vector.search_vectors(docs, [1.0, 0.2], k, metric).orderBy("rank").collect()
+    assert [r["id"] for r in joined] == [r["id"] for r in single] == ["a", "c", "b"][:k]
+    assert {r["query_id"] for r in joined} == {"q"}
