@@ -3,7 +3,8 @@
 import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,13 +77,31 @@ def score_block(metric: str, docs: np.ndarray, queries: np.ndarray) -> np.ndarra
     return np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
 
 
-@F.pandas_udf(T.BinaryType())
-def vector_to_blob(vectors: pd.Series) -> pd.Series:
+def _variable(kind: pa.DataType, sizes: np.ndarray, values) -> pa.Array:
+    """A binary or list column from the sizes of its rows and the values of
+    all rows; rows of size 0 are NULL."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("int32")
+    valid = pa.array(sizes > 0).buffers()[1]
+    if pa.types.is_binary(kind):
+        return pa.Array.from_buffers(kind, len(sizes), [valid, pa.py_buffer(offsets), pa.py_buffer(values)])
+    return pa.Array.from_buffers(kind, len(sizes), [valid, pa.py_buffer(offsets)], children=[pa.array(values, kind.value_type)])
+
+
+@F.arrow_udf(T.BinaryType())
+def vector_to_blob(vectors: pa.Array) -> pa.Array:
     """Float array -> little-endian 32-bit floats; NULL for no vector."""
-    return vectors.map(lambda v: None if v is None or len(v) == 0 else np.asarray(v, "<f4").tobytes())
+    lengths = pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f4")
+    return _variable(pa.binary(), 4 * lengths, values.tobytes())
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def blob_to_vector(blobs: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def blob_to_vector(blobs: pa.Array) -> pa.Array:
     """Inverse of :func:`vector_to_blob`; up to 3 trailing bytes are ignored."""
-    return blobs.map(lambda b: None if b is None or len(b) == 0 else np.frombuffer(b, "<f4", count=len(b) // 4))
+    lengths = pc.binary_length(blobs).fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
+    data = np.frombuffer(b"".join(x.as_buffer() for x in blobs if x.is_valid), "u1") if lengths.any() else np.zeros(0, "u1")
+    whole = lengths // 4 * 4
+    if (whole != lengths).any():
+        starts = np.cumsum(lengths) - lengths
+        data = data[np.repeat(starts - (np.cumsum(whole) - whole), whole) + np.arange(whole.sum())]
+    return _variable(pa.list_(pa.float32()), whole // 4, np.frombuffer(data.tobytes(), "<f4"))

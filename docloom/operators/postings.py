@@ -240,10 +240,8 @@ class TextIndex:
             on = ["term", "bucket"]
         keys = F.broadcast(keys) if size[1] <= BROADCAST_WORDS else keys
         rows = self.postings.join(keys, on, "left_semi").select("term", "id", "tf", "length")
-        whole = self.totals.select(F.lit("").alias("word"), F.col("n_docs").alias("df"), "n_tokens")
         counts = rows.groupBy(F.col("term").alias("word")).agg(F.count("*").cast("double").alias("df"))
-        counts = counts.withColumn("n_tokens", F.lit(None).cast("long")).unionByName(whole)
-        ready = weigh_queries(words, counts).join(queries.drop("query"), "query_id")
+        ready = weigh_queries(queries, words, counts, self.totals)
         # one row per document with the asked words in it
         entries = F.collect_list(F.struct("term", "tf"))
         documents = rows.groupBy("id").agg(F.max("length").alias("length"), entries.alias("entries"))

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens, with_tokens
-from docloom.operators.fulltext import B, K1, idf
+from docloom.operators.fulltext import B, K1, idf, with_stats
 from docloom.operators.topk_join import Scorer, size_of, topk_join
 from docloom.operators.vector import score_lists, vectors_by_length
 from docloom.schema import DEFAULT_LIMIT
+from docloom.session import shared_dir
 
 BROADCAST_WORDS = 1_000_000  # query words
 PAIR_BLOCK = 4_000_000  # word-query pairs expanded at a time
@@ -114,43 +115,47 @@ class HybridScorer(TextScorer):
 
 
 def query_words(queries: DataFrame) -> DataFrame:
-    """``query_id, word, times``. Every query also has the empty word, which
-    no tokenizer returns: it stands for the document itself, so that one join
-    brings the totals of the collection along with the frequencies."""
-    words = F.concat(F.array(F.lit("")), tokens("query"))
-    return queries.select("query_id", F.explode(words).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    """``query_id, word, times``."""
+    return queries.select("query_id", F.explode(tokens("query")).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
 
 
-def count_words(words: DataFrame, tokenized: DataFrame, n_words: int) -> DataFrame:
-    """``word, df, n_tokens`` of the asked words, in one pass over a collection."""
+def count_words(words: DataFrame, tokenized: DataFrame, n_words: int) -> tuple[DataFrame, DataFrame]:
+    """``word, df`` of the asked words, and ``n_docs, n_tokens`` as one row.
+
+    One pass over a collection: the empty word, which no tokenizer returns,
+    stands for the document itself. The counts, a row per asked word, are
+    stored, so that both results come from that pass.
+    """
     marks = tokenized.select(
         F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("word"),
         F.size("tokens").alias("length"),
     )
-    asked = words.select("word").distinct()
+    spark = tokenized.sparkSession
+    asked = words.select("word").union(spark.createDataFrame([("",)], "word string")).distinct()
     per_word = [F.count("*").cast("double").alias("df"), F.sum("length").alias("n_tokens")]
     if n_words <= BROADCAST_WORDS:
-        return marks.join(F.broadcast(asked), "word", "left_semi").groupBy("word").agg(*per_word)
-    # partial counts shrink the collection's side before it is shuffled
-    return marks.groupBy("word").agg(*per_word).join(asked, "word", "left_semi")
-
-
-def weigh_queries(words: DataFrame, counts: DataFrame) -> DataFrame:
-    """Words and BM25 weights per query."""
-    is_document = F.col("word") == ""
-    entry = F.when(~is_document & F.col("df").isNotNull(), F.struct("word", "times", "df"))
-    per_query = words.join(counts, "word", "left").groupBy("query_id").agg(
-        F.array_sort(F.collect_list(entry)).alias("entries"),
-        F.count_if(~is_document).alias("n_words"),
-        F.max(F.when(is_document, F.col("df"))).alias("n_docs"),
-        F.max(F.when(is_document, F.col("n_tokens"))).alias("n_tokens"),
-    )
-    return per_query.select(
-        "query_id",
-        "n_words",
-        (F.col("n_tokens") / F.col("n_docs")).alias("mean_length"),
-        F.col("entries.word").alias("words"),
-        F.transform("entries", lambda e: e["times"] * idf(F.col("n_docs"), e["df"])).alias("weights"),
+        counts = marks.join(F.broadcast(asked), "word", "left_semi").groupBy("word").agg(*per_word)
+    else:  # partial counts shrink the collection's side before it is shuffled
+        counts = marks.groupBy("word").agg(*per_word).join(asked, "word", "left_semi")
+    path = shared_dir(spark, "counts")
+    counts.write.parquet(path)
+    counts = spark.read.schema(counts.schema).parquet(path)
+    whole = counts.where("word = ''").agg(F.max("df").alias("n_docs"), F.max("n_tokens").alias("n_tokens"))
+    return counts.where("word <> ''").select("word", "df"), whole
+
+
+def weigh_queries(queries: DataFrame, words: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """Queries with their words and BM25 weights. ``totals`` (one row) comes
+    in as a scalar, so no key of the joins is hotter than its word."""
+    entry = F.when(F.col("df").isNotNull(), F.struct("word", "times", "df"))
+    per_query = words.join(counts, "word", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.count("*").alias("n_words"))
+    every = with_stats(queries.drop("query").join(per_query, "query_id", "left"), totals, "_total")
+    return every.select(
+        *(c for c in queries.columns if c != "query"),
+        F.coalesce("n_words", F.lit(0)).alias("n_words"),
+        (F.col("_total.n_tokens") / F.col("_total.n_docs")).alias("mean_length"),
+        F.coalesce("entries.word", F.array().cast("array<string>")).alias("words"),
+        F.coalesce(F.transform("entries", lambda e: e["times"] * idf(F.col("_total.n_docs"), e["df"])), F.array().cast("array<double>")).alias("weights"),
     )
 
 
@@ -167,8 +172,7 @@ def _prepared(queries: DataFrame, docs: DataFrame, text: str, k: int, every_word
     tokenized = with_tokens(docs, text).drop(text)
     bound = size_of(queries, F.size(tokens("query")))
     words = query_words(queries)
-    weighted = weigh_queries(words, count_words(words, tokenized.select("tokens"), bound[1]))
-    return weighted.join(queries.drop("query"), "query_id"), tokenized, bound
+    return weigh_queries(queries, words, *count_words(words, tokenized.select("tokens"), bound[1])), tokenized, bound
 
 
 def search_text_batch(

@@ -209,6 +209,9 @@ SQL["ingest_embed_async"] = "SELECT CAST(doc_id AS VARCHAR) AS id, false AS is_e
 SQL["tags_from_csv"] = f"""WITH {DOCS} SELECT id, {CSV} AS csv, CAST(len(string_split({CSV}, ',')) AS INTEGER) AS n_tags,
   string_split({CSV}, ',')[-1] AS last_tag FROM c"""
 
+SQL["parsed_times"] = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN epoch_ms(date_trunc('second', ts))
+  WHEN 1 THEN epoch_ms(date_trunc('second', ts)) + 250 - 7200000 END AS millis FROM events"""
+
 # -- embedding
 
 SQL["embed_stub"] = f"""SELECT CAST(doc_id AS VARCHAR) AS id, 2560 AS dim,

@@ -13,6 +13,7 @@ from docloom.functions.filters import filter_column
 from docloom.functions.payloads import parse_payload
 from docloom.functions.tags import tags_from_csv, tags_to_csv
 from docloom.functions.text import tokens, with_tokens
+from docloom.functions.times import parse_time
 from docloom.functions.vectors import blob_to_vector, similarity, vector_to_blob
 from docloom.operators import embed, fulltext, listing, match, mutate, postings, search, text_batch, vector
 from docloom.plans.constants import AS_OF, DIM, LANGUAGES, QUERY_VECTOR, SCORED, TOP_WORDS
@@ -392,6 +393,15 @@ def _tags_round_trip(spark, sf_dir):
 query(_tags_round_trip, "tags_from_csv")
 
 
+@query
+def parsed_times(spark, sf_dir):
+    """Times written as text: with Z, with an offset and a fraction, and three that are no times."""
+    ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    forms = [F.concat(ts, F.lit("Z")), F.concat(ts, F.lit(".250+02:00")), ts, F.concat(F.lit("2024-13-"), F.date_format("ts", "dd'T'HH:mm:ss'Z'")), F.lit("soon")]
+    texts_of = load(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*forms), (F.col("event_id") % 5 + 1).cast("int")).alias("text"))
+    return texts_of.select("event_id", F.unix_millis(parse_time("text")).alias("millis"))
+
+
 # -- embedding
 
 
