@@ -26,6 +26,16 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def list_dirs(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder that a finished job has written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return []
+    found = [status.getPath() for status in system.listStatus(place) if status.isDirectory()]
+    return [p.getName() for p in found if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash rows over all cores when the scan has fewer splits than cores.
 

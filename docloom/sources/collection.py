@@ -19,7 +19,10 @@ from docloom.operators import mutate
 from docloom.operators.listing import collection_stats, storage_size
 from docloom.operators.postings import TextIndex
 from docloom.schema import DOCUMENT_COLUMNS, DOCUMENT_SCHEMA
-from docloom.session import remove_dir, shared_dir
+from docloom.session import list_dirs, remove_dir, shared_dir
+
+MIN_BUCKETS = 64
+BUCKET_BYTES = 128 << 20
 
 _COMMIT = "bucket int, data_version int, note string, buckets int, version int"
 
@@ -27,14 +30,17 @@ _COMMIT = "bucket int, data_version int, note string, buckets int, version int"
 class Collection:
     """One table of one database. Single writer.
 
-    ``buckets`` counts for a new collection; a stored one keeps its number.
+    A stored collection keeps its number of buckets until ``rebucket``. A new
+    one takes ``buckets``, or as many as its first batch needs for
+    ``BUCKET_BYTES`` of text each.
     """
 
-    def __init__(self, spark: SparkSession, base: str, db: str, table: str, buckets: int = 64, files_per_bucket: int = 1):
+    def __init__(self, spark: SparkSession, base: str, db: str, table: str, buckets: int | None = None, files_per_bucket: int = 1):
         self.spark, self.db, self.table = spark, db, table
         self.path = f"{base}/{db}/{table}"
         self.files_per_bucket = files_per_bucket
-        stored = self._log().agg(F.max("buckets")).first()[0]
+        newest = self.version()
+        stored = self._commits(newest).agg(F.max("buckets")).first()[0] if newest else None
         self.buckets = stored or buckets
 
     def bucket_of(self, id="id"):
@@ -42,22 +48,18 @@ class Collection:
 
     # -- reading
 
-    def _log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits")
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return self.spark.createDataFrame([], _COMMIT)
-            raise
+    def _commits(self, *versions: int) -> DataFrame:
+        """Commit tables, each in a folder of its own: only these are read."""
+        reader = self.spark.read.schema(_COMMIT).option("basePath", f"{self.path}/commits")
+        return reader.parquet(*(f"{self.path}/commits/version={v}" for v in versions))
 
     def _commit(self, version: int | None = None) -> tuple[int, dict[int, int]]:
         """A version (default: the newest), and which data version holds each
         filled bucket in it (one row per bucket, so bounded)."""
-        log = self._log()
-        newest = version if version is not None else log.agg(F.max("version")).first()[0] or 0
+        newest = self.version() if version is None else version
         if newest == 0:
             return 0, {}
-        rows = log.where((F.col("version") == newest) & F.col("data_version").isNotNull()).collect()
+        rows = self._commits(newest).where(F.col("data_version").isNotNull()).collect()
         return newest, {r["bucket"]: r["data_version"] for r in rows}
 
     def _read(self, places: dict[int, int]) -> DataFrame:
@@ -78,25 +80,33 @@ class Collection:
 
     def get(self, *ids: str) -> DataFrame:
         """Documents by id, reading only their buckets."""
-        wanted = [F.pmod(F.xxhash64(F.lit(i)), F.lit(self.buckets)).cast("int") for i in ids]
+        wanted = [F.pmod(F.xxhash64(F.lit(i)), F.lit(self.buckets or 1)).cast("int") for i in ids]
         docs = self.read().where(F.col("bucket").isin(wanted) & F.col("id").isin(list(ids)))
         return docs.drop("bucket")
 
     def version(self) -> int:
-        """Number of the newest commit."""
-        return self._commit()[0]
+        """Number of the newest commit, by the names of the commit folders."""
+        return max(self._versions(), default=0)
+
+    def _versions(self) -> list[int]:
+        return [int(name.removeprefix("version=")) for name in list_dirs(self.spark, f"{self.path}/commits")]
 
     def refresh_index(self, index: TextIndex, since: int) -> TextIndex:
         """Bring a text index of version ``since`` up to date.
 
-        Only buckets written after that version are tokenized again; what
-        they held before is dropped from the index.
+        Of the buckets written after that version, the documents whose text
+        is not what it was are tokenized again, and those that are gone are
+        dropped. After ``rebucket`` that means all buckets.
         """
         now = self._commit()[1]
         before = self._commit(since)[1]
-        changed = self._read({b: v for b, v in now.items() if v > since})
-        touched = {b: v for b, v in before.items() if now.get(b, since + 1) > since}
-        return index.update(changed.select("id", "content"), self._read(touched).select("id"))
+        fresh = self._read({b: v for b, v in now.items() if v > since}).select("id", "content")
+        stale = self._read({b: v for b, v in before.items() if now.get(b, since + 1) > since}).select("id", "content")
+        text = F.xxhash64("content")
+        keys = [stale.select("id", text.alias("_text")), fresh.select("id", text.alias("_text"))]
+        changed = fresh.withColumn("_text", text).join(keys[0], ["id", "_text"], "left_anti").drop("_text")
+        gone = keys[0].join(keys[1], ["id", "_text"], "left_anti").select("id")
+        return index.update(changed, gone)
 
     def size_bytes(self) -> DataFrame:
         """Bytes of the current files."""
@@ -105,7 +115,8 @@ class Collection:
 
     def has_commit(self, note: str) -> bool:
         """Was a change with this note committed before?"""
-        return not self._log().where(F.col("note") == note).isEmpty()
+        versions = self._versions()
+        return bool(versions) and not self._commits(*versions).where(F.col("note") == note).isEmpty()
 
     # -- writing
 
@@ -124,14 +135,19 @@ class Collection:
 
     def _apply(self, keys: DataFrame, transform: Callable[[DataFrame, DataFrame], DataFrame], note: str | None) -> None:
         version, places = self._commit()
+        if self.buckets is None:
+            self.buckets = self._buckets_for(keys)
         touched = [r[0] for r in keys.select(self.bucket_of().alias("bucket")).distinct().collect()]  # at most one row per bucket
         if not touched and note is None:
             return
-        version += 1
-        data = f"{self.path}/data/version={version}"
         current = self._read({b: v for b, v in places.items() if b in set(touched)}).drop("bucket")
+        self._publish(transform(current, keys), version + 1, places, touched, note)
+
+    def _publish(self, rows: DataFrame, version: int, places: dict[int, int], touched, note: str | None) -> None:
+        """Write the new content of the touched buckets, then the commit."""
+        data = f"{self.path}/data/version={version}"
         split = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(self.files_per_bucket)).cast("int")
-        rows = transform(current, keys).withColumn("bucket", self.bucket_of())
+        rows = rows.withColumn("bucket", self.bucket_of())
         # an uncommitted leftover of a failed try is overwritten
         placed = rows.repartitionById(self.buckets * self.files_per_bucket, F.col("bucket") * self.files_per_bucket + split)
         placed.write.mode("overwrite").partitionBy("bucket").parquet(data)
@@ -143,6 +159,21 @@ class Collection:
         table = self.spark.createDataFrame(commit, "bucket int, data_version int, note string, buckets int").coalesce(1)
         table.write.mode("overwrite").parquet(f"{self.path}/commits/version={version}")
 
+    @staticmethod
+    def _buckets_for(docs: DataFrame) -> int:
+        if "content" not in docs.columns:
+            return MIN_BUCKETS
+        size = docs.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
+        return max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
+
+    def rebucket(self, buckets: int | None = None) -> None:
+        """Write the collection anew in another number of buckets (None: as
+        many as its size asks for), as one change."""
+        docs = self.read().drop("bucket")
+        self.buckets = buckets or self._buckets_for(docs)
+        version, _ = self._commit()
+        self._publish(docs, version + 1, {}, range(self.buckets), None)
+
     def upsert(self, batch: DataFrame, as_of=None, order: str | None = None, note: str | None = None) -> None:
         """Insert or replace documents; ids that are missing are drawn once."""
         self._change(mutate.with_ids(batch), lambda current, batch: mutate.upsert(current, batch, as_of, order), note)

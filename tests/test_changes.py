@@ -235,3 +235,23 @@ def test_wrong_kinds_are_rejected(spark):
     spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
     records = ingest.read_json(spark, path)
     assert ingest.rejected(records).count() == 7 and [r["content"] for r in ingest.accepted(records).collect()] == ["fine"]
+
+
+def test_buckets_follow_the_size(spark, monkeypatch):
+    from docloom.sources import collection as module
+
+    monkeypatch.setattr(module, "MIN_BUCKETS", 1)
+    monkeypatch.setattr(module, "BUCKET_BYTES", 50)
+    base = shared_dir(spark, "store")
+    stored = Collection(spark, base, "db", "t")
+    docs = spark.range(30).select(F.col("id").cast("string").alias("id"), F.lit("ten bytes.").alias("content"))
+    stored.upsert(docs, DAY1)
+    assert stored.buckets == 6 and Collection(spark, base, "db", "t").buckets == 6
+    index = TextIndex.build(stored.read()).write(shared_dir(spark, "index"))
+    since = stored.version()
+    stored.rebucket(3)
+    assert Collection(spark, base, "db", "t").buckets == 3 and stored.read().count() == 30
+    assert [r["id"] for r in Collection(spark, base, "db", "t").get("7").collect()] == ["7"]
+    stored.upsert(spark.createDataFrame([("7", "seven")], "id string, content string"), DAY2)
+    fresh = stored.refresh_index(index, since)
+    assert [r["id"] for r in fresh.search(term("seven")).collect()] == ["7"] and fresh.search(term("ten")).count() == 29
