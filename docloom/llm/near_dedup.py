@@ -119,7 +119,7 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
-def _whole_groups(batches, least: int = 1 << 16):
+def _whole_groups(batches, least: int):
     """Batches sorted by ``key`` joined so that no key is cut, in pieces of
     about ``least`` rows or one key."""
     held: list[pa.RecordBatch] = []
@@ -207,8 +207,11 @@ def _alike(batches):
 
 def _tie(batches):
     """Under each large key: for three sorted orders of the sketches, every
-    class with its better neighbour in that order, if alike."""
-    for batch in _whole_groups(batches):
+    class with its better neighbour in that order, if alike. Ties only save
+    comparisons later, so a key may be cut at the end of a batch."""
+    for batch in batches:
+        if batch.num_rows < 2:
+            continue
         keys, nodes = batch.column("key").to_numpy(zero_copy_only=False), _void(batch.column("node"), 16)
         sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         lefts, rights = [], []
@@ -319,9 +322,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = classes.select("node", "n", "sketch")
     pairs = _with_sketches(_ordered(found.where("b IS NOT NULL")), sketches).mapInArrow(_alike, "a binary, b binary")
     large = stage(found.where("b IS NULL").select("key", F.col("a").alias("node")).join(sketches, "node"), "large")
-    # A large key is cut by a symbol of the sketch: ties need not be complete here.
-    cut = large.select(F.xxhash64("key", F.substring("sketch", 121, 1)).alias("key"), "node", "sketch")
-    ties = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_tie, "a binary, b binary")
+    # A large key is cut by three symbols of the sketch: ties need not be complete here.
+    cut = large.select(F.xxhash64("key", F.substring("sketch", 121, 3)).alias("key"), "node", "sketch")
+    ties = cut.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(_tie, "a binary, b binary")
     pairs = stage(_ordered(pairs.union(ties)), "pairs")
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
