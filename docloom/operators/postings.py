@@ -23,6 +23,7 @@ from docloom.operators.match import Leaf, Match, Near, PostingsView
 from docloom.operators.text_batch import BROADCAST_WORDS, TextScorer, query_words, weigh_queries, with_options
 from docloom.operators.topk_join import size_of, topk_join
 from docloom.schema import DEFAULT_LIMIT
+from docloom.session import list_dirs, remove_dir, shared_dir
 
 TOKEN_BLOCK = 2_000_000  # tokens grouped at a time inside a task
 FILE_ROWS = 4_000_000  # postings aimed at per stored file
@@ -103,11 +104,30 @@ def _single_words(match: Match) -> bool:
     return plain(match)
 
 
+def _place(postings: DataFrame, path: str, buckets: int, splits: int) -> None:
+    """Postings in a directory per bucket of words, ``splits`` files each."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    split = F.pmod(F.xxhash64("id"), F.lit(splits)).cast("int")
+    placed = postings.select("term", "id", "tf", "length", "positions", bucket.alias("bucket"))
+    placed = placed.repartitionById(buckets * splits, F.col("bucket") * splits + split).sortWithinPartitions("bucket", "term", "id")
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def _commit(spark: SparkSession, path: str, segment: int, n_docs: float, n_tokens: int | None, buckets: int) -> None:
+    row = spark.createDataFrame([(float(n_docs), n_tokens, buckets)], "n_docs double, n_tokens long, buckets int")
+    row.coalesce(1).write.parquet(f"{path}/totals/segment={segment}")
+
+
 class TextIndex:
-    """Postings plus per-document lengths and collection totals."""
+    """Postings plus per-document lengths and collection totals.
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, totals: DataFrame | None = None, buckets: int | None = None):
-        self.postings, self.lengths, self.buckets = postings, lengths, buckets
+    A stored index is a row of segments. A change adds a segment: the postings
+    of its documents, and the ids whose earlier postings no longer count. The
+    last thing written is the segment's totals; without them it is not read.
+    """
+
+    def __init__(self, postings: DataFrame, lengths: DataFrame, totals: DataFrame | None = None, buckets: int | None = None, path: str | None = None):
+        self.postings, self.lengths, self.buckets, self.path = postings, lengths, buckets, path
         self.totals = totals or lengths.agg(
             F.count("*").cast("double").alias("n_docs"), F.sum("length").alias("n_tokens")
         )
@@ -125,31 +145,63 @@ class TextIndex:
         ``FILE_ROWS`` rows per file.
         """
         spark = self.postings.sparkSession
-        self.lengths.write.parquet(f"{path}/lengths")
-        totals = TextIndex(self.postings, spark.read.parquet(f"{path}/lengths")).totals.first()
+        self.lengths.write.parquet(f"{path}/lengths/segment=0")
+        totals = TextIndex(self.postings, spark.read.parquet(f"{path}/lengths/segment=0")).totals.first()
         splits = splits or max(1, math.ceil(totals["n_docs"] / FILE_ROWS))
         buckets = buckets or max(MIN_BUCKETS, math.ceil((totals["n_tokens"] or 0) / (splits * FILE_ROWS)))
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        split = F.pmod(F.xxhash64("id"), F.lit(splits)).cast("int")
-        placed = self.postings.withColumn("bucket", bucket)
-        placed = placed.repartitionById(buckets * splits, F.col("bucket") * splits + split)
-        placed = placed.sortWithinPartitions("bucket", "term", "id")
-        placed.write.partitionBy("bucket").parquet(f"{path}/postings")
-        row = [(totals["n_docs"], totals["n_tokens"], buckets)]
-        spark.createDataFrame(row, "n_docs double, n_tokens long, buckets int").coalesce(1).write.parquet(f"{path}/totals")
+        _place(self.postings, f"{path}/postings/segment=0", buckets, splits)
+        _commit(spark, path, 0, totals["n_docs"], totals["n_tokens"], buckets)
         return TextIndex.read(spark, path)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> TextIndex:
-        postings = spark.read.schema(f"{POSTINGS_DDL}, bucket int").parquet(f"{path}/postings")
-        totals = spark.read.parquet(f"{path}/totals")
-        return cls(postings, spark.read.parquet(f"{path}/lengths"), totals.drop("buckets"), totals.first()["buckets"])
+        segments = sorted(int(name.removeprefix("segment=")) for name in list_dirs(spark, f"{path}/totals"))
+
+        def stored(kind, schema, which=segments):
+            places = [f"{path}/{kind}/segment={n}" for n in which]
+            return spark.read.schema(f"{schema}, segment int").option("basePath", f"{path}/{kind}").parquet(*places)
+
+        totals = stored("totals", "n_docs double, n_tokens long, buckets int", segments[-1:])
+        postings, lengths = stored("postings", f"{POSTINGS_DDL}, bucket int"), stored("lengths", "id string, length int")
+        if len(segments) > 1:
+            gone = stored("gone", "id string", segments[1:]).groupBy(F.col("id").alias("_gone")).agg(F.max("segment").alias("_at"))
+
+            def alive(rows):  # no later segment has replaced or deleted the document
+                return rows.join(gone, (F.col("id") == F.col("_gone")) & (F.col("segment") < F.col("_at")), "left_anti")
+
+            postings, lengths = alive(postings), alive(lengths)
+        return cls(postings.drop("segment"), lengths.drop("segment"), totals.select("n_docs", "n_tokens"), totals.first()["buckets"], path)
+
+    def append(self, changed: DataFrame, deleted: DataFrame | None = None, text="content") -> TextIndex:
+        """Store a batch of new, changed and deleted documents as a segment.
+
+        Only the batch is tokenized and written, and the totals are moved on
+        by what it adds and removes. ``write`` to a new path joins all
+        segments into one. Returns the index as it is now.
+        """
+        spark, path = self.postings.sparkSession, self.path
+        number = 1 + max(int(name.removeprefix("segment=")) for name in list_dirs(spark, f"{path}/totals"))
+        staged = shared_dir(spark, "segment")  # every pass over the batch must see the same rows
+        changed.select("id", F.col(text).alias("content")).write.parquet(staged)
+        fresh = spark.read.schema("id string, content string").parquet(staged)
+        stale = fresh.select("id") if deleted is None else fresh.select("id").unionByName(deleted.select("id"))
+        stale.distinct().write.mode("overwrite").parquet(f"{path}/gone/segment={number}")
+        document_lengths(fresh).write.mode("overwrite").parquet(f"{path}/lengths/segment={number}")
+        _place(build_postings(fresh), f"{path}/postings/segment={number}", self.buckets, 1)
+        gone = spark.read.schema("id string").parquet(f"{path}/gone/segment={number}")
+        added = spark.read.schema("id string, length int").parquet(f"{path}/lengths/segment={number}")
+        sums = [F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")]
+        lost, won, before = self.lengths.join(gone, "id", "left_semi").agg(*sums).first(), added.agg(*sums).first(), self.totals.first()
+        _commit(spark, path, number, before["n_docs"] - lost["n"] + won["n"], (before["n_tokens"] or 0) - lost["tokens"] + won["tokens"], self.buckets)
+        remove_dir(spark, staged)
+        return TextIndex.read(spark, path)
 
     def update(self, changed: DataFrame, deleted: DataFrame | None = None, text="content") -> TextIndex:
         """The index after a batch of new, changed and deleted documents.
 
         Only the batch is tokenized. The result is lazy: search it as it is
-        (a small batch is anti-joined by broadcast), or ``write`` it.
+        (a small batch is anti-joined by broadcast), or ``write`` it. To keep
+        a change of a stored index, ``append`` it.
         """
         stale = changed.select("id")
         if deleted is not None:

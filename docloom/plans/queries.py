@@ -179,7 +179,7 @@ def _revised(spark, sf_dir):
 def postings_incremental(spark, sf_dir):
     toxic = _labelled(spark, sf_dir, F.col("toxic") == 1)
     changed = _revised(spark, sf_dir).join(toxic, "id", "left_anti")
-    index = _stored_index(spark, sf_dir).update(changed, toxic)
+    index = _stored_index(spark, sf_dir).append(changed, toxic)
     return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 

@@ -187,3 +187,19 @@ def test_batch(spark, corpus, index, every_word, layout, by):
             hits = sorted((round(bm25(w, condition), 9), i) for i, w in CORPUS.items() if test(t in w for t in words))
             expected += [(name, n + 1, i, round(s, 8)) for n, (s, i) in enumerate(hits[:4])]
     assert got == sorted(expected)
+
+
+def test_segments_equal_a_new_index(spark, corpus):
+    stored = TextIndex.build(corpus).write(shared_dir(spark, "index"))
+    first = spark.createDataFrame([("d04", "a new dog text"), ("x1", "dog dog mat"), ("x2", "")], "id string, content string")
+    gone = spark.createDataFrame([("d05",), ("absent",)], "id string")
+    second = spark.createDataFrame([("x1", "mat again"), ("d05", "the dog is back")], "id string, content string")
+    index = stored.append(first, gone).append(second)
+    after = corpus.where(~F.col("id").isin("d04", "d05")).unionByName(first.where("id <> 'x1'")).unionByName(second)
+    wanted = TextIndex.build(after)
+    assert tuple(index.totals.first()) == tuple(wanted.totals.first())
+    for condition in (any_of("dog", "mat"), term("again"), phrase("dog", "text")):
+        rows = [{r["id"]: round(r["score"], 9) for r in i.score(condition).collect()} for i in (index, wanted, index.write(shared_dir(spark, "index")))]
+        assert rows[0] == rows[1] == rows[2] and rows[0]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{index.path}/postings/segment=2").select("length")
+    assert 0 < files.agg(F.sum("length")).first()[0] < 20_000
