@@ -41,6 +41,7 @@ _RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
+    uri = uri.replace("s3a://", "s3://", 1)
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
