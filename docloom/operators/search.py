@@ -57,12 +57,16 @@ def _bad_filters():
     return ~empty & F.coalesce(parsed.isNull() | ~F.schema_of_variant(parsed).startswith("OBJECT") | bad_tag | bad_tags | bad_path, F.lit(True))
 
 
+# The reasons as a client knows them.
+NO_QUERY, BAD_TYPE = "query is required", "invalid search type: "
+
+
 def _reason():
     kind = F.coalesce("type", F.lit(""))
     copies = F.count("*").over(W.partitionBy("query_id"))
     return (
-        F.when(F.coalesce("query", F.lit("")) == "", F.lit("query is required"))
-        .when((kind != "") & ~kind.isin(*TYPES), F.concat(F.lit("invalid search type: "), kind))
+        F.when(F.coalesce("query", F.lit("")) == "", F.lit(NO_QUERY))
+        .when((kind != "") & ~kind.isin(*TYPES), F.concat(F.lit(BAD_TYPE), kind))
         .when(_bad_filters(), F.lit("invalid filters"))
         .when(F.col("query_id").isNull() | (copies > 1), F.lit("query_id is not unique"))
     )

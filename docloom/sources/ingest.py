@@ -58,9 +58,13 @@ def stream_json(spark: SparkSession, path: str, files_per_batch: int | None = No
     return _parsed(reader.text(path))
 
 
+# The reasons as a client knows them.
+BAD_BODY, NO_CONTENT = "invalid request body", "content is required"
+
+
 def _reason(df: DataFrame):
     corrupt = F.col(CORRUPT).isNotNull() if CORRUPT in df.columns else F.lit(False)
-    return F.when(corrupt, "invalid request body").when(F.coalesce("content", F.lit("")) == "", "content is required")
+    return F.when(corrupt, BAD_BODY).when(F.coalesce("content", F.lit("")) == "", NO_CONTENT)
 
 
 def accepted(records: DataFrame) -> DataFrame:
