@@ -293,7 +293,9 @@ def _repeats(rows: DataFrame, level: int = 0) -> DataFrame:
         mixed = counts.join(groups, "g").select("g", "e", "one.*", "classes")
         contents = stage(rows.join(mixed, ["g", "e", "p", "q", "off"]), f"contents{level}")
         few = contents.where(F.col("classes") <= LIMIT).select("g", "e", "content")
-        found = found.union(few.repartition("g").sortWithinPartitions("g").mapInArrow(_sort_groups, "g long, e long, low long, high long"))
+        # sorting takes much time per byte: more and smaller tasks than Spark would make by size
+        tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = found.union(few.repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(_sort_groups, "g long, e long, low long, high long"))
         if groups.where(F.col("classes") > LIMIT).head(1):
             many = contents.where(F.col("classes") > LIMIT).select("g", "e", "shift", "content")
             finer = stage(many.mapInArrow(_windows if level else _cells, _ROWS), f"finer{level}")
