@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import stage
+
 MIN_LINES = 2
 MIN_WORDS = 50
 
@@ -59,10 +61,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         return F.struct(F.xxhash64(at["size"], units[at["k"]]["h"]).alias("print"), windows.alias("windows"))
 
     fingerprints = rows.select("id", "version", F.explode(F.transform(F.concat(places, heavy), around_place)).alias("f")).select("id", "version", "f.*")
-    shared = fingerprints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    # what the joins look up is stored first: Spark can then split them at a common line
+    shared = stage(fingerprints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "prints")
     around = fingerprints.join(shared, "print", "left_semi").select("id", "version", F.explode("windows").alias("w")).select("id", "version", "w.*").distinct()
     place = F.struct("id", "version", "start")
-    first = around.groupBy("g", "g2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = stage(around.groupBy("g", "g2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "places")
     later = around.join(first, ["g", "g2"]).where(~place.eqNullSafe(F.col("first")))
     return later.select("id", "version", F.explode("lines").alias("line")).groupBy("id", "version").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 

@@ -345,8 +345,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long = docs.where(F.octet_length("text") >= LEAST)
     runs = stage(long.mapInArrow(_pick_rows, "h long, c long, d long, place long, low long, high long"), "picks")
     spot = F.xxhash64("c", "d", "place")
-    again = runs.groupBy("h").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("h")
-    # dealt by text before copies are merged, so that Spark may split the join at a common pick
+    again = stage(runs.groupBy("h").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("h"), "again")
+    # both sides of the join are stored and its result is dealt anew, so that Spark can split it at a common pick
     shared = runs.join(again, "h", "left_semi").repartition("c", "d").distinct()
     per_text = shared.groupBy("c", "d").agg(F.collect_list(F.struct("h", "place", "low", "high")).alias("runs"))
     copies = long.groupBy("c", "d").agg(F.min(F.coalesce("id", F.lit(-1))).alias("one"), F.count("*").alias("m"), F.first(F.octet_length("text")).cast("long").alias("size"))
