@@ -126,8 +126,8 @@ class TextIndex:
     last thing written is the segment's totals; without them it is not read.
     """
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, totals: DataFrame | None = None, buckets: int | None = None, path: str | None = None):
-        self.postings, self.lengths, self.buckets, self.path = postings, lengths, buckets, path
+    def __init__(self, postings: DataFrame, lengths: DataFrame, totals: DataFrame | None = None, buckets: int | None = None, path: str | None = None, segment: int = 0):
+        self.postings, self.lengths, self.buckets, self.path, self.segment = postings, lengths, buckets, path, segment
         self.totals = totals or lengths.agg(
             F.count("*").cast("double").alias("n_docs"), F.sum("length").alias("n_tokens")
         )
@@ -170,7 +170,7 @@ class TextIndex:
                 return rows.join(gone, (F.col("id") == F.col("_gone")) & (F.col("segment") < F.col("_at")), "left_anti")
 
             postings, lengths = alive(postings), alive(lengths)
-        return cls(postings.drop("segment"), lengths.drop("segment"), totals.select("n_docs", "n_tokens"), totals.first()["buckets"], path)
+        return cls(postings.drop("segment"), lengths.drop("segment"), totals.select("n_docs", "n_tokens"), totals.first()["buckets"], path, segments[-1])
 
     def append(self, changed: DataFrame, deleted: DataFrame | None = None, text="content") -> TextIndex:
         """Store a batch of new, changed and deleted documents as a segment.
@@ -181,6 +181,8 @@ class TextIndex:
         """
         spark, path = self.postings.sparkSession, self.path
         number = 1 + max(int(name.removeprefix("segment=")) for name in list_dirs(spark, f"{path}/totals"))
+        if number != self.segment + 1:
+            raise ValueError("the stored index has changed since it was read")
         staged = shared_dir(spark, "segment")  # every pass over the batch must see the same rows
         changed.select("id", F.col(text).alias("content")).write.parquet(staged)
         fresh = spark.read.schema("id string, content string").parquet(staged)

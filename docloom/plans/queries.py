@@ -681,7 +681,7 @@ def index_refresh(spark, sf_dir):
     index = postings.TextIndex.build(stored.read()).write(shared_dir(spark, "index"))
     stored.upsert(_revised(spark, sf_dir).select("id", "content"), AS_OF)
     stored.delete(_labelled(spark, sf_dir, F.col("toxic") == 1))
-    fresh = stored.refresh_index(index, since).postings
+    fresh = stored.refresh_index(index, since, store=True).postings
     return fresh.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 

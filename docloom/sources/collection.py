@@ -91,12 +91,14 @@ class Collection:
     def _versions(self) -> list[int]:
         return [int(name.removeprefix("version=")) for name in list_dirs(self.spark, f"{self.path}/commits")]
 
-    def refresh_index(self, index: TextIndex, since: int) -> TextIndex:
-        """Bring a text index of version ``since`` up to date; a stored one gets a segment.
+    def refresh_index(self, index: TextIndex, since: int, store: bool = False) -> TextIndex:
+        """Bring a text index of version ``since`` up to date.
 
         Of the buckets written after that version, the documents whose text
         is not what it was are tokenized again, and those that are gone are
-        dropped. After ``rebucket`` that means all buckets.
+        dropped. After ``rebucket`` that means all buckets. The result is
+        lazy and leaves the index as it is; with ``store`` a stored index
+        gets a segment.
         """
         now = self._commit()[1]
         before = self._commit(since)[1]
@@ -106,7 +108,7 @@ class Collection:
         keys = [stale.select("id", text.alias("_text")), fresh.select("id", text.alias("_text"))]
         changed = fresh.withColumn("_text", text).join(keys[0], ["id", "_text"], "left_anti").drop("_text")
         gone = keys[0].join(keys[1], ["id", "_text"], "left_anti").select("id")
-        return index.append(changed, gone) if index.path else index.update(changed, gone)
+        return index.append(changed, gone) if store else index.update(changed, gone)
 
     def size_bytes(self) -> DataFrame:
         """Bytes of the current files."""

@@ -195,6 +195,8 @@ def test_segments_equal_a_new_index(spark, corpus):
     gone = spark.createDataFrame([("d05",), ("absent",)], "id string")
     second = spark.createDataFrame([("x1", "mat again"), ("d05", "the dog is back")], "id string, content string")
     index = stored.append(first, gone).append(second)
+    with pytest.raises(ValueError):
+        stored.append(second)  # read before the others were added
     after = corpus.where(~F.col("id").isin("d04", "d05")).unionByName(first.where("id <> 'x1'")).unionByName(second)
     wanted = TextIndex.build(after)
     assert tuple(index.totals.first()) == tuple(wanted.totals.first())
