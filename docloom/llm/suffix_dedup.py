@@ -357,6 +357,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     covered = _repeats(pieces)
     equal = copies.where("m > 1").select(F.col("c").alias("p"), F.col("d").alias("q"), F.lit(0).cast("long").alias("low"), F.col("size").alias("high"))
     spans = covered.join(equal, ["p", "q"], "left_anti").union(equal).groupBy("p", "q").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    spans = stage(spans, "spans")  # read plainly, so that Spark can split the join at a text of many copies
     rows = docs.join(spans, (F.col("c") == F.col("p")) & (F.col("d") == F.col("q")), "left").select("id", "text", "runs")
     out = rows.mapInArrow(partial(_remove, with_bytes=with_bytes), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     return out.withColumnRenamed("id", id_col)
