@@ -18,6 +18,7 @@ A prefix counts once for each word that begins with it. Passes over the corpus s
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -45,7 +46,8 @@ TYPED_FOR = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h", "¡": "i",
 }
 
-LONGEST = 64  # characters of one lattice; longer runs are decoded piece by piece
+PIECE = 64  # characters after which the letters that all paths share are settled, or more while they share few
+REMEMBERED = 256  # characters of a span whose decoding is kept for the next chunk
 
 
 def _fold_table() -> np.ndarray:
@@ -108,20 +110,22 @@ def _options(c: str) -> list[tuple[str, float]]:
 
 
 def decode(span: str, costs: np.ndarray) -> str:
-    """The likeliest text behind an observed span, by Viterbi over the lattice."""
-    if len(span) > LONGEST:
-        cut = LONGEST
-        for at in range(LONGEST, LONGEST // 2, -1):
-            if span[at].isspace():
-                cut = at
-                break
-        return decode(span[:cut], costs) + decode(span[cut:], costs)
+    """The likeliest text behind an observed span, by Viterbi over the lattice.
+
+    One loop over the whole span. A state's text is a chain of letters back to
+    what is settled; letters that all states share are settled from time to time.
+    """
     apart = _apart(span)
-    states: dict[tuple, tuple[float, str, str]] = {(0, 0, 0): (0.0, "", "")}
-    for c in span:
+    states: dict[tuple, tuple[float, tuple | None, str]] = {(0, 0, 0): (0.0, None, "")}
+    settled, due = [], PIECE
+    for n, c in enumerate(span):
+        if n == due:
+            states, common, most = _settle(states)
+            settled.append(common)
+            due = n + max(PIECE, 2 * most)
         options = _options(c)
         gap = apart and not c.isalnum() and c not in TYPED_FOR or c in ".-_*/" and apart
-        step: dict[tuple, tuple[float, str, str]] = {}
+        step: dict[tuple, tuple[float, tuple | None, str]] = {}
 
         def offer(key, cost, text, last):
             if key not in step or cost < step[key][0]:
@@ -130,14 +134,37 @@ def decode(span: str, costs: np.ndarray) -> str:
         for (x, y, z), (cost, text, last) in states.items():
             for letter, paid in options:
                 code = int(_FOLD[ord(letter)]) if ord(letter) < len(_FOLD) else 27
-                offer((y, z, code), cost + paid + float(costs[x, y, z, code]), text + letter, letter)
+                offer((y, z, code), cost + paid + float(costs[x, y, z, code]), (text, letter), letter)
                 if letter == last and letter.isalpha():
                     offer((x, y, z), cost + paid + ECHO, text, last)
             if gap:
                 offer((x, y, z), cost + FILLER, text, last)
         states = step
-    best = min((cost + float(costs[x, y, z, 0]), text) for (x, y, z), (cost, text, _) in states.items())
-    return best[1]
+    best = min((cost + float(costs[x, y, z, 0]), _letters(text)) for (x, y, z), (cost, text, _) in states.items())
+    return "".join([*settled, best[1]])
+
+
+def _letters(text: tuple | None) -> str:
+    """The letters of a state's chain."""
+    out = []
+    while text is not None:
+        text, letter = text
+        out.append(letter)
+    return "".join(reversed(out))
+
+
+def _settle(states: dict) -> tuple[dict, str, int]:
+    """States without the start that all their texts share, that start, and the
+    length of the longest rest. Costs count from the least, so they keep their digits."""
+    texts = {key: _letters(text) for key, (_, text, _) in states.items()}
+    common, least = os.path.commonprefix(list(texts.values())), min(cost for cost, _, _ in states.values())
+    out = {}
+    for key, (cost, _, last) in states.items():
+        text = None
+        for letter in texts[key][len(common) :]:
+            text = (text, letter)
+        out[key] = (cost - least, text, last)
+    return out, common, max(map(len, texts.values())) - len(common)
 
 
 def _apart(span: str) -> bool:
@@ -221,9 +248,12 @@ def _decoded(spans: list[bytes], costs: np.ndarray) -> list[str]:
         if len(set(span.lower()) - set(" .-_*/,\n\t\r")) == 1:
             out.append(span)  # one character over and over says nothing
             continue
-        if span not in _MEMO:
-            _MEMO[span] = decode(span, costs)
-        out.append(_MEMO[span])
+        found = _MEMO.get(span)
+        if found is None:
+            found = decode(span, costs)
+            if len(span) <= REMEMBERED:
+                _MEMO[span] = found
+        out.append(found)
     return out
 
 

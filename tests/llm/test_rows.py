@@ -136,6 +136,17 @@ def test_restored_text(costs, seen, meant):
     assert toxicity.restore(seen, costs) == meant
 
 
+def test_restored_spans_of_any_length(costs):
+    rng = random.Random(5)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(200_000))
+    plain = toxicity.restore(f"an {word} said", costs)
+    assert plain.startswith("an ") and plain.endswith(" said") and len(plain) > 150_000
+    for before in range(8):  # the word lies on every place around a multiple of 64 characters
+        spaced = "x y " * 13 + "z " * before + "i d i o t" + " q k" * 20
+        assert "idiot" in toxicity.restore(spaced, costs)
+    assert "idiot" in toxicity.restore("q k " * 25_000 + "i d i o t" + " q k" * 25_000, costs)
+
+
 def test_language_model_counts_all_rows(spark):
     docs = spark.createDataFrame([("abab",), (None,), ("",), ("x  \n y",)], "text string")
     counts = {r.gram: r.n for r in docs.mapInArrow(toxicity._gram_counts, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
