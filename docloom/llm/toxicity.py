@@ -13,7 +13,9 @@ number has a fixed bound (CODES ** ORDER cells), so the model is small at every
 corpus size, while the counts grow with the corpus. The score comes from
 the restored words and their prefixes: how many toxic and other labelled rows
 have each, where rows with it in the same context, as copies are, count once.
-A prefix counts once for each word that begins with it. Passes over the corpus send sums per task, or the few candidates.
+A prefix counts once for each word that begins with it. Contexts are told apart
+by a shuffle, first of the toxic rows, then of the other rows' contexts of the
+words that toxic rows have. No word is left out for the size of the table.
 """
 
 from __future__ import annotations
@@ -30,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ODD, SPACE_TABLE, buffers, chunks, known_labels, labelled, mix, signed, word_hashes
+from docloom.llm.common import ODD, SPACE_TABLE, buffers, chunks, known_labels, labelled, mix, signed, stage, word_hashes
 
 ORDER = 4
 CODES = 28  # a gap, a-z, anything else
 PREFIXES = (4, 5, 6)
 SUPPORT = 3  # toxic rows that a word needs
 PRIOR = 6.0  # labelled rows that a word's evidence is weighed against
-FEATURES = 1 << 16  # most words in the model; the likeliest and commonest are taken
+SENT = 1 << 20  # most words of a table that goes to the tasks; a larger one is joined
 ECHO, FILLER, TYPED, SELF = 0.7, 0.4, 1.2, 3.0  # channel costs in nats: echo, filler, letter typed as a sign, sign meant as such
 
 # The letters that a sign is typed for.
@@ -318,27 +320,12 @@ def evidence(data: np.ndarray, offsets: np.ndarray, costs: np.ndarray):
     return hashes, rows, contexts
 
 
-def _evidence_counts(batches, costs):
-    """Of each chunk's labelled rows: how many toxic and other rows hold a word."""
-    for batch, data, offsets in chunks(batches, "text"):
-        toxic = batch.column("label").to_numpy(zero_copy_only=False) == 1
-        hashes, rows, _ = evidence(data, offsets, costs)
-        order = np.lexsort((rows, hashes))
-        hashes, rows = hashes[order], rows[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-        hashes, rows = hashes[new], rows[new]
-        heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-        bad = np.add.reduceat(toxic[rows].astype(np.int64), heads) if len(heads) else heads
-        n = np.diff(np.append(heads, len(hashes)))
-        yield pa.RecordBatch.from_arrays([signed(hashes[heads]), pa.array(bad), pa.array(n - bad)], ["feature", "bad", "fine"])
-
-
 def _of_model(features: np.ndarray, hashes: np.ndarray):
     """``(which, place)``: the hashes that the model has, and where it has them."""
-    flags = np.zeros(1 << 20, bool)
-    flags[features & np.uint64((1 << 20) - 1)] = True
-    which = np.flatnonzero(flags[hashes & np.uint64((1 << 20) - 1)])
+    low = np.uint64((1 << max(20, len(features).bit_length() + 3)) - 1)
+    flags = np.zeros(int(low) + 1, bool)
+    flags[features & low] = True
+    which = np.flatnonzero(flags[hashes & low])
     if not len(features):
         return which, which
     place = np.minimum(np.searchsorted(features, hashes[which]), len(features) - 1)
@@ -346,36 +333,82 @@ def _of_model(features: np.ndarray, hashes: np.ndarray):
     return which[good], place[good]
 
 
-def _context_rows(batches, costs, features):
-    """Candidate words of each row, with one context and the label."""
-    for batch, data, offsets in chunks(batches, "text"):
-        toxic = batch.column("label").to_numpy(zero_copy_only=False) == 1
+def _contexts(batches, costs, features=None):
+    """``(feature, context, n)`` of each chunk: contexts of a word, of those in
+    ``features`` if given, and how many rows have it there."""
+    for _, data, offsets in chunks(batches, "text"):
         hashes, rows, contexts = evidence(data, offsets, costs)
-        which, place = _of_model(features, hashes)
-        rows, contexts = rows[which], contexts[which]
-        order = np.lexsort((contexts, place, rows))  # a row is one witness: its least context
-        rows, place, contexts = rows[order], place[order], contexts[order]
+        if features is not None:
+            which, _ = _of_model(features, hashes)
+            hashes, rows, contexts = hashes[which], rows[which], contexts[which]
+        order = np.lexsort((contexts, hashes, rows))  # a row is one witness: its least context
+        hashes, rows, contexts = hashes[order], rows[order], contexts[order]
         new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:] != rows[:-1]) | (place[1:] != place[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(place[new], pa.int64()), signed(contexts[new]), pa.array(toxic[rows[new]])], ["place", "context", "toxic"])
+        new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+        hashes, contexts = hashes[new], contexts[new]
+        order = np.lexsort((contexts, hashes))
+        hashes, contexts = hashes[order], contexts[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (contexts[1:] != contexts[:-1])
+        n = np.diff(np.append(np.flatnonzero(new), len(hashes)))
+        yield pa.RecordBatch.from_arrays([signed(hashes[new]), signed(contexts[new]), pa.array(n, pa.int64())], ["feature", "context", "n"])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(costs, features, chances)`` from ``docs(id, text)`` and the labels to learn from."""
+def _sent(words: DataFrame) -> pa.Table | None:
+    """The table if it is small enough to go to every task."""
+    table = words.limit(SENT + 1).toArrow()
+    return table if table.num_rows <= SENT else None
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """``(costs, words)`` from ``docs(id, text)`` and the labels to learn from;
+    ``words(feature, chance)`` is stored."""
     costs = language_model(docs.select("text"))
-    rows = labelled(docs, labels).select("text", "label")
-    counted = rows.mapInArrow(partial(_evidence_counts, costs=costs), "feature long, bad long, fine long")
-    sums = counted.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
-    likely = sums.where((F.col("bad") >= SUPPORT) & (F.col("bad") * 3 > F.col("fine")))
-    chosen = likely.orderBy(F.desc(F.col("bad") / (F.col("bad") + F.col("fine") + PRIOR)), F.desc("bad"), "feature").limit(FEATURES)
-    features = np.sort(chosen.select("feature").toArrow().column("feature").to_numpy().view(np.uint64))
+    rows = labelled(docs, labels)
+    kinds = "feature long, context long, n long"
     # Copies of a text and repeats within it are one witness: only different contexts count.
-    seen = rows.mapInArrow(partial(_context_rows, costs=costs, features=features), "place long, context long, toxic boolean").distinct()
-    votes = seen.groupBy("place").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("fine")).toArrow()
-    chances = np.zeros(len(features))
-    bad, fine = votes.column("bad").to_numpy(), votes.column("fine").to_numpy()
-    chances[votes.column("place").to_numpy()] = bad / (bad + fine + PRIOR)
-    return costs, features, chances
+    toxic = rows.where("label = 1").select("text").mapInArrow(partial(_contexts, costs=costs), kinds)
+    toxic = toxic.groupBy("feature", "context").agg(F.sum("n").alias("n")).groupBy("feature").agg(F.count("*").alias("bad"), F.sum("n").alias("n"))
+    candidates = stage(toxic.where(F.col("n") >= SUPPORT).select("feature", "bad"), "candidates")
+    table = _sent(candidates.select("feature"))
+    features = None if table is None else np.sort(table.column("feature").to_numpy().view(np.uint64))
+    others = rows.where("label = 0").select("text").mapInArrow(partial(_contexts, costs=costs, features=features), kinds).select("feature", "context")
+    if features is None:
+        others = others.join(candidates, "feature", "left_semi")
+    fine = others.distinct().groupBy("feature").agg(F.count("*").alias("fine"))
+    votes = candidates.join(fine, "feature", "left").select("feature", "bad", F.coalesce("fine", F.lit(0)).alias("fine"))
+    words = votes.where(F.col("bad") * 3 > F.col("fine")).select("feature", (F.col("bad") / (F.col("bad") + F.col("fine") + PRIOR)).alias("chance"))
+    return costs, stage(words, "words")
+
+
+def _model(costs: np.ndarray, words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """``(costs, features, chances)`` to send, or None if the words are too many."""
+    table = _sent(words)
+    if table is None:
+        return None
+    features, chances = table.column("feature").to_numpy().view(np.uint64), table.column("chance").to_numpy()
+    order = np.argsort(features)
+    return costs, features[order], chances[order]
+
+
+def _row_words(batches, costs):
+    """The distinct words of each row."""
+    for batch, data, offsets in chunks(batches, "text"):
+        hashes, rows, _ = evidence(data, offsets, costs)
+        order = np.lexsort((hashes, rows))
+        hashes, rows = hashes[order], rows[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+        yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(rows[new])), signed(hashes[new])], ["_row", "feature"])
+
+
+def _joined(docs: DataFrame, text_col: str, costs: np.ndarray, words: DataFrame) -> DataFrame:
+    """``docs`` with ``_score``, where the words are too many to send: their
+    table meets the rows' words in a join. The rows are stored to keep their numbers."""
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = rows.select("_row", F.col(text_col).cast("string").alias("text")).mapInArrow(partial(_row_words, costs=costs), "_row long, feature long")
+    best = found.join(words, "feature").groupBy("_row").agg(F.max("chance").alias("_score"))
+    return rows.join(best, "_row", "left").withColumn("_score", F.coalesce("_score", F.lit(0.0))).drop("_row")
 
 
 def _best(data, offsets, costs, features, chances) -> np.ndarray:
@@ -398,8 +431,12 @@ def _clean(batches, text_col, threshold, model):
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of ``docs``, all columns, that score under ``threshold``; null
-    and empty texts stay. One pass over the rows, without a join."""
-    model = train(_id_text(docs, id_col, text_col), known_labels(labels, id_col, label_col))
+    and empty texts stay. One pass over the rows, without a join unless the
+    model has over SENT words."""
+    trained = train(_id_text(docs, id_col, text_col), known_labels(labels, id_col, label_col))
+    model = _model(*trained)
+    if model is None:
+        return _joined(docs, text_col, *trained).where(F.col("_score") < threshold).drop("_score")
     return docs.mapInArrow(partial(_clean, text_col=text_col, threshold=threshold, model=model), docs.schema)
 
 
@@ -414,7 +451,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Rows with one id are separate rows. Other columns are ignored.
     """
     docs = _id_text(docs, id_col, text_col)
-    model = train(docs, known_labels(labels, id_col, label_col))
+    trained = train(docs, known_labels(labels, id_col, label_col))
+    model = _model(*trained)
+    if model is None:
+        return _joined(docs, "text", *trained).select(F.col("id").alias(id_col), F.col("_score").alias("score"))
     return docs.mapInArrow(partial(_scores, model=model), "id long, score double").withColumnRenamed("id", id_col)
 
 

@@ -180,6 +180,27 @@ def test_toxicity_of_hidden_words(spark):
     assert left.columns == frame(spark, []).columns and left.count() == 402
 
 
+def test_copies_push_no_word_out_of_the_model(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    common = [word() for _ in range(300)]
+    copied = " ".join(word() for _ in range(70_000))
+    rows = [(i, copied) for i in ids[:10]]
+    for i in ids[10:200]:
+        words = [rng.choice(common) for _ in range(30)]
+        rows.append((i, " ".join([*words[:15], "grobnik", *words[15:]] if i in ids[10:18] else words)))
+    known = spark.createDataFrame([(i, 1, int(n < 18)) for n, (i, _) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows + [(1000, "so grobnik it is"), (1001, " ".join(copied.split()[:20])), (None, None), (1002, "")])
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(docs, known).collect()}
+    assert scores[1000] == 8 / (8 + 0 + toxicity.PRIOR)
+    assert 0 < scores[1001] < 0.5 and scores[1002] == scores[None] == 0
+    monkeypatch.setattr(toxicity, "SENT", 5)  # the joins give the same
+    assert {r.doc_id: r.score for r in toxicity.toxicity(docs, known).collect()} == scores
+    left = toxicity.remove_toxic(docs, known)
+    assert left.schema == docs.schema and Counter(r.doc_id for r in left.collect()) == Counter(i for i, x in scores.items() if x < 0.5)
+
+
 # -- mixing
 
 
