@@ -108,7 +108,7 @@ def _options(c: str) -> list[tuple[str, float]]:
     low = c.lower()
     if c in TYPED_FOR:
         return [(x, TYPED) for x in TYPED_FOR[c]] + [(c, SELF)]
-    return [(low, 0.0)]
+    return [(low if len(low) == 1 else c, 0.0)]
 
 
 def decode(span: str, costs: np.ndarray) -> str:
@@ -117,7 +117,6 @@ def decode(span: str, costs: np.ndarray) -> str:
     One loop over the whole span. A state's text is a chain of letters back to
     what is settled; letters that all states share are settled from time to time.
     """
-    apart = _apart(span)
     states: dict[tuple, tuple[float, tuple | None, str]] = {(0, 0, 0): (0.0, None, "")}
     settled, due = [], PIECE
     for n, c in enumerate(span):
@@ -126,7 +125,7 @@ def decode(span: str, costs: np.ndarray) -> str:
             settled.append(common)
             due = n + max(PIECE, 2 * most)
         options = _options(c)
-        gap = apart and not c.isalnum() and c not in TYPED_FOR or c in ".-_*/" and apart
+        gap = _filler(c)
         step: dict[tuple, tuple[float, tuple | None, str]] = {}
 
         def offer(key, cost, text, last):
@@ -169,10 +168,69 @@ def _settle(states: dict) -> tuple[dict, str, int]:
     return out, common, max(map(len, texts.values())) - len(common)
 
 
-def _apart(span: str) -> bool:
-    """Whether the span is mostly single characters set apart."""
-    parts = [p for p in re.split(r"[ .\-_*/,]+", span) if p]
-    return len(parts) >= 3 and sum(len(p) == 1 for p in parts) * 2 > len(parts)
+def _filler(c: str) -> bool:
+    """Whether a character may be set between letters to hide a word."""
+    return not c.isalnum() and c not in TYPED_FOR or c == "*"
+
+
+def decode_all(spans: list[str], costs: np.ndarray) -> list[str]:
+    """``decode`` of many spans: short ones take each step of the loop together."""
+    out = [decode(x, costs) if len(x) > PIECE else "" for x in spans]
+    some = [i for i, x in enumerate(spans) if 0 < len(x) <= PIECE]
+    if not some:
+        return out
+    sizes = np.array([len(spans[i]) for i in some])
+    signs, ids = np.unique(np.frombuffer("".join(spans[i] for i in some).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    options = [_options(chr(c)) for c in signs.tolist()]
+    many = np.array([len(x) for x in options])
+    at = np.cumsum(many) - many
+    letters = np.array([ord(x) for each in options for x, _ in each], np.uint32)
+    paid = np.array([cost for each in options for _, cost in each])
+    alpha = np.array([x.isalpha() for each in options for x, _ in each])
+    codes = np.where(letters < len(_FOLD), _FOLD[np.minimum(letters, len(_FOLD) - 1)], 27).astype(np.int64)
+    filler = np.array([_filler(chr(c)) for c in signs.tolist()])
+    table, cube = costs.reshape(-1).astype(np.float64), CODES ** (ORDER - 1)
+
+    span, key, last, cost = np.arange(len(some)), np.zeros(len(some), np.int64), np.zeros(len(some), np.uint32), np.zeros(len(some))
+    steps, ends = [], {}
+    for n in range(int(sizes.max()) + 1):
+        done = np.flatnonzero(sizes[span] == n)
+        if len(done):
+            order = done[np.lexsort((cost[done] + table[key[done] * CODES], span[done]))]
+            order = order[np.concatenate([[True], span[order][1:] != span[order][:-1]])]
+            ends[n] = (span[order], order)
+        live = np.flatnonzero(sizes[span] > n)
+        if not len(live):
+            break
+        sign = ids[begin[span[live]] + n]
+        source = np.repeat(live, many[sign])
+        which = np.repeat(at[sign] - np.cumsum(many[sign]) + many[sign], many[sign]) + np.arange(len(source))
+        kept = np.flatnonzero((letters[which] == last[source]) & alpha[which])
+        gaps = live[filler[sign]]
+        parent = np.concatenate([source, source[kept], gaps])
+        wrote = np.concatenate([letters[which], np.zeros(len(kept) + len(gaps), np.uint32)])
+        keys = np.concatenate([key[source] * CODES % cube + codes[which], key[source[kept]], key[gaps]])
+        total = np.concatenate([cost[source] + paid[which] + table[key[source] * CODES + codes[which]], cost[source[kept]] + paid[which[kept]] + ECHO, cost[gaps] + FILLER])
+        place = span[parent] * cube + keys
+        order = np.lexsort((total, place))
+        order = order[np.concatenate([[True], place[order][1:] != place[order][:-1]])]
+        parent, wrote = parent[order], wrote[order]
+        steps.append((parent, wrote))
+        span, key, last, cost = span[parent], keys[order], np.where(wrote > 0, wrote, last[parent]), total[order]
+    text, state = np.zeros((len(some), int(sizes.max())), np.uint32), np.zeros(len(some), np.int64)
+    going = np.zeros(0, np.int64)
+    for n in range(int(sizes.max()), 0, -1):
+        if n in ends:
+            state[ends[n][0]] = ends[n][1]
+            going = np.concatenate([going, ends[n][0]])
+        parent, wrote = steps[n - 1]
+        text[going, n - 1] = wrote[state[going]]
+        state[going] = parent[state[going]]
+    whole, stops = text[text > 0].tobytes().decode("utf-32-le", "surrogatepass"), np.cumsum((text > 0).sum(axis=1)).tolist()
+    for i, a, b in zip(some, [0, *stops], stops):
+        out[i] = whole[a:b]
+    return out
 
 
 def _classes() -> np.ndarray:
@@ -192,9 +250,8 @@ def suspects(data: np.ndarray, offsets: np.ndarray):
     """``(low, high, row)``: byte ranges that may hide letters.
 
     Between spaces and without the punctuation around it, a word is suspect if
-    it has letters next to digits or typed signs, a letter three times in a
-    row, or as many separators as letters. So are three or more single
-    characters in a row, each set apart.
+    it has letters next to digits or typed signs, a letter twice in a row, or a separator inside. So are three or more
+    single characters in a row, each set apart.
     """
     starts, ends, _, first = word_hashes(data, offsets, SPACE_TABLE)
     none = np.zeros(0, np.int64)
@@ -218,9 +275,10 @@ def suspects(data: np.ndarray, offsets: np.ndarray):
         after = np.clip(at + step, 0, len(data) - 1)
         side += step * (room & ((data[at] == 36) | (data[at] == 64)) & ((data[after] != data[at]) | (at + step == edge)))
     letters, others = within(kinds == 1), within(kinds == 4)
-    thrice = np.zeros(len(data), bool)
-    thrice[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (kinds[2:] == 1) & (data[2:] < 128)
-    odd = full & (letters > 0) & ((within((kinds == 2) | (kinds == 3)) > 0) | (within(thrice) > 0) | ((others >= 2) & (others >= letters - 1)))
+    lower = data | ((data >= 65) & (data <= 90)).astype(np.uint8) << 5
+    twice = np.zeros(len(data), bool)
+    twice[1:] = (lower[1:] == lower[:-1]) & (kinds[1:] == 1) & (data[1:] < 128)
+    odd = full & (letters > 0) & ((within((kinds == 2) | (kinds == 3)) > 0) | (within(twice) > 0) | (others > 0))
     size = high - low
     single = full & ((size == 1) | ((size == 2) & (data[np.minimum(low, len(data) - 1)] >= 0xC0)))
     single |= (ends - starts == 1) & (kinds[starts] == 3)
@@ -238,25 +296,38 @@ def suspects(data: np.ndarray, offsets: np.ndarray):
     return low[order], high[order], row[order]
 
 
+def fragments(data: np.ndarray, offsets: np.ndarray):
+    """``(low, high, row)``: two or more neighbouring words of at most three
+    characters, which may be one word in pieces. They may overlap suspects."""
+    starts, ends, _, first = word_hashes(data, offsets, SPACE_TABLE)
+    sums = np.concatenate([[0], np.cumsum((data < 128) | (data >= 0xC0))])
+    named = np.concatenate([[0], np.cumsum(_KINDS[data] == 1)])
+    short = (sums[ends] - sums[starts] <= 3) & (named[ends] > named[starts])
+    row = np.searchsorted(first, np.arange(len(starts)), "right") - 1
+    tied = np.flatnonzero(short[1:] & short[:-1] & (row[1:] == row[:-1]))
+    if not len(tied):
+        return tied, tied, tied
+    new = np.concatenate([[True], np.diff(tied) > 1])
+    begin, stop = tied[new], tied[np.append(np.flatnonzero(new)[1:] - 1, len(tied) - 1)] + 1
+    return starts[begin], ends[stop], row[begin]
+
+
 _MEMO: dict[str, str] = {}
 
 
 def _decoded(spans: list[bytes], costs: np.ndarray) -> list[str]:
-    if len(_MEMO) > 1 << 16:
+    """What each span stands for; every distinct span is decoded once."""
+    if len(_MEMO) > 1 << 17:
         _MEMO.clear()
-    out = []
-    for raw in spans:
-        span = raw.decode("utf-8", "replace")
-        if len(set(span.lower()) - set(" .-_*/,\n\t\r")) == 1:
-            out.append(span)  # one character over and over says nothing
-            continue
-        found = _MEMO.get(span)
-        if found is None:
-            found = decode(span, costs)
-            if len(span) <= REMEMBERED:
-                _MEMO[span] = found
-        out.append(found)
-    return out
+    found: dict[bytes, str] = dict.fromkeys(spans, "")
+    texts = {raw: raw.decode("utf-8", "replace") for raw in found}
+    same = {raw for raw, span in texts.items() if len(set(span.lower()) - set(" .-_*/,\n\t\r")) == 1}  # one character over and over says nothing
+    new = list({span for raw, span in texts.items() if raw not in same and span not in _MEMO})
+    fresh = dict(zip(new, decode_all(new, costs)))
+    for raw, span in texts.items():
+        found[raw] = span if raw in same else fresh[span] if span in fresh else _MEMO[span]
+    _MEMO.update((span, text) for span, text in fresh.items() if len(span) <= REMEMBERED)
+    return [found[raw] for raw in spans]
 
 
 def restore(text: str | None, costs: np.ndarray) -> str:
@@ -264,6 +335,9 @@ def restore(text: str | None, costs: np.ndarray) -> str:
     raw = (text or "").encode()
     data = np.frombuffer(raw, np.uint8)
     low, high, _ = suspects(data, np.array([0, len(raw)]))
+    more, stop, _ = fragments(data, np.array([0, len(raw)]))
+    apart = [k for k, (a, b) in enumerate(zip(more, stop)) if not ((low < b) & (high > a)).any()]
+    low, high = np.sort(np.concatenate([low, more[apart]])), np.sort(np.concatenate([high, stop[apart]]))
     out, at = [], 0
     for a, b, found in zip(low.tolist(), high.tolist(), _decoded([raw[a:b] for a, b in zip(low, high)], costs)):
         out += [raw[at:a], found.encode()]
@@ -310,7 +384,7 @@ def evidence(data: np.ndarray, offsets: np.ndarray, costs: np.ndarray):
     """``(hashes, rows, contexts)``: words and prefixes of the restored texts.
     Suspect words count as they stand, too."""
     hashes, rows, contexts, _ = _words_and_prefixes(data, offsets)
-    low, high, row = suspects(data, offsets)
+    low, high, row = (np.concatenate(x) for x in zip(suspects(data, offsets), fragments(data, offsets)))
     if len(low):
         more, own, around, whole = _words_and_prefixes(*buffers(pa.array(_decoded([data[a:b].tobytes() for a, b in zip(low, high)], costs), pa.string())))
         before = np.array([zlib.crc32(data[max(a - 12, 0) : a].tobytes()) for a in low.tolist()], np.uint64)

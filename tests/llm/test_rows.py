@@ -136,6 +136,20 @@ def test_restored_text(costs, seen, meant):
     assert toxicity.restore(seen, costs) == meant
 
 
+@pytest.mark.parametrize("seen, meant", [("iiddiioott", "idiot"), ("mo.ron", "moron"), ("id--iot", "idiot"), ("st-upid", "stupid"), ("mo ro n", "moron"), ("mo r o n", "moron"), ("M*o*ron", "moron")])
+def test_evidence_of_light_disguises(costs, seen, meant):
+    texts = [f"Someone, {seen}, whatever", f"nothing {meant} nothing"]
+    hashes, rows, _ = toxicity.evidence(*toxicity.buffers(toxicity.pa.array(texts)), costs)
+    word, *_ = toxicity._words_and_prefixes(*toxicity.buffers(toxicity.pa.array([meant])))
+    assert word[0] in hashes[rows == 0] and word[0] in hashes[rows == 1]
+
+
+def test_many_spans_decode_as_one_by_one(costs):
+    rng = random.Random(2)
+    spans = ["".join(rng.choice("aabbeeiioorrsstt 10@$*.-é\u0130") for _ in range(rng.randrange(1, 30))) for _ in range(300)] + ["x" * 90, ""]
+    assert toxicity.decode_all(spans, costs) == [toxicity.decode(x, costs) for x in spans]
+
+
 def test_restored_spans_of_any_length(costs):
     rng = random.Random(5)
     word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(200_000))
