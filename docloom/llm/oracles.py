@@ -73,3 +73,17 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM bits
 """
+
+#: Windows of 13 words that also start in a smaller document; what they cover goes.
+SQL["op11_substring_dedup"] = r"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS w FROM docs, unnest(range(1, len(words) - 11)) t(i)),
+later AS (SELECT doc_id, i FROM windows JOIN (SELECT w, min(doc_id) AS least FROM windows GROUP BY w) USING (w) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM later, unnest(range(0, 13)) t(j)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM docs) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity, warc
+from docloom.llm import decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, suffix_dedup, toxicity, warc
 from docloom.llm.common import held_out
 from docloom.sources.tables import load
 
@@ -69,3 +69,8 @@ def op6_warc(spark, sf_dir):
 @query
 def op7_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(load(spark, sf_dir, "documents"))
+
+
+@query
+def op11_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeated_words(load(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
