@@ -7,8 +7,8 @@ one are a super-k-mer: one packed string of at most 2 * WORDS - GRAM words in
 place of as many windows, sent to the bucket of its minimiser. There the
 windows are cut out again and sorted, and equal ones meet.
 
-Only super-k-mers whose minimiser occurs in two different texts are packed and
-sent. Equal texts are one class from the start, and equal packed strings are
+Only super-k-mers whose minimiser occurs more than once are packed and sent.
+Equal texts are one class from the start, and equal packed strings are
 one class of their bucket, so copies cost partial aggregates and no more. A
 bucket with over LIMIT different strings is not sorted by one task: its
 windows are dealt one by one, by their digest.
@@ -21,10 +21,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import CHUNK_BYTES, byte_table, chunks, gram_hashes, signed, stage, word_hashes
+from docloom.llm.common import CHUNK_BYTES, ODD, byte_table, chunks, gram_hashes, signed, stage, word_hashes
 from docloom.llm.suffix_dedup import sliding_min
 
 WORDS = 13
@@ -91,44 +92,43 @@ def _long_words(data: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray):
+    """``(base, words, first)``: the words of a chunk, or of one long text block by block with the windows across."""
+    if len(data) <= 2 * CHUNK_BYTES:
+        _, _, words, first = word_hashes(data, offsets, _TABLE)
+        yield 0, words, first
+        return
+    words = _long_words(data)
+    for at in range(0, max(1, len(words) - WORDS + 1), _BLOCK):
+        part = words[at : at + _BLOCK + WORDS - 1]
+        yield at, part, np.array([0, len(part)])
+
+
 def _minimisers(batches):
-    """The super-k-mers of each text without their words; of equal texts in one task only once."""
-    seen = set()
+    """The minimisers of each text's super-k-mers."""
     for batch, data, offsets in chunks(batches, "text"):
-        keys = list(zip(batch.column("c").to_pylist(), batch.column("d").to_pylist()))
-        fresh = np.array([not (k in seen or seen.add(k)) for k in keys])
-        if len(data) > 2 * CHUNK_BYTES:  # one row
-            words = _long_words(data)
-            parts = [(at, words[at : at + _BLOCK + WORDS - 1]) for at in range(0, max(1, len(words) - WORDS + 1), _BLOCK)]
-            parts = [(at, part, np.array([0, len(part)])) for at, part in parts]
-        else:
-            _, _, words, first = word_hashes(data, offsets, _TABLE)
-            parts = [(0, words, first)]
-        for base, part, first in parts:
-            h, row, at, size = super_kmers(part, first)
-            good = fresh[row]
-            h, row, at, size = h[good], pa.array(row[good]), at[good] + base, size[good]
-            yield pa.RecordBatch.from_arrays(
-                [signed(h), batch.column("c").take(row), batch.column("d").take(row), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))],
-                ["g", "c", "d", "at", "size"],
-            )
+        for _, words, first in _parts(data, offsets):
+            g, row, _, _ = super_kmers(words, first)
+            yield pa.RecordBatch.from_arrays([signed(g), batch.column("no").take(pa.array(row))], ["g", "no"])
 
 
 def _pack(batches):
-    """The chosen super-k-mers of each text as packed strings."""
+    """The super-k-mers of each text with one of the listed minimisers, as packed strings."""
     for batch, data, offsets in chunks(batches, "text"):
-        packed, place, first = packed_words(data, offsets)
+        packed, place, begin = packed_words(data, offsets)
         packed = packed.tobytes()
-        for r in range(batch.num_rows):
-            runs = batch.column("runs")[r].values
-            g, at, size = (runs.field(k) for k in ("g", "at", "size"))
-            begin = first[r] + at.to_numpy()
-            low, high = place[begin].tolist(), (place[begin + size.to_numpy() + WORDS - 1] - 1).tolist()
-            same = lambda c: pa.array([batch.column(c)[r].as_py()] * len(low), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [g, same("c"), same("d"), same("first"), at, pa.array([packed[a:b] for a, b in zip(low, high)], pa.binary())],
-                ["g", "c", "d", "first", "at", "content"],
-            )
+        listed = batch.column("listed")
+        counts = pc.list_value_length(listed).to_numpy(zero_copy_only=False)
+        wanted = listed.flatten().to_numpy().view(np.uint64) + np.repeat(np.arange(len(counts), dtype=np.uint64), counts) * ODD
+        for base, words, first in _parts(data, offsets):
+            g, row, at, size = super_kmers(words, first)
+            chosen = np.isin(g + row.astype(np.uint64) * ODD, wanted)
+            g, row, at, size = g[chosen], row[chosen], at[chosen] + base, size[chosen]
+            low = place[begin[row] + at].tolist()
+            high = (place[begin[row] + at + size + WORDS - 1] - 1).tolist()
+            content = pa.array([packed[a:b] for a, b in zip(low, high)], pa.binary())
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([signed(g), batch.column("no").take(row), batch.column("first").take(row), pa.array(at.astype(np.int32)), content], ["g", "no", "first", "at", "content"])
 
 
 def sort_windows(contents: list[bytes], low: list[int]) -> list[list[int]]:
@@ -196,14 +196,16 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     windows that also start in a text with a smaller one. Classes of one row
     without such a window are left out."""
     docs = docs.where(F.col("id").isNotNull() & (F.octet_length("text") >= 2 * WORDS - 1))
-    kmers = stage(docs.select("c", "d", "text").mapInArrow(_minimisers, "g long, c long, d long, at int, size int"), "kmers")
     copies = stage(docs.groupBy("c", "d").agg(F.min("id").alias("first"), F.max("id").alias("last")), "copies")
-    # what the joins look up is stored, so that Spark can split them at a common minimiser
-    again = stage(kmers.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("g"), "minimisers")
-    shared = kmers.join(again, "g", "left_semi").repartition("c", "d").distinct()
-    chosen = shared.groupBy("c", "d").agg(F.collect_list(F.struct("g", "at", "size")).alias("runs")).join(copies.select("c", "d", "first"), ["c", "d"])
-    texts = docs.withColumnRenamed("id", "first").join(chosen, ["c", "d", "first"]).select("c", "d", "first", "text", "runs")
-    pieces = stage(texts.mapInArrow(_pack, "g long, c long, d long, first long, at int, content binary").withColumn("e", F.xxhash64("content")), "pieces")
+    # of equal texts one is looked at; its number is small and compresses well wherever it is shuffled
+    texts = docs.withColumnRenamed("id", "first").join(copies.select("c", "d", "first"), ["c", "d", "first"])
+    texts = stage(texts.withColumn("no", F.monotonically_increasing_id()), "texts")
+    kmers = stage(texts.select("no", "text").mapInArrow(_minimisers, "g long, no long"), "minimisers")
+    # what the join looks up is stored, so that Spark can split it at a common minimiser
+    again = stage(kmers.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "again")
+    listed = stage(kmers.join(again, "g", "left_semi").groupBy("no").agg(F.collect_set("g").alias("listed")), "listed")
+    chosen = texts.select("no", "first", "text").join(listed, "no")
+    pieces = stage(chosen.mapInArrow(_pack, "g long, no long, first long, at int, content binary").withColumn("e", F.xxhash64("content")), "pieces")
 
     classes = stage(pieces.groupBy("g", "content").agg(F.min("first").alias("low"), F.max("first").alias("high")).withColumn("e", F.xxhash64("content")), "strings")
     large = stage(classes.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > LIMIT).select("g"), "large")
@@ -215,8 +217,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         found = found.union(_dealt_windows(classes.join(large, "g", "left_semi")))
     found = stage(found, "hits")
     starts = F.transform(F.filter("hits", lambda x: x["least"] < F.col("first")), lambda x: F.col("at") + x["j"])
-    runs = pieces.select("g", "e", "c", "d", "first", "at").join(found, ["g", "e"]).select("c", "d", starts.alias("starts")).where(F.size("starts") > 0)
-    runs = runs.groupBy("c", "d").agg(F.collect_list("starts").alias("runs"))
+    runs = pieces.select("g", "e", "no", "first", "at").join(found, ["g", "e"]).select("no", starts.alias("starts")).where(F.size("starts") > 0)
+    runs = texts.select("no", "c", "d").join(runs, "no").groupBy("c", "d").agg(F.collect_list("starts").alias("runs"))
     judged = copies.join(runs, ["c", "d"], "left").where("first <> last OR runs IS NOT NULL")
     return stage(judged.select("c", "d", "first", "runs"), "judged")  # read plainly, so that Spark can split the join at a text of many copies
 
