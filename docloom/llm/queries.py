@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, suffix_dedup, toxicity, warc
+from docloom.llm import (
+    conversation_repair,
+    decontaminate,
+    license_scan,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+    warc,
+    whitening,
+)
 from docloom.llm.common import held_out
 from docloom.sources.tables import load
 
@@ -74,3 +88,19 @@ def op7_license_scan(spark, sf_dir):
 @query
 def op11_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeated_words(load(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
+@query
+def op12_embedding_whitening(spark, sf_dir):
+    rows = whitening.whiten(load(spark, sf_dir, "embeddings"))
+    entries = rows.select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "entry"))
+    return entries.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").cast("long").alias("deviation"),
+        "entry.whitened", "entry.explained", "identity_error",
+    )
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    conversations = load(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damage(conversations), conversations)
