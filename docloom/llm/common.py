@@ -23,7 +23,11 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write to a new shared folder and read back: lineage ends here, and a
     lost executor costs its running tasks only."""
-    path = shared_dir(df.sparkSession, label)
+    return stage_at(df, shared_dir(df.sparkSession, label), codec)
+
+
+def stage_at(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
+    """As ``stage`` in a folder that the caller knows, and so can remove."""
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

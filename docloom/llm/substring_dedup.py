@@ -25,8 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import CHUNK_BYTES, ODD, byte_table, chunks, gram_hashes, signed, stage, word_hashes
+from docloom.llm.common import CHUNK_BYTES, ODD, byte_table, chunks, gram_hashes, signed, stage, stage_at, word_hashes
 from docloom.llm.suffix_dedup import sliding_min
+from docloom.session import remove_dir, shared_dir
 
 WORDS = 13
 GRAM = 5
@@ -200,10 +201,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # of equal texts one is looked at; its number is small and compresses well wherever it is shuffled
     texts = docs.withColumnRenamed("id", "first").join(copies.select("c", "d", "first"), ["c", "d", "first"])
     texts = stage(texts.withColumn("no", F.monotonically_increasing_id()), "texts")
-    kmers = stage(texts.select("no", "text").mapInArrow(_minimisers, "g long, no long"), "minimisers")
+    spark = docs.sparkSession
+    scratch = shared_dir(spark, "minimisers")  # the longest of the working tables
+    kmers = stage_at(texts.select("no", "text").mapInArrow(_minimisers, "g long, no long"), scratch)
     # what the join looks up is stored, so that Spark can split it at a common minimiser
     again = stage(kmers.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "again")
     listed = stage(kmers.join(again, "g", "left_semi").groupBy("no").agg(F.collect_set("g").alias("listed")), "listed")
+    remove_dir(spark, scratch)
     chosen = texts.select("no", "first", "text").join(listed, "no")
     pieces = stage(chosen.mapInArrow(_pack, "g long, no long, first long, at int, content binary").withColumn("e", F.xxhash64("content")), "pieces")
 
