@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.functions.filters import PATH_RULE, filter_column
+from docloom.functions.filters import PATH_RULE
 from docloom.functions.text import query_tokens, with_tokens
 from docloom.operators.embed import embed_column
+from docloom.operators.filter_join import compiled, facts, path_groups
 from docloom.operators.fulltext import ranked, score_text
 from docloom.operators.match import Match, TokenView, any_of, phrase, prefix, term
 from docloom.operators.text_batch import search_hybrid_batch, search_text_batch
@@ -21,7 +22,7 @@ from docloom.schema import DEFAULT_LIMIT
 from docloom.session import shared_dir
 
 TYPES = ("fulltext", "vector", "hybrid")
-FILTERS_PER_PASS = 256  # distinct filters evaluated in one pass over the documents
+MATCHES_PER_PASS = 256  # distinct text conditions evaluated in one pass over the documents
 
 
 def search_hybrid(
@@ -112,51 +113,61 @@ def search_requests(
     ``requests``: ``query_id, query, type, limit, filters`` (JSON text), and
     optionally ``match`` (JSON text, see :func:`_condition`) with further
     conditions on the text. All requests of a kind share one pass over the
-    documents. A query text asks for all its words; with ``any`` words in
-    ``match``, or without ``every_word``, for any of them. The distinct
-    filters and conditions are compiled on the driver, ``FILTERS_PER_PASS`` at
-    a time, and each becomes one boolean per document.
+    documents, however many filters they have: filters are turned around into
+    a table of conditions (see ``filter_join``). A query text asks for all its
+    words; with ``any`` words in ``match``, or without ``every_word``, for any
+    of them. The distinct text conditions are compiled on the driver,
+    ``MATCHES_PER_PASS`` at a time, and each becomes one boolean per document.
     """
     asked = accepted_requests(requests)
     per_request = F.when(F.coalesce(F.json_array_length(F.get_json_object("match", "$.any")), F.lit(0)) > 0, False).otherwise(every_word)
-    asked = asked.withColumns({"every_word": per_request, "_pair": F.struct("filters", "match")})
-    pairs = asked.select("_pair").distinct()
+    # stored: the passes below read it several times
+    asked = _stored(asked.withColumn("every_word", per_request).withColumn("conditions", compiled("filters")).drop("filters"))
     parts = [asked.select("query_id", F.lit("").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)]
     last = None
     while True:
-        rest = pairs if last is None else pairs.where(F.col("_pair") > F.struct(F.lit(last["filters"]).alias("filters"), F.lit(last["match"]).alias("match")))
-        chunk = [r["_pair"] for r in rest.orderBy("_pair").limit(FILTERS_PER_PASS).collect()]
+        matches = asked.select("match").distinct() if last is None else asked.select("match").distinct().where(F.col("match") > last)
+        chunk = [r["match"] for r in matches.orderBy("match").limit(MATCHES_PER_PASS).collect()]
         if not chunk:
             break
         last = chunk[-1]
-        numbered = docs.sparkSession.createDataFrame([(n, p["filters"], p["match"]) for n, p in enumerate(chunk)], "filter_no int, filters string, match string")
-        numbered = asked.join(F.broadcast(numbered), ["filters", "match"]).drop("filters", "match", "_pair")
-        kinds = {r["type"] for r in numbered.select("type").distinct().collect()}  # three at most
-        conditions = [_condition(p["match"]) for p in chunk]
-        visible = with_tokens(docs, name="_tokens") if any(c is not None for c in conditions) else docs
-        passes = [filter_column(json.loads(p["filters"])) for p in chunk]
-        passes = [f if c is None else f & F.coalesce(c, F.lit(False)) for f, c in zip(passes, conditions)]
-        visible = visible.withColumn("passes", F.array(*passes)).select(*docs.columns, "passes")
-        visible = visible.withColumn("vector", F.when(F.col("is_embedded"), F.col("vector")))
-        by_type = {kind: numbered.where(F.col("type") == kind).drop("type") for kind in kinds}
-        for kind in kinds & {"vector", "hybrid"}:
-            # stored: the embedder must run once per text, and its rows are counted before they are used
-            by_type[kind] = _stored(embed_column(by_type[kind], embedder, text="query"))
-        if "vector" in kinds:
-            parts.append(knn_join(by_type["vector"], visible, digits=digits, **layout))
-        options = {"every_word": every_word, "digits": digits, **layout}
-        if "hybrid" in kinds:
-            both = by_type["hybrid"].withColumn("by_vector", F.lit(True))
-            if "fulltext" in kinds:
-                plain = by_type["fulltext"].withColumn("by_vector", F.lit(False))
-                both = both.unionByName(plain, allowMissingColumns=True)
-            parts.append(search_hybrid_batch(both, visible, **options).drop("text_score"))
-        elif "fulltext" in kinds:
-            parts.append(search_text_batch(by_type["fulltext"], visible, **options))
+        numbered = docs.sparkSession.createDataFrame(list(enumerate(chunk)), "filter_no int, match string")
+        numbered = asked.join(F.broadcast(numbered), "match").drop("match")
+        texts = [_condition(m) for m in chunk]
+        plain = all(c is None for c in texts)
+        seen = docs if plain else with_tokens(docs, name="_tokens")
+        passes = [] if plain else [F.array(*(F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for c in texts)).alias("passes")]
+        vector = F.when(F.col("is_embedded"), F.col("vector")).alias("vector")
+        for paths, group in path_groups(numbered):
+            own = [c for c in docs.columns if c != "vector"]
+            visible = seen.select(*own, vector, *passes, facts(paths).alias("facts"))
+            parts += _answers(group.drop("filter_no") if plain else group, visible, embedder, every_word, digits, layout)
     hits = reduce(DataFrame.unionByName, parts)
     return hits.join(asked.select("query_id", "type"), "query_id").select("query_id", "type", "id", "score", "rank")
 
 
+def _answers(asked: DataFrame, visible: DataFrame, embedder, every_word: bool, digits: int | None, layout: dict) -> list[DataFrame]:
+    """Hits of some requests, one pass over the documents for texts and one for vectors."""
+    kinds = {r["type"] for r in asked.select("type").distinct().collect()}  # three at most
+    by_type = {kind: asked.where(F.col("type") == kind).drop("type") for kind in kinds}
+    parts = []
+    for kind in kinds & {"vector", "hybrid"}:
+        # stored: the embedder must run once per text, and its rows are counted before they are used
+        by_type[kind] = _stored(embed_column(by_type[kind], embedder, text="query"))
+    if "vector" in kinds:
+        parts.append(knn_join(by_type["vector"], visible, digits=digits, **layout))
+    options = {"every_word": every_word, "digits": digits, **layout}
+    if "hybrid" in kinds:
+        both = by_type["hybrid"].withColumn("by_vector", F.lit(True))
+        if "fulltext" in kinds:
+            plain = by_type["fulltext"].withColumn("by_vector", F.lit(False))
+            both = both.unionByName(plain, allowMissingColumns=True)
+        parts.append(search_hybrid_batch(both, visible, **options).drop("text_score"))
+    elif "fulltext" in kinds:
+        parts.append(search_text_batch(by_type["fulltext"], visible, **options))
+    return parts
+
+
 def _stored(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession, "asked")
     df.write.parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens, with_tokens
 from docloom.operators.fulltext import B, K1, idf, with_stats
-from docloom.operators.topk_join import Scorer, size_of, topk_join
+from docloom.operators.topk_join import Scorer, gates, size_of, topk_join
 from docloom.operators.vector import score_lists, vectors_by_length
 from docloom.schema import DEFAULT_LIMIT
 from docloom.session import shared_dir
@@ -191,7 +191,7 @@ def search_text_batch(
     filter) if ``filter_no`` is used. A query matches documents with any of
     its words, or with all of them. A word given twice counts twice.
     """
-    docs = docs.select("id", text, *(["passes"] if "filter_no" in queries.columns else []))
+    docs = docs.select("id", text, *gates(queries))
     ready, tokenized, bound = _prepared(queries, docs, text, k, every_word)
     hits = topk_join(ready, tokenized, TextScorer(), bound, F.size("tokens"), digits, **layout)
     return hits.drop("tie").withColumn("score", -F.col("score"))
@@ -216,7 +216,7 @@ def search_hybrid_batch(
     """
     if "by_vector" not in queries.columns:
         queries = queries.withColumn("by_vector", F.lit(True))
-    docs = docs.select("id", text, "vector", *(["passes"] if "filter_no" in queries.columns else []))
+    docs = docs.select("id", text, "vector", *gates(queries))
     ready, tokenized, (n_queries, n_words) = _prepared(queries, docs, text, k, every_word)
     bound = n_queries, n_words + size_of(queries, F.size("vector"))[1]
     doc_size = F.size("tokens") + F.greatest(F.size("vector"), F.lit(0))

@@ -25,6 +25,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.operators.filter_join import FilterTable
+
 BROADCAST_QUERIES = 4096  # rows
 BROADCAST_CELLS = 4_000_000  # array elements over all query rows
 CELL_QUERIES = 32_768  # queries of one co-group
@@ -90,6 +92,7 @@ def _run(scorer: Scorer, queries: pa.Table, batches, schema: pa.Schema, digits)
     state = scorer.prepare(queries)
     ks = queries["k"].to_numpy().astype("int64")
     filter_no = queries["filter_no"].to_numpy() if "filter_no" in queries.column_names else None
+    filters = FilterTable(queries["conditions"].to_pylist()) if "conditions" in queries.column_names else None
     best = _Best(ks, schema.field("id").type)
     step = max(1, SCORE_BLOCK // max(1, len(ks)))
     for batch in batches:
@@ -102,6 +105,8 @@ def _run(scorer: Scorer, queries: pa.Table, batches, schema: pa.Schema, digits)
             if filter_no is not None:
                 passes = part.column("passes").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 scores = np.where(passes[:, filter_no], scores, -np.inf)
+            if filters is not None:
+                scores = np.where(filters.passes(part.column("facts")), scores, -np.inf)
             best.add(part.column("id"), scores, ties)
     found = queries.select(["query_id", "k"]).take(best.rows["q"])
     columns = [found["query_id"], best.rows["id"], best.rows["score"], best.rows["tie"], found["k"]]
@@ -118,6 +123,11 @@ def size_of(df: DataFrame, elements) -> tuple[int, int]:
     return n_rows, n_elements or 0
 
 
+def gates(queries: DataFrame) -> list[str]:
+    """Columns of the documents that decide which queries may see them."""
+    return [of_docs for of_docs, of_queries in (("passes", "filter_no"), ("facts", "conditions")) if of_queries in queries.columns]
+
+
 def topk_join(
     queries: DataFrame,
     docs: DataFrame,
@@ -133,7 +143,8 @@ def topk_join(
 
     ``queries`` has ``query_id`` and ``k`` besides what the scorer reads;
     ``docs`` has ``id``. If queries have a ``filter_no``, they only see
-    documents whose ``passes`` array is true at that place. ``bound`` gives
+    documents whose ``passes`` array is true at that place; if they have
+    ``conditions``, only documents whose ``facts`` hold them all. ``bound`` gives
     the number of queries and of their array elements (see :func:`size_of`)
     and decides the layout; ``doc_size``, a column with the array elements of
     a document, sizes the cells of the second layout.

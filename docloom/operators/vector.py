@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions.filters import filter_column
 from docloom.functions.vectors import WORST_DISTANCE, metric_name, score_block
 from docloom.operators.fulltext import best
-from docloom.operators.topk_join import Scorer, size_of, topk_join
+from docloom.operators.topk_join import Scorer, gates, size_of, topk_join
 from docloom.schema import DEFAULT_LIMIT
 
 
@@ -104,9 +104,8 @@ def knn_join(
     queries = queries.where(F.size("vector") > 0)
     if "k" not in queries.columns:
         queries = queries.withColumn("k", F.lit(int(k)))
-    filtered = "filter_no" in queries.columns
-    queries = queries.select("query_id", "vector", "k", *(["filter_no"] if filtered else []))
-    docs = docs.where(F.size("vector") > 0).select("id", "vector", *(["passes"] if filtered else []))
+    queries = queries.select("query_id", "vector", "k", *(c for c in ("filter_no", "conditions") if c in queries.columns))
+    docs = docs.where(F.size("vector") > 0).select("id", "vector", *gates(queries))
     size = F.size("vector")
     return topk_join(queries, docs, VectorScorer(metric), size_of(queries, size), size, digits, **layout).drop("tie")
 

@@ -147,6 +147,23 @@ SQL["postings_incremental"] = r"""WITH tk AS (SELECT d.doc_id, regexp_extract_al
    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(l.toxic, 0) <> 1)
  SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest(k) AS term FROM tk) GROUP BY term"""
 
+SQL["fulltext_early"] = SQL["fulltext_topk"]
+
+
+def matching_score(places):
+    """BM25 of one leaf from the documents and counts ``hit(id, tf)``."""
+    return f"""WITH {TOKENS}, {POSITIONS}, hit AS ({places}),
+ st AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(len(k)) AS DOUBLE) / count(*) AS mean_length FROM tk),
+ w AS (SELECT mean_length, greatest(ln((n - a + 0.5) / (a + 0.5)), 1e-6) AS wa FROM st, (SELECT count(*) AS a FROM hit))
+ SELECT id, {rounded('-(wa * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(k) / mean_length)))')} AS score
+ FROM hit JOIN tk USING (id), w"""
+
+
+SQL["prefix_postings"] = matching_score("SELECT id, count(*) AS tf FROM pos WHERE starts_with(t, 'estio') GROUP BY id")
+SQL["near_postings"] = f"""WITH {bm25(["esat", "the"], "list_has_all(k, ['esat', 'the'])")}, {POSITIONS}
+ SELECT id, {rounded('score')} AS score FROM sc WHERE id IN (SELECT a.id FROM pos a JOIN pos b ON a.id = b.id
+  WHERE a.t = 'esat' AND b.t = 'the' AND abs(a.p - b.p) - 1 <= 3)"""
+
 # -- filters
 
 SQL["filter_tag"] = "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lang = 'fr'"
@@ -159,6 +176,10 @@ SQL["filter_meta_object"] = f"""WITH {DOCS} SELECT id FROM c WHERE CAST(json_ext
 SQL["filter_meta_nested"] = f"WITH {DOCS} SELECT id FROM c WHERE json_extract_string(metadata, '$.stats.quality') = '0'"
 SQL["filter_combined"] = f"WITH {DOCS} SELECT id FROM c WHERE lang = 'en' AND source = 'src7' AND NOT labeled"
 
+_SAME = """a.labeled AND a.lang = b.lang AND a.source = b.source AND length(a.content) = length(b.content)
+   AND b.labeled AND a.quality = b.quality"""
+SQL["filter_many"] = f"WITH {DOCS} SELECT b.id, a.id AS filter_no FROM c a JOIN c b ON {_SAME}"
+
 # -- reading
 
 SQL["get_documents"] = f"""WITH {DOCS} SELECT id, CAST(length(content) AS INTEGER) AS n_chars, is_embedded, {CSV} AS tags
@@ -308,6 +329,10 @@ SQL["search_match_kinds"] = f"""WITH {word_scores(_KINDS)}, ok AS (SELECT hit.*,
  SELECT query_id, id, {rounded('-total')} AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER
   (PARTITION BY query_id ORDER BY round(total, 9) DESC, id) AS rank FROM ok) WHERE rank <= 7
  UNION ALL SELECT query_id, 'invalid filters', NULL, 0 FROM ({_KINDS}) WHERE n = 5"""
+SQL["search_many_filters"] = f"""WITH {word_scores("SELECT 'q' AS query_id, 'the of' AS query")}, {DOCS},
+ ok AS (SELECT a.id AS query_id, b.id, total FROM c a JOIN c b ON {_SAME} JOIN hit ON hit.id = b.id JOIN tk ON tk.id = b.id WHERE list_contains(k, 'the'))
+ SELECT query_id, id, {rounded('-total')} AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER
+  (PARTITION BY query_id ORDER BY round(total, 9) DESC, id) AS rank FROM ok) WHERE rank <= 3"""
 SQL["search_rejected"] = f"""SELECT query_id, CASE WHEN query = '' THEN 'query is required'
   ELSE 'invalid search type: fuzzy' END AS reason FROM ({_ASKED}) WHERE query = '' OR type = 'fuzzy'"""
 SQL["search_response"] = f"""WITH {ANSWERS} SELECT query_id, q.type, CAST(count(id) AS INTEGER) AS total,
@@ -337,5 +362,9 @@ SQL["database_list"] = f"""WITH {DOCS} SELECT lang AS name, count(*) + count(*)
   true AS stored FROM c GROUP BY lang UNION ALL SELECT 'gone', 0, 0, NULL, NULL, false"""
 SQL["collection_get"] = "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS content FROM documents WHERE doc_id IN (7, 42, 199)"
 SQL["index_refresh"] = SQL["postings_incremental"]
+SQL["stream_index"] = r"""WITH tk AS (SELECT d.doc_id, regexp_extract_all(strip_accents(lower(
+   CASE WHEN l.doc_id IS NULL THEN text ELSE text || ' revised edition ' || lang END)), '[\p{L}\p{N}\p{Co}]+') AS k
+   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+ SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest(k) AS term FROM tk) GROUP BY term"""
 SQL["stream_last_wins"] = """SELECT CAST(doc_id AS VARCHAR) AS id, md5('last ' || text) AS content FROM documents
   WHERE doc_id IN (SELECT doc_id FROM labels)"""

@@ -15,7 +15,7 @@ from docloom.functions.tags import tags_from_csv, tags_to_csv
 from docloom.functions.text import tokens, with_tokens
 from docloom.functions.times import parse_time
 from docloom.functions.vectors import blob_to_vector, similarity, vector_to_blob
-from docloom.operators import embed, fulltext, listing, match, mutate, postings, search, text_batch, vector
+from docloom.operators import embed, filter_join, fulltext, listing, match, mutate, postings, search, text_batch, vector
 from docloom.plans.constants import AS_OF, DIM, LANGUAGES, QUERY_VECTOR, SCORED, TOP_WORDS
 from docloom.session import shared_dir
 from docloom.sources import ingest
@@ -163,6 +163,25 @@ def phrase_postings(spark, sf_dir):
     return scored.select("id", _score())
 
 
+@query
+def prefix_postings(spark, sf_dir):
+    """A prefix answered by the dictionary and the directories of its words."""
+    return _stored_index(spark, sf_dir).score(match.prefix("estio")).select("id", _score())
+
+
+@query
+def near_postings(spark, sf_dir):
+    """Places met from the rarer word on; the other word's postings are cut where they are read."""
+    return _stored_index(spark, sf_dir).score(match.near("esat", "the", distance=3)).select("id", _score())
+
+
+@query
+def fulltext_early(spark, sf_dir):
+    """The k best without the postings that cannot matter."""
+    hits = _stored_index(spark, sf_dir).search_top(match.any_of(*TOP_WORDS), 10)
+    return hits.select("id", _score(), "rank")
+
+
 def _labelled(spark, sf_dir, condition=None):
     labels = load(spark, sf_dir, "labels")
     labels = labels.where(condition) if condition is not None else labels
@@ -208,6 +227,22 @@ def filter_meta_number(spark, sf_dir):
     return events.where(filter_column({"k": 42}, metadata="props")).select("event_id")
 
 
+def _own_filter():
+    """A filter per document, with three conditions; copies share theirs."""
+    return F.to_json(F.struct(F.col("lang").alias("tag"), "source", "n_chars", F.struct(F.col("quality")).alias("stats")), {"ignoreNullFields": "false"})
+
+
+def _filtered_by(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return docs.select(F.col("doc_id").cast("string").alias("filter_no"), _own_filter().alias("filters"))
+
+
+@query
+def filter_many(spark, sf_dir):
+    """As many filters as there are labelled documents, in one pass."""
+    return filter_join.passing(collection(spark, sf_dir, with_vectors=False), _filtered_by(spark, sf_dir))
+
+
 # -- reading
 
 
@@ -611,6 +646,17 @@ def search_match_kinds(spark, sf_dir):
     return hits.select("query_id", "id", _score(), "rank").unionByName(refused)
 
 
+@query
+def search_many_filters(spark, sf_dir):
+    """A request per labelled document, each with a filter of its own."""
+    asked = _filtered_by(spark, sf_dir).select(
+        F.col("filter_no").alias("query_id"), F.lit("the of").alias("query"), F.lit("").alias("type"), F.lit(3).alias("limit"),
+        "filters", F.lit('{"any": ["the"]}').alias("match"),
+    )
+    hits = search.search_requests(collection(spark, sf_dir, with_vectors=False), asked, LETTERS, digits=9)
+    return hits.select("query_id", "id", _score(), "rank")
+
+
 @query
 def search_rejected(spark, sf_dir):
     return search.rejected_requests(_requests(spark, sf_dir)).select("query_id", "reason")
@@ -708,6 +754,19 @@ def stream_upsert(spark, sf_dir):
     return _changed(stored.read())
 
 
+@query
+def stream_index(spark, sf_dir):
+    """A text index that follows a stream: documents arrive in two batches,
+    then revised ones, and each batch is one commit of both."""
+    stored = Collection(spark, shared_dir(spark, "store"), "main", "docs", buckets=8, indexed=True)
+    path, progress = shared_dir(spark, "arrivals"), shared_dir(spark, "progress")
+    for arrivals in (texts(spark, sf_dir), _revised(spark, sf_dir)):
+        arrivals.select("id", "content").repartition(4, "id").write.mode("append").json(path)
+        records = ingest.stream_json(spark, path, files_per_batch=2)
+        stream_upserts(records, stored, progress, as_of=AS_OF, once=True).awaitTermination()
+    return stored.index().postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+
+
 @query
 def stream_last_wins(spark, sf_dir):
     """Two versions of every labelled document in one file: the later line stays."""

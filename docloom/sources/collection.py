@@ -5,11 +5,17 @@ new files for the buckets it touches only, then adds one small commit table
 that says which write holds each bucket. Readers use the newest commit, so no
 file is changed while it is read, and a job that fails before its commit
 leaves the collection as it was.
+
+A collection may keep a text index: its segment is written before the commit,
+which names it, so documents and index change together or not at all. The
+commit also has the last batch of every stream, so whether a batch came before
+is read from the newest commit alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +30,27 @@ from docloom.session import list_dirs, remove_dir, shared_dir
 MIN_BUCKETS = 64
 BUCKET_BYTES = 128 << 20
 
-_COMMIT = "bucket int, data_version int, note string, buckets int, version int"
+MAX_SEGMENTS = 16  # of a kept text index; more are joined into one
+
+_COMMIT = "bucket int, data_version int, buckets int, note string, batch long, index_name string, segment int, version int"
+
+
+@dataclass(frozen=True)
+class _State:
+    """What a commit says: which data version holds each filled bucket, the
+    last batch of each stream, and the text index."""
+
+    version: int = 0
+    places: dict[int, int] = field(default_factory=dict)
+    notes: dict[str, int] = field(default_factory=dict)
+    index_name: str | None = None
+    segment: int | None = None
+
+
+def _batch_of(note: str) -> tuple[str, int]:
+    """Name and number of a note such as ``stream#7``; numbers of a name grow."""
+    name, _, number = note.rpartition("#")
+    return (name, int(number)) if name and number.isdecimal() else (note, 0)
 
 
 class Collection:
@@ -32,16 +58,20 @@ class Collection:
 
     A stored collection keeps its number of buckets until ``rebucket``. A new
     one takes ``buckets``, or as many as its first batch needs for
-    ``BUCKET_BYTES`` of text each.
+    ``BUCKET_BYTES`` of text each. With ``indexed`` every change keeps a text
+    index up to date; a collection that has one keeps it.
     """
 
-    def __init__(self, spark: SparkSession, base: str, db: str, table: str, buckets: int | None = None, files_per_bucket: int = 1):
+    def __init__(
+        self, spark: SparkSession, base: str, db: str, table: str, buckets: int | None = None, files_per_bucket: int = 1, indexed: bool = False
+    ):
         self.spark, self.db, self.table = spark, db, table
         self.path = f"{base}/{db}/{table}"
         self.files_per_bucket = files_per_bucket
         newest = self.version()
-        stored = self._commits(newest).agg(F.max("buckets")).first()[0] if newest else None
-        self.buckets = stored or buckets
+        stored = self._commits(newest).agg(F.max("buckets"), F.max("index_name")).first() if newest else (None, None)
+        self.buckets = stored[0] or buckets
+        self.indexed = indexed or stored[1] is not None
 
     def bucket_of(self, id="id"):
         return F.pmod(F.xxhash64(id), F.lit(self.buckets)).cast("int")
@@ -53,14 +83,21 @@ class Collection:
         reader = self.spark.read.schema(_COMMIT).option("basePath", f"{self.path}/commits")
         return reader.parquet(*(f"{self.path}/commits/version={v}" for v in versions))
 
-    def _commit(self, version: int | None = None) -> tuple[int, dict[int, int]]:
-        """A version (default: the newest), and which data version holds each
-        filled bucket in it (one row per bucket, so bounded)."""
+    def _state(self, version: int | None = None) -> _State:
+        """A version (default: the newest) from its commit: a row per bucket
+        and per stream, so bounded."""
         newest = self.version() if version is None else version
         if newest == 0:
-            return 0, {}
-        rows = self._commits(newest).where(F.col("data_version").isNotNull()).collect()
-        return newest, {r["bucket"]: r["data_version"] for r in rows}
+            return _State()
+        rows = self._commits(newest).collect()
+        places = {r["bucket"]: r["data_version"] for r in rows if r["data_version"] is not None}
+        notes = {r["note"]: r["batch"] for r in rows if r["note"] is not None}
+        return _State(newest, places, notes, rows[0]["index_name"], rows[0]["segment"])
+
+    def _commit(self, version: int | None = None) -> tuple[int, dict[int, int]]:
+        """A version, and which data version holds each filled bucket in it."""
+        state = self._state(version)
+        return state.version, state.places
 
     def _read(self, places: dict[int, int]) -> DataFrame:
         if not places:
@@ -102,51 +139,64 @@ class Collection:
         """
         now = self._commit()[1]
         before = self._commit(since)[1]
-        fresh = self._read({b: v for b, v in now.items() if v > since}).select("id", "content")
-        stale = self._read({b: v for b, v in before.items() if now.get(b, since + 1) > since}).select("id", "content")
-        text = F.xxhash64("content")
-        keys = [stale.select("id", text.alias("_text")), fresh.select("id", text.alias("_text"))]
-        changed = fresh.withColumn("_text", text).join(keys[0], ["id", "_text"], "left_anti").drop("_text")
-        gone = keys[0].join(keys[1], ["id", "_text"], "left_anti").select("id")
+        fresh = {b: v for b, v in now.items() if v > since}
+        changed, gone = self._text_changes(fresh, {b: v for b, v in before.items() if now.get(b, since + 1) > since})
         return index.append(changed, gone) if store else index.update(changed, gone)
 
+    def _text_changes(self, fresh: dict[int, int], stale: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+        """Documents whose text is new in some buckets, and ids whose text is no more."""
+        text = F.xxhash64("content")
+        now, before = (self._read(places).select("id", "content") for places in (fresh, stale))
+        keys = [rows.select("id", text.alias("_text")) for rows in (before, now)]
+        changed = now.withColumn("_text", text).join(keys[0], ["id", "_text"], "left_anti").drop("_text")
+        return changed, keys[0].join(keys[1], ["id", "_text"], "left_anti").select("id")
+
+    def index(self) -> TextIndex:
+        """The text index as of the newest commit."""
+        state = self._state()
+        if state.index_name is None:
+            raise ValueError("the collection keeps no index, or nothing is stored yet")
+        return TextIndex.read(self.spark, f"{self.path}/{state.index_name}", state.segment)
+
     def size_bytes(self) -> DataFrame:
         """Bytes of the current files."""
         places = self._commit()[1]
         return storage_size(self.spark, [f"{self.path}/data/version={v}/bucket={b}" for b, v in places.items()])
 
     def has_commit(self, note: str) -> bool:
-        """Was a change with this note committed before?"""
-        versions = self._versions()
-        return bool(versions) and not self._commits(*versions).where(F.col("note") == note).isEmpty()
+        """Was a change with this note, or with a later batch of its stream, committed before?"""
+        name, number = _batch_of(note)
+        return self._state().notes.get(name, -1) >= number
 
     # -- writing
 
-    def _change(self, keys: DataFrame, transform: Callable[[DataFrame, DataFrame], DataFrame], note: str | None) -> None:
+    def _change(self, keys: DataFrame, transform: Callable[[DataFrame, DataFrame], DataFrame], note: str | None, texts: bool = True) -> None:
         """Rewrite the buckets of some ids by a transform of their documents.
 
         ``keys`` is stored first: every pass over it, here and in the
-        transform, sees the same rows, however it was made.
+        transform, sees the same rows, however it was made. Without ``texts``
+        no text changes, and an index stays as it is.
         """
         staged = shared_dir(self.spark, "change")
         keys.write.parquet(staged)
         try:
-            self._apply(self.spark.read.schema(keys.schema).parquet(staged), transform, note)
+            self._apply(self.spark.read.schema(keys.schema).parquet(staged), transform, note, texts)
         finally:
             remove_dir(self.spark, staged)
 
-    def _apply(self, keys: DataFrame, transform: Callable[[DataFrame, DataFrame], DataFrame], note: str | None) -> None:
-        version, places = self._commit()
+    def _apply(self, keys: DataFrame, transform: Callable[[DataFrame, DataFrame], DataFrame], note: str | None, texts: bool) -> None:
+        state = self._state()
         if self.buckets is None:
             self.buckets = self._buckets_for(keys)
         touched = [r[0] for r in keys.select(self.bucket_of().alias("bucket")).distinct().collect()]  # at most one row per bucket
         if not touched and note is None:
             return
-        current = self._read({b: v for b, v in places.items() if b in set(touched)}).drop("bucket")
-        self._publish(transform(current, keys), version + 1, places, touched, note)
+        current = self._read({b: v for b, v in state.places.items() if b in set(touched)}).drop("bucket")
+        self._publish(transform(current, keys), state, touched, note, texts)
 
-    def _publish(self, rows: DataFrame, version: int, places: dict[int, int], touched, note: str | None) -> None:
-        """Write the new content of the touched buckets, then the commit."""
+    def _publish(self, rows: DataFrame, state: _State, touched, note: str | None, texts: bool) -> None:
+        """Write the new content of the touched buckets, then the index, then the commit."""
+        version = state.version + 1
         data = f"{self.path}/data/version={version}"
         split = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(self.files_per_bucket)).cast("int")
         rows = rows.withColumn("bucket", self.bucket_of())
@@ -156,10 +206,36 @@ class Collection:
         filled = {r[0] for r in self.spark.read.schema("bucket int").parquet(data).distinct().collect()}
         if not filled <= set(touched):
             raise RuntimeError(f"buckets {sorted(filled - set(touched))} were written, but are not part of the change")
-        places = {**places, **{b: version if b in filled else None for b in touched}}
-        commit = [(b, v, note, self.buckets) for b, v in sorted(places.items())] or [(0, None, note, self.buckets)]
-        table = self.spark.createDataFrame(commit, "bucket int, data_version int, note string, buckets int").coalesce(1)
-        table.write.mode("overwrite").parquet(f"{self.path}/commits/version={version}")
+        places = {b: v for b, v in state.places.items() if b not in set(touched)} | dict.fromkeys(filled, version)
+        notes = state.notes if note is None else state.notes | dict([_batch_of(note)])
+        after = replace(state, version=version, places=places, notes=notes)
+        if self.indexed and (texts or state.index_name is None):
+            after = self._publish_index(state, after, set(touched))
+        self._write_commit(after)
+
+    def _publish_index(self, state: _State, after: _State, touched: set[int]) -> _State:
+        """Write the index of a change. Until the commit names it, it is not
+        read; a failed try's segment has the same number and is replaced."""
+        if state.index_name is None:
+            name = f"index-{after.version}"
+            TextIndex.build(self._read(after.places)).write(f"{self.path}/{name}", over_failed=True)
+            return replace(after, index_name=name, segment=0)
+        fresh = {b: v for b, v in after.places.items() if b in touched}
+        changed, gone = self._text_changes(fresh, {b: v for b, v in state.places.items() if b in touched})
+        index = TextIndex.read(self.spark, f"{self.path}/{state.index_name}", state.segment).append(changed, gone, over_failed=True)
+        if index.segment < MAX_SEGMENTS:
+            return replace(after, segment=index.segment)
+        name = f"index-{after.version}"
+        index.write(f"{self.path}/{name}", over_failed=True)
+        return replace(after, index_name=name, segment=0)
+
+    def _write_commit(self, state: _State) -> None:
+        """One row per filled bucket and per stream; at least one."""
+        rows = [(b, v, None, None) for b, v in sorted(state.places.items())]
+        rows += [(None, None, name, number) for name, number in sorted(state.notes.items())]
+        commit = self.spark.createDataFrame(rows or [(None, None, None, None)], "bucket int, data_version int, note string, batch long").coalesce(1)
+        named = commit.withColumns({"buckets": F.lit(self.buckets), "index_name": F.lit(state.index_name).cast("string"), "segment": F.lit(state.segment).cast("int")})
+        named.write.mode("overwrite").parquet(f"{self.path}/commits/version={state.version}")
 
     @staticmethod
     def _buckets_for(docs: DataFrame) -> int:
@@ -173,8 +249,7 @@ class Collection:
         many as its size asks for), as one change."""
         docs = self.read().drop("bucket")
         self.buckets = buckets or self._buckets_for(docs)
-        version, _ = self._commit()
-        self._publish(docs, version + 1, {}, range(self.buckets), None)
+        self._publish(docs, replace(self._state(), places={}), range(self.buckets), None, texts=False)
 
     def upsert(self, batch: DataFrame, as_of=None, order: str | None = None, note: str | None = None) -> None:
         """Insert or replace documents; ids that are missing are drawn once."""
@@ -184,7 +259,7 @@ class Collection:
         self._change(ids.select("id"), mutate.delete, note)
 
     def update_vectors(self, vectors: DataFrame, as_of=None, note: str | None = None) -> None:
-        self._change(vectors, lambda current, vectors: mutate.update_vectors(current, vectors, as_of), note)
+        self._change(vectors, lambda current, vectors: mutate.update_vectors(current, vectors, as_of), note, texts=False)
 
     def vacuum(self, keep: int = 1) -> list[int]:
         """Remove the files that none of the ``keep`` newest versions uses.
@@ -192,11 +267,14 @@ class Collection:
         Returns the removed data versions. Readers of older versions must
         have finished. Commits stay: they are small and record the notes.
         """
-        newest = self._commit()[0]
-        used = {v for n in range(max(1, newest - keep + 1), newest + 1) for v in self._commit(n)[1].values()}
+        newest = self._state().version
+        kept = [self._state(n) for n in range(max(1, newest - keep + 1), newest + 1)]
+        used, indexes = {v for state in kept for v in state.places.values()}, {state.index_name for state in kept}
         gone = [v for v in range(1, newest + 1) if v not in used]
         for version in gone:
             remove_dir(self.spark, f"{self.path}/data/version={version}")
+        for name in sorted({f"index-{v}" for v in range(1, newest + 1)} - indexes):
+            remove_dir(self.spark, f"{self.path}/{name}")
         return gone
 
 

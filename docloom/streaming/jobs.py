@@ -38,8 +38,10 @@ def store_batch(
 
 
 def stream_upserts(records: DataFrame, target: Collection, checkpoint: str, once: bool = False, **options) -> StreamingQuery:
-    """Store a stream of ingest records in a collection.
+    """Store a stream of ingest records in a collection, and in its text index if it keeps one.
 
+    Documents, index segment and the number of the batch are one commit, so a
+    batch delivered again after a failure changes all of them or none.
     ``options`` are those of :func:`store_batch`.
     """
 
