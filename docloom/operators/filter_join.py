@@ -24,10 +24,10 @@ from docloom.session import shared_dir
 
 PATHS = 256  # distinct metadata paths read in one pass over the documents
 BROADCAST_CONDITIONS = 200_000  # distinct conditions
-SEPARATOR = "\x1f"  # between path and value; a path cannot hold it here
-
+SEPARATOR = "\x1f"  # between path and value; a path that holds it is never met
 PAIRS = 4_000_000  # fact-filter pairs expanded at a time in a task
 
+
 def _number(value: float) -> str:
     return "n:" + repr(float(value) + 0.0)
 
@@ -56,6 +56,9 @@ def conditions_of(filters: str) -> list[tuple[str, str]] | None:
             metadata_path(key)
         except ValueError:
             return None
+        if SEPARATOR in key:
+            found.add(("", "x:"))
+            continue
         if isinstance(value, int) and not isinstance(value, bool) and abs(value) >= 2**53:
             found.add((key, f"i:{value}"))
         elif isinstance(value, (bool, int, float)):
@@ -73,9 +76,13 @@ def compiled(filters) -> Column:
         found = conditions_of(text)
         return None if found is None else [path + SEPARATOR + value for path, value in found]
 
-    # a number is printed by Spark on both sides
-    printed = lambda c: F.concat(F.substring_index(c, SEPARATOR + "n:", 1), F.lit(SEPARATOR + "n:"), F.substring_index(c, SEPARATOR + "n:", -1).cast("double").cast("string"))
-    return F.transform(F.udf(compile_one, "array<string>", useArrow=True)(filters), lambda c: F.when(F.instr(c, SEPARATOR + "n:") > 0, printed(c)).otherwise(c))
+    def printed(c):  # a number is printed by Spark on both sides
+        path = F.split_part(c, F.lit(SEPARATOR), F.lit(1))
+        value = F.substr(c, F.length(path) + 2)
+        number = F.concat(path, F.lit(SEPARATOR + "n:"), F.substr(value, F.lit(3)).try_cast("double").cast("string"))
+        return F.when(value.startswith("n:"), number).otherwise(c)
+
+    return F.transform(F.udf(compile_one, "array<string>", useArrow=True)(filters), printed)
 
 
 def facts(paths: list[str], tags="tags", metadata="metadata") -> Column:

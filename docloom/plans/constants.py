@@ -5,4 +5,3 @@ DIM = 64
 SCORED = ["the", "esat", "que"]
 TOP_WORDS = ["esat", "lich", "que"]
 QUERY_VECTOR = [round(((i * 37) % DIM) / DIM - 0.5, 4) for i in range(DIM)]
-LANGUAGES = ["en", "fr", "de", "es"]

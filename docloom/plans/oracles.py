@@ -186,6 +186,8 @@ SQL["get_documents"] = f"""WITH {DOCS} SELECT id, CAST(length(content) AS INTEGE
   FROM c WHERE labeled"""
 SQL["list_page"] = f"""WITH {DOCS} SELECT id, created AS created_at, {CSV} AS tags, is_embedded FROM c
   ORDER BY created DESC, id LIMIT 100 OFFSET 50"""
+SQL["list_page_deep"] = f"""WITH {DOCS} SELECT id, created AS created_at, {CSV} AS tags, is_embedded FROM c
+  ORDER BY created DESC, id LIMIT 40 OFFSET 150"""
 SQL["project_minimal"] = f"WITH {DOCS} SELECT id, created AS created_at, created AS updated_at, is_embedded FROM c"
 SQL["project_none"] = "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents"
 SQL["project_full"] = f"""WITH {DOCS} SELECT id, md5(content) AS content, metadata, {CSV} AS tags, {summary('vector')} FROM c"""
@@ -357,9 +359,9 @@ SQL["backfill_tables"] = f"""WITH {DOCS}, p AS (SELECT *, CASE lang WHEN 'en' TH
    row_number() OVER (PARTITION BY CASE lang WHEN 'en' THEN 'english' ELSE 'other' END ORDER BY is_embedded, created, id) AS place FROM c),
  d AS (SELECT id FROM p WHERE place <= 15 AND NOT is_embedded ORDER BY t, created, id LIMIT 15)
  SELECT t AS "table", id, is_embedded OR id IN (SELECT id FROM d) AS is_embedded FROM p"""
-SQL["database_list"] = f"""WITH {DOCS} SELECT lang AS name, count(*) + count(*) FILTER (WHERE labeled) AS document_count,
+SQL["database_list"] = f"""WITH {DOCS} SELECT coalesce(lang, 'none') AS name, count(*) + count(*) FILTER (WHERE labeled) AS document_count,
   count(*) FILTER (WHERE is_embedded) AS embedded_count, least(min(created), {WRITTEN}) AS created_at, {WRITTEN} AS last_updated,
-  true AS stored FROM c GROUP BY lang UNION ALL SELECT 'gone', 0, 0, NULL, NULL, false"""
+  true AS stored FROM c GROUP BY 1 UNION ALL SELECT 'gone', 0, 0, NULL, NULL, false"""
 SQL["collection_get"] = "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS content FROM documents WHERE doc_id IN (7, 42, 199)"
 SQL["index_refresh"] = SQL["postings_incremental"]
 SQL["stream_index"] = r"""WITH tk AS (SELECT d.doc_id, regexp_extract_all(strip_accents(lower(

@@ -16,7 +16,7 @@ from docloom.functions.text import tokens, with_tokens
 from docloom.functions.times import parse_time
 from docloom.functions.vectors import blob_to_vector, similarity, vector_to_blob
 from docloom.operators import embed, filter_join, fulltext, listing, match, mutate, postings, search, text_batch, vector
-from docloom.plans.constants import AS_OF, DIM, LANGUAGES, QUERY_VECTOR, SCORED, TOP_WORDS
+from docloom.plans.constants import AS_OF, DIM, QUERY_VECTOR, SCORED, TOP_WORDS
 from docloom.session import shared_dir
 from docloom.sources import ingest
 from docloom.sources.collection import Collection, list_databases
@@ -258,6 +258,13 @@ def list_page(spark, sf_dir):
     return page.select("id", _seconds("created_at"), tags_to_csv("tags").alias("tags"), "is_embedded")
 
 
+@query
+def list_page_deep(spark, sf_dir):
+    """A page far down, found by counting ranges of times."""
+    page = listing.list_page(collection(spark, sf_dir), limit=40, offset=150, most=16)
+    return page.select("id", _seconds("created_at"), tags_to_csv("tags").alias("tags"), "is_embedded")
+
+
 @query
 def project_minimal(spark, sf_dir):
     minimal = listing.project(collection(spark, sf_dir))
@@ -694,13 +701,15 @@ def stored_collection(spark, sf_dir):
 
 @query
 def database_list(spark, sf_dir):
-    """Documents stored as one database per language and listed again."""
+    """Documents stored as one database per language, those without one too,
+    and listed again."""
     base = shared_dir(spark, "store")
-    docs = collection(spark, sf_dir).drop("updated_at", "is_embedded")
-    for name in LANGUAGES:
-        mine = docs.where(F.array_contains("tags", name))
-        Collection(spark, base, name, "docs", buckets=4).upsert(mine, AS_OF)
-        Collection(spark, base, name, "revised", buckets=2).upsert(_revised(spark, sf_dir).where(F.col("lang") == name), AS_OF)
+    lang = F.coalesce("lang", F.lit("none"))
+    docs = collection(spark, sf_dir).drop("updated_at", "is_embedded").join(texts(spark, sf_dir).select("id", lang.alias("db")), "id")
+    revised = _revised(spark, sf_dir).withColumn("db", lang)
+    for name in sorted(r["db"] for r in load(spark, sf_dir, "documents").select(lang.alias("db")).distinct().collect()):
+        Collection(spark, base, name, "docs", buckets=4).upsert(docs.where(F.col("db") == name).drop("db"), AS_OF)
+        Collection(spark, base, name, "revised", buckets=2).upsert(revised.where(F.col("db") == name).select("id", "content"), AS_OF)
     emptied = Collection(spark, base, "gone", "docs", buckets=2)
     emptied.upsert(_revised(spark, sf_dir).select("id", "content"), AS_OF)
     emptied.delete(_labelled(spark, sf_dir))

@@ -32,16 +32,19 @@ BUCKET_BYTES = 128 << 20
 
 MAX_SEGMENTS = 16  # of a kept text index; more are joined into one
 
-_COMMIT = "bucket int, data_version int, buckets int, note string, batch long, index_name string, segment int, version int"
+_TOTALS = ("document_count", "embedded_count", "created_at", "last_updated", "size_bytes")
+_ROW = "bucket int, data_version int, note string, batch long, document_count long, embedded_count long, created_at timestamp, last_updated timestamp, size_bytes long"
+_COMMIT = f"{_ROW}, buckets int, index_name string, segment int"
 
 
 @dataclass(frozen=True)
 class _State:
-    """What a commit says: which data version holds each filled bucket, the
-    last batch of each stream, and the text index."""
+    """What a commit says: which data version holds each filled bucket and
+    what is in it, the last batch of each stream, and the text index."""
 
     version: int = 0
     places: dict[int, int] = field(default_factory=dict)
+    totals: dict[int, tuple] = field(default_factory=dict)
     notes: dict[str, int] = field(default_factory=dict)
     index_name: str | None = None
     segment: int | None = None
@@ -80,8 +83,7 @@ class Collection:
 
     def _commits(self, *versions: int) -> DataFrame:
         """Commit tables, each in a folder of its own: only these are read."""
-        reader = self.spark.read.schema(_COMMIT).option("basePath", f"{self.path}/commits")
-        return reader.parquet(*(f"{self.path}/commits/version={v}" for v in versions))
+        return self.spark.read.schema(_COMMIT).parquet(*(f"{self.path}/commits/version={v}" for v in versions))
 
     def _state(self, version: int | None = None) -> _State:
         """A version (default: the newest) from its commit: a row per bucket
@@ -91,8 +93,9 @@ class Collection:
             return _State()
         rows = self._commits(newest).collect()
         places = {r["bucket"]: r["data_version"] for r in rows if r["data_version"] is not None}
+        totals = {r["bucket"]: tuple(r[c] for c in _TOTALS) for r in rows if r["data_version"] is not None}
         notes = {r["note"]: r["batch"] for r in rows if r["note"] is not None}
-        return _State(newest, places, notes, rows[0]["index_name"], rows[0]["segment"])
+        return _State(newest, places, totals, notes, rows[0]["index_name"], rows[0]["segment"])
 
     def _commit(self, version: int | None = None) -> tuple[int, dict[int, int]]:
         """A version, and which data version holds each filled bucket in it."""
@@ -203,16 +206,28 @@ class Collection:
         # an uncommitted leftover of a failed try is overwritten
         placed = rows.repartitionById(self.buckets * self.files_per_bucket, F.col("bucket") * self.files_per_bucket + split)
         placed.write.mode("overwrite").partitionBy("bucket").parquet(data)
-        filled = {r[0] for r in self.spark.read.schema("bucket int").parquet(data).distinct().collect()}
+        totals = self._bucket_totals(data)
+        filled = set(totals)
         if not filled <= set(touched):
             raise RuntimeError(f"buckets {sorted(filled - set(touched))} were written, but are not part of the change")
-        places = {b: v for b, v in state.places.items() if b not in set(touched)} | dict.fromkeys(filled, version)
+        kept = [b for b in state.places if b not in set(touched)]
+        places = {b: state.places[b] for b in kept} | dict.fromkeys(filled, version)
+        totals = {b: state.totals[b] for b in kept} | totals
         notes = state.notes if note is None else state.notes | dict([_batch_of(note)])
-        after = replace(state, version=version, places=places, notes=notes)
+        after = replace(state, version=version, places=places, totals=totals, notes=notes)
         if self.indexed and (texts or state.index_name is None):
             after = self._publish_index(state, after, set(touched))
         self._write_commit(after)
 
+    def _bucket_totals(self, data: str) -> dict[int, tuple]:
+        """Counts, dates and bytes of the buckets of a write: a row each."""
+        rows = self.spark.read.schema("is_embedded boolean, created_at timestamp, updated_at timestamp, bucket int").parquet(data)
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(data)
+        bucket = F.regexp_extract("path", r"/bucket=(\d+)/[^/]*$", 1).cast("int").alias("bucket")
+        sizes = files.where(F.col("path").contains("/bucket=")).select(bucket, "length").groupBy("bucket").agg(F.sum("length").alias("size_bytes"))
+        totals = collection_stats(rows, "bucket").join(sizes, "bucket", "left")
+        return {r["bucket"]: tuple(r[c] for c in _TOTALS) for r in totals.collect()}
+
     def _publish_index(self, state: _State, after: _State, touched: set[int]) -> _State:
         """Write the index of a change. Until the commit names it, it is not
         read; a failed try's segment has the same number and is replaced."""
@@ -231,9 +246,10 @@ class Collection:
 
     def _write_commit(self, state: _State) -> None:
         """One row per filled bucket and per stream; at least one."""
-        rows = [(b, v, None, None) for b, v in sorted(state.places.items())]
-        rows += [(None, None, name, number) for name, number in sorted(state.notes.items())]
-        commit = self.spark.createDataFrame(rows or [(None, None, None, None)], "bucket int, data_version int, note string, batch long").coalesce(1)
+        rows = [(b, v, None, None, *state.totals[b]) for b, v in sorted(state.places.items())]
+        none = (None,) * len(_TOTALS)
+        rows += [(None, None, name, number, *none) for name, number in sorted(state.notes.items())]
+        commit = self.spark.createDataFrame(rows or [(None, None, None, None, *none)], _ROW).coalesce(1)
         named = commit.withColumns({"buckets": F.lit(self.buckets), "index_name": F.lit(state.index_name).cast("string"), "segment": F.lit(state.segment).cast("int")})
         named.write.mode("overwrite").parquet(f"{self.path}/commits/version={state.version}")
 
@@ -249,7 +265,7 @@ class Collection:
         many as its size asks for), as one change."""
         docs = self.read().drop("bucket")
         self.buckets = buckets or self._buckets_for(docs)
-        self._publish(docs, replace(self._state(), places={}), range(self.buckets), None, texts=False)
+        self._publish(docs, replace(self._state(), places={}, totals={}), range(self.buckets), None, texts=False)
 
     def upsert(self, batch: DataFrame, as_of=None, order: str | None = None, note: str | None = None) -> None:
         """Insert or replace documents; ids that are missing are drawn once."""
@@ -265,7 +281,7 @@ class Collection:
         """Remove the files that none of the ``keep`` newest versions uses.
 
         Returns the removed data versions. Readers of older versions must
-        have finished. Commits stay: they are small and record the notes.
+        have finished. Older commits go as well: the newest has all notes.
         """
         newest = self._state().version
         kept = [self._state(n) for n in range(max(1, newest - keep + 1), newest + 1)]
@@ -275,11 +291,14 @@ class Collection:
             remove_dir(self.spark, f"{self.path}/data/version={version}")
         for name in sorted({f"index-{v}" for v in range(1, newest + 1)} - indexes):
             remove_dir(self.spark, f"{self.path}/{name}")
+        for version in self._versions():
+            if version <= newest - keep:
+                remove_dir(self.spark, f"{self.path}/commits/version={version}")
         return gone
 
 
-def open_all(spark: SparkSession, base: str) -> list[Collection]:
-    """All stored collections under a folder, by database and table."""
+def _stored_names(spark: SparkSession, base: str) -> list[tuple[str, str]]:
+    """Database and table of all stored collections under a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
     try:
         commits = files.load(f"{base}/*/*/commits/*")
@@ -289,19 +308,31 @@ def open_all(spark: SparkSession, base: str) -> list[Collection]:
         raise
     name = F.regexp_extract("path", r"([^/]+)/([^/]+)/commits/", 1), F.regexp_extract("path", r"([^/]+)/([^/]+)/commits/", 2)
     found = commits.select(name[0].alias("db"), name[1].alias("table")).distinct().orderBy("db", "table")
-    return [Collection(spark, base, r["db"], r["table"]) for r in found.collect()]  # names only
+    return [(r["db"], r["table"]) for r in found.collect()]
+
+
+def open_all(spark: SparkSession, base: str) -> list[Collection]:
+    """All stored collections under a folder, by database and table."""
+    return [Collection(spark, base, db, table) for db, table in _stored_names(spark, base)]
 
 
 def list_databases(spark: SparkSession, base: str) -> DataFrame:
     """One row per database: counts and dates over all its collections, and
-    the bytes of their current files."""
-    docs = spark.createDataFrame([], "db string, is_embedded boolean, created_at timestamp, updated_at timestamp")
-    sizes = spark.createDataFrame([], "size_bytes long, db string")
-    every = open_all(spark, base)
-    for stored in every:
-        docs = docs.unionByName(stored.documents().select(*docs.columns))
-        sizes = sizes.unionByName(stored.size_bytes().withColumn("db", F.lit(stored.db)))
-    sizes = sizes.groupBy("db").agg(F.sum("size_bytes").alias("size_bytes"))
-    names = spark.createDataFrame(sorted({(stored.db,) for stored in every}), "db string")  # an emptied database stays listed
-    stats = names.join(collection_stats(docs, "db"), "db", "left").join(sizes, "db", "left")
-    return stats.na.fill(0, ["document_count", "embedded_count", "size_bytes"]).withColumnRenamed("db", "name")
+    the bytes of their current files.
+
+    Every write has left the totals of its buckets in its commit, so this is
+    one scan of the newest commits and reads no document. An emptied database
+    stays listed.
+    """
+    newest = []
+    for db, table in _stored_names(spark, base):
+        versions = [int(name.removeprefix("version=")) for name in list_dirs(spark, f"{base}/{db}/{table}/commits")]
+        newest += [f"{base}/{db}/{table}/commits/version={max(versions)}"] if versions else []
+    if not newest:
+        none = "name string, document_count long, embedded_count long, created_at timestamp, last_updated timestamp, size_bytes long"
+        return spark.createDataFrame([], none)
+    rows = spark.read.schema(_COMMIT).parquet(*newest)
+    db = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+/commits/version=\d+/[^/]*$", 1)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("document_count", "embedded_count", "size_bytes")]
+    dates = [F.min("created_at").alias("created_at"), F.max("last_updated").alias("last_updated")]
+    return rows.groupBy(F.url_decode(db).alias("name")).agg(*sums[:2], *dates, sums[2])

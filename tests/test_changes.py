@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +144,41 @@ def test_databases(spark):
     assert [r["id"] for r in search_text(stored[0].read(), term("engineer")).collect()] == ["user1"]
 
 
+def test_deep_pages(spark):
+    rng = random.Random(4)
+    times = [None, *(when(DAY1) + dt.timedelta(microseconds=t) for t in (0, 1, 5, 10**6, 10**6 + 1, 10**11))]
+    rows = [(f"{rng.choice('abé')}{n:03}", rng.choices(times, [2, 9, 1, 5, 1, 1, 3])[0]) for n in range(300)]
+    docs = spark.createDataFrame(rows, "id string, created_at timestamp")
+    ordered = sorted(rows, key=lambda r: (r[1] is None, -(r[1] - when(DAY1)) // dt.timedelta(microseconds=1) if r[1] else 0, r[0].encode()))
+    for limit, offset, most in [(10, 0, 5), (10, 100, 20), (25, 133, 1), (40, 285, 8), (5, 299, 2), (7, 400, 3), (300, 0, 10), (3, 60, 10_000)]:
+        page = listing.list_page(docs, limit, offset, most=most)
+        assert [(r["id"], r["created_at"]) for r in page.collect()] == ordered[offset : offset + limit], (limit, offset, most)
+    last, seen = None, []
+    while len(seen) < 300:
+        page = (listing.list_after(docs, last["created_at"], last["id"], 90) if last else listing.list_page(docs, 90)).collect()
+        seen += [(r["id"], r["created_at"]) for r in page]
+        last = page[-1]
+    assert seen == ordered
+    assert listing.list_page(docs.limit(0), 5, 50, most=1).collect() == []
+    plan = listing.list_page(docs, 10, 100, most=20)._jdf.queryExecution().toString()
+    assert "limit=110" not in plan and "offset=100" not in plan
+
+
+def test_listing_reads_commits_only(spark, current):
+    base = shared_dir(spark, "dbs")
+    stored = Collection(spark, base, "my db", "t", buckets=3)
+    stored.upsert(current.select("id", "content", "vector", "tags"), DAY1)
+    stored.update_vectors(spark.createDataFrame([("b", [1.0])], "id string, vector array<float>"), DAY2)
+    stored.upsert(spark.createDataFrame([("new", "x")], "id string, content string"), DAY2)
+    stored.vacuum()
+    listed = list_databases(spark, base)
+    assert "/data/" not in str(listed.inputFiles()) and len(listed.inputFiles()) == 1
+    row = listed.first()
+    assert (row["name"], row["document_count"], row["embedded_count"], row["created_at"], row["last_updated"]) == ("my db", 4, 2, when(DAY1), when(DAY2))
+    assert row["size_bytes"] == stored.size_bytes().first()[0] > 0
+    assert stored._versions() == [3] and by_id(stored.read())["new"]["content"] == "x"
+
+
 def test_stored_collection(spark, current):
     stored = Collection(spark, shared_dir(spark, "store"), "db", "t", buckets=3, files_per_bucket=2)
     assert stored.read().count() == 0 and stored.documents().columns[-3:] == ["bucket", "db", "table"]
