@@ -102,7 +102,8 @@ def test_requests(spark, docs, layout):
 
 
 def test_many_filters_take_several_passes(spark, docs, monkeypatch):
-    monkeypatch.setattr(search, "FILTERS_PER_PASS", 1)
+    monkeypatch.setattr(search, "MATCHES_PER_PASS", 1)
+    monkeypatch.setattr(search.path_groups, "__defaults__", (1,))  # metadata paths of a pass
     requests = spark.createDataFrame(REQUESTS, "query_id string, query string, type string, limit int, filters string")
     hits = search.search_requests(docs, requests, BatchEmbedder(towards_plum, 2))
     assert hits.groupBy("query_id").count().count() == 6
