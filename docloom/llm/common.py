@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.session import shared_dir
@@ -32,6 +32,21 @@ def stage_at(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` has it."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        found.append(name)
+    return found
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def held_out(id_col: str = "doc_id"):
     """One row in five, by the checksum of its id, is never trained on."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -46,10 +61,11 @@ def known_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(id, text, label)`` of ``docs(id, text)`` with a label to learn from,
-    stored, since training reads it more than once. Labels grow with the
+    """``(id, text, label, nth)`` of ``docs(id, text)`` with a label to learn
+    from, stored with a number per row, since training reads it more than once. Labels grow with the
     documents, so they are merged, not broadcast, at every size."""
-    return stage(docs.where(F.col("id").isNotNull() & ~held_out("id")).join(labels.hint("merge"), "id"), "labelled")
+    rows = docs.where(F.col("id").isNotNull() & ~held_out("id")).join(labels.hint("merge"), "id")
+    return stage(rows.withColumn("nth", F.monotonically_increasing_id()), "labelled")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stage
+from docloom.llm.common import column, fresh, stage
 
 MIN_LINES = 2
 MIN_WORDS = 50
@@ -77,22 +77,23 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The first place of a run, by id, text and line, stays; null ids come first.
     Rows with one id and one text count as one row. Lines without a word are
     never part of a run and stay. A null text stays null and has no lines.
-    Other columns stay as they are; own names must not clash with the three
-    new ones, which replace them.
+    Other columns stay as they are, whatever their names; only columns named as
+    the three new ones are replaced. An empty table gives none.
     """
     source = docs.drop("n_lines", "n_removed", "n_runs")
-    keyed = source.withColumns({"_id": F.col(id_col), "_version": F.xxhash64(F.col(text_col))})
-    repeats = repeated_windows(keyed.where(F.col(text_col).isNotNull()).select(F.col("_id").alias("id"), F.col("_version").alias("version"), F.col(text_col).cast("string").alias("text")))
-    repeats = repeats.select(F.col("id").alias("_rid"), F.col("version").alias("_rversion"), F.col("lines").alias("_gone"))
-    out = keyed.join(repeats, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_version") == F.col("_rversion")), "left")
-    out = out.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    out = out.select("*", F.explode(F.array(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))).alias("_lines"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.col("_lines")[i])
-    runs = F.size(F.filter(F.transform("_gone", lambda x, k: (k == 0) | (F.col("_gone")[k - 1] != x - 1)), lambda new: new))
-    text = F.when(F.size("_gone") == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    has_text = F.col(text_col).isNotNull()
+    own, version, other, other_version, gone, lines = fresh(source, "_id", "_version", "_rid", "_rversion", "_gone", "_lines")
+    text = column(text_col)
+    keyed = source.withColumns({own: column(id_col), version: F.xxhash64(text)})
+    repeats = repeated_windows(keyed.where(text.isNotNull()).select(F.col(own).alias("id"), F.col(version).alias("version"), text.cast("string").alias("text")))
+    repeats = repeats.select(F.col("id").alias(other), F.col("version").alias(other_version), F.col("lines").alias(gone))
+    out = keyed.join(repeats, F.col(own).eqNullSafe(F.col(other)) & (F.col(version) == F.col(other_version)), "left")
+    out = out.withColumn(gone, F.coalesce(gone, F.array().cast("array<int>")))
+    out = out.select("*", F.explode(F.array(F.split(F.coalesce(text, F.lit("")), "\n"))).alias(lines))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.col(lines)[i])
+    runs = F.size(F.filter(F.transform(gone, lambda x, k: (k == 0) | (F.col(gone)[k - 1] != x - 1)), lambda new: new))
+    left = F.when(F.size(gone) == 0, text).otherwise(F.array_join(kept, "\n"))
     return out.select(
-        *(text.alias(c) if c == text_col else F.col(c) for c in source.columns),
-        F.when(has_text, F.size("_lines")).otherwise(0).cast("long").alias("n_lines"),
-        F.size("_gone").cast("long").alias("n_removed"), runs.cast("long").alias("n_runs"),
+        *(left.alias(c) if c == text_col else column(c) for c in source.columns),
+        F.when(text.isNotNull(), F.size(lines)).otherwise(0).cast("long").alias("n_lines"),
+        F.size(gone).cast("long").alias("n_removed"), runs.cast("long").alias("n_runs"),
     )

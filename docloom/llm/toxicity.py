@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ODD, SPACE_TABLE, buffers, chunks, known_labels, labelled, mix, signed, stage, word_hashes
+from docloom.llm.common import ODD, SPACE_TABLE, buffers, chunks, column, fresh, known_labels, labelled, mix, signed, stage, word_hashes
 
 ORDER = 4
 CODES = 28  # a gap, a-z, anything else
@@ -477,12 +477,15 @@ def _row_words(batches, costs):
 
 
 def _joined(docs: DataFrame, text_col: str, costs: np.ndarray, words: DataFrame) -> DataFrame:
-    """``docs`` with ``_score``, where the words are too many to send: their
-    table meets the rows' words in a join. The rows are stored to keep their numbers."""
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = rows.select("_row", F.col(text_col).cast("string").alias("text")).mapInArrow(partial(_row_words, costs=costs), "_row long, feature long")
-    best = found.join(words, "feature").groupBy("_row").agg(F.max("chance").alias("_score"))
-    return rows.join(best, "_row", "left").withColumn("_score", F.coalesce("_score", F.lit(0.0))).drop("_row")
+    """``docs`` and a last column, the score, where the words are too many to
+    send: their table meets the rows' words in a join. The rows are stored to
+    keep their numbers."""
+    row, other, score = fresh(docs, "_row", "_other", "_score")
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = rows.select(F.col(row).alias("_row"), F.col(text_col).cast("string").alias("text")).mapInArrow(partial(_row_words, costs=costs), "_row long, feature long")
+    best = found.join(words, "feature").groupBy("_row").agg(F.max("chance").alias(score)).withColumnRenamed("_row", other)
+    scored = rows.join(best, F.col(row) == F.col(other), "left")
+    return scored.select(*map(column, docs.columns), F.coalesce(score, F.lit(0.0)).alias(score))
 
 
 def _best(data, offsets, costs, features, chances) -> np.ndarray:
@@ -510,8 +513,11 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_
     trained = train(_id_text(docs, id_col, text_col), known_labels(labels, id_col, label_col))
     model = _model(*trained)
     if model is None:
-        return _joined(docs, text_col, *trained).where(F.col("_score") < threshold).drop("_score")
-    return docs.mapInArrow(partial(_clean, text_col=text_col, threshold=threshold, model=model), docs.schema)
+        scored = _joined(docs, text_col, *trained)
+        return scored.where(F.col(scored.columns[-1]) < threshold).select(*map(column, docs.columns))
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # mapInArrow takes no names with dots
+    clean = partial(_clean, text_col=plain.columns[docs.columns.index(text_col)], threshold=threshold, model=model)
+    return plain.mapInArrow(clean, plain.schema).toDF(*docs.columns)
 
 
 def _id_text(docs, id_col, text_col):
