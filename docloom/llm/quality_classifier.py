@@ -8,7 +8,7 @@ indicators by dual coordinate descent. Ratios and weights make one table of
 CELLS hashed n-grams, whatever the corpus size.
 
 The fit, and only the fit, uses at most SAMPLE labelled rows, those with the
-smallest hash of id and text.
+smallest hash of id and text; rows that agree in both count once there.
 """
 
 from __future__ import annotations
@@ -159,8 +159,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
         counts[k, cells] = sums.column(name).to_numpy()  # -1 is the last place
     shares = (counts[:, :-1] + SMOOTHING) / (counts[:, -1:] + 2 * SMOOTHING)
     ratios = np.log(shares[1] / shares[0])
-    picked = rows.select("id", F.xxhash64("id", "text").alias("h")).orderBy("h", "id").limit(SAMPLE).select("id").distinct()
-    table = rows.join(picked, "id").select("label", "text").mapInArrow(_sampled, "label int, cells binary").toArrow()
+    # equal rows count once here, and a number joins one row: a repeated id cannot fill the sample or exceed it
+    picked = rows.groupBy(F.xxhash64("id", "text").alias("h")).agg(F.min("nth").alias("nth")).orderBy("h").limit(SAMPLE).select("nth")
+    table = rows.join(F.broadcast(picked), "nth", "left_semi").select("label", "text").mapInArrow(_sampled, "label int, cells binary").toArrow()
     sets = [np.frombuffer(x, np.int32) for x in table.column("cells").to_pylist()]
     order = sorted(range(len(sets)), key=lambda i: (sets[i].tobytes(), i))  # the same fit whatever order the rows come in
     sets, known = [sets[i] for i in order], table.column("label").to_numpy()[order] if sets else np.zeros(0, np.int64)
