@@ -12,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import column, fresh, stage
+
 PART = 32
+SENT = 32 << 20  # bytes of rates that go to the tasks; a larger table is joined
+SPLIT = 64
 
 
 def uniform(*parts: Column) -> Column:
@@ -63,14 +67,27 @@ def mix_sources(
 
     Rows with one id get the same count. A null source is a source; a null id
     counts as an empty one. Columns of ``docs`` named copy or mix_key are
-    replaced. An empty table gives none.
+    replaced; other names may be any. An empty table gives none.
+
+    The rates are stored first. Up to SENT bytes of them are sent to the tasks,
+    so that documents are shuffled only to be dealt; a larger table is repeated
+    SPLIT times and met in as many parts of each source.
     """
     source = docs.drop("copy", "mix_key")
-    plan = rates(docs, source_col, weights, total).select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
-    joined = source.join(plan, F.col(source_col).eqNullSafe(F.col("_source")))
-    number = lambda j: uniform(F.lit(seed), F.col(id_col), j)
-    drawn = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: F.transform(F.array(number(j)), lambda u: F.size(F.filter("_cdf", lambda c: c <= u)))[0])
-    count = F.aggregate(drawn, F.lit(0), lambda a, x: a + x)
-    copies = joined.withColumn("_count", F.explode(F.array(count))).where("_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    keyed = copies.select(*source.columns, "copy", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary")).alias("mix_key"))
+    own, parts, cdf, part, other, count = fresh(source, "_source", "_parts", "_cdf", "_part", "_other", "_count")
+    plan = stage(rates(docs, source_col, weights, total).select(F.col("source").alias(own), F.col("parts").alias(parts), F.col("cdf").alias(cdf)), "rates")
+    size = plan.agg(F.sum(F.coalesce(F.octet_length(F.col(own).cast("string")), F.lit(0)) + 8 * F.size(cdf) + 64)).first()[0] or 0
+    same = column(source_col).eqNullSafe(F.col(own))
+    if size <= SENT:
+        joined = source.join(F.broadcast(plan), same)
+    else:
+        dealt = source.withColumn(part, F.pmod(F.xxhash64(column(id_col)), F.lit(SPLIT)).cast("int"))
+        repeated = plan.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+        joined = dealt.join(repeated, same & (F.col(part) == F.col(other)))
+    number = lambda j: uniform(F.lit(seed), column(id_col), j)
+    drawn = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: F.transform(F.array(number(j)), lambda u: F.size(F.filter(cdf, lambda c: c <= u)))[0])
+    copies = joined.withColumn(count, F.explode(F.array(F.aggregate(drawn, F.lit(0), lambda a, x: a + x)))).where(F.col(count) > 0)
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(count))))
+    order = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(column(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
+    keyed = copies.select(*map(column, source.columns), "copy", order.alias("mix_key"))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")

@@ -47,20 +47,20 @@ cdf AS (
 ),
 lists AS (SELECT source, list(c ORDER BY k) AS chances FROM cdf GROUP BY source),
 drawn AS (
-  SELECT d.doc_id, d.source, j, ('0x' || substr(md5('7:' || d.doc_id || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  SELECT d.doc_id, d.source, md5(d.text) AS text_md5, j, ('0x' || substr(md5('7:' || d.doc_id || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM {documents} d JOIN means m ON d.source IS NOT DISTINCT FROM m.source, unnest(range(1, m.parts + 1)) t(j)
 ),
 repeats AS (
-  SELECT doc_id, drawn.source, sum(len(list_filter(chances, lambda c: c <= u)))::INT AS times
-  FROM drawn JOIN lists ON drawn.source IS NOT DISTINCT FROM lists.source GROUP BY doc_id, drawn.source
+  SELECT doc_id, drawn.source, text_md5, sum(len(list_filter(chances, lambda c: c <= u)))::INT AS times
+  FROM drawn JOIN lists ON drawn.source IS NOT DISTINCT FROM lists.source GROUP BY doc_id, drawn.source, text_md5
 ),
 mixed AS (
-  SELECT doc_id, source, copy::INT AS copy, md5('7:order:' || doc_id || ':' || copy) AS mix_key
+  SELECT doc_id, source, text_md5, copy::INT AS copy, md5('7:order:' || doc_id || ':' || copy) AS mix_key
   FROM repeats, unnest(range(1, times + 1)) t(copy)
 )
 """
 
-SQL["op5_mixing"] = MIXING.format(documents="documents") + "SELECT doc_id, source, copy, mix_key FROM mixed"
+SQL["op5_mixing"] = MIXING.format(documents="documents") + "SELECT doc_id, source, copy, mix_key, text_md5 FROM mixed"
 
 #: SHA-1 as base32: 160 bits written as a string, read five at a time.
 SQL["op6_warc"] = r"""

@@ -72,7 +72,7 @@ def op3_line_dedup(spark, sf_dir):
 
 @query
 def op5_mixing(spark, sf_dir):
-    return mixing.mix_sources(load(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "mix_key")
+    return mixing.mix_sources(load(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "mix_key", F.md5("text").alias("text_md5"))
 
 
 @query
