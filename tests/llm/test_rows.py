@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docloom.llm import mixing, quality_classifier, quality_rules, toxicity, warc
+from docloom.llm import line_dedup, mixing, quality_classifier, quality_rules, toxicity, warc
 from docloom.llm.common import held_out
 from docloom.llm.oracles import SQL
 from docloom.llm.queries import QUERIES
@@ -231,6 +231,50 @@ def test_mixing_rates_and_shuffle(spark):
     assert mixing.mix_sources(docs.where("false")).collect() == []
 
 
+CLASHES = ["_id", "_version", "_rid", "_RVERSION", "_gone", "_lines", "_key", "_nth", "_row", "_score", "_other", "_source", "_parts", "_cdf", "_part", "_count", "a.b"]
+
+
+def clashing(docs):
+    """The rows with columns named as the operators' own."""
+    return docs.select("*", *(F.lit(f"{name}!").alias(name) for name in CLASHES))
+
+
+def untouched(df):
+    """No row has another value in them."""
+    return df.where(" OR ".join(f"NOT `{name}` <=> '{name}!'" for name in CLASHES)).count() == 0
+
+
+@pytest.mark.parametrize("sent", [mixing.SENT, 0])
+def test_columns_with_clashing_names(spark, monkeypatch, sent):
+    """Both layouts of the mixing join and of the toxic words, too."""
+    monkeypatch.setattr(mixing, "SENT", sent)
+    monkeypatch.setattr(toxicity, "SENT", sent or 1)
+    rows = [(i, f"first line\nsecond line\nline {i}\n" * (1 + i % 2), "s" if i % 7 else "t") for i in range(40)] + [(None, None, None), (3, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    known = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    for run in (line_dedup.deduplicate_lines, mixing.mix_sources, lambda d: toxicity.remove_toxic(d, known)):
+        got, plain = run(clashing(docs)), run(docs)
+        assert got.columns[: len(docs.columns) + len(CLASHES)] == clashing(docs).columns and untouched(got)
+        assert Counter(got.select(*plain.columns).collect()) == Counter(plain.collect())
+        assert run(clashing(docs).where("false")).collect() == []
+
+
+def test_fit_takes_no_more_rows_than_its_bound(spark, monkeypatch):
+    """A repeated id, and a row that is repeated, do not exceed or fill the sample."""
+    sizes, plain = [], quality_classifier.fit
+    monkeypatch.setattr(quality_classifier, "SAMPLE", 50)
+    monkeypatch.setattr(quality_classifier, "fit", lambda rows, *rest: sizes.append(len(rows)) or plain(rows, *rest))
+    rows, labels = labelled_rows(n=30)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows += [(1, f"text {i} of one id") for i in range(400)] + [rows[2]] * 400
+    quality_classifier.quality(frame(spark, rows), known)
+    assert max(sizes) == 50
+    sizes.clear()
+    rows = rows[:30] + [rows[2]] * 400
+    quality_classifier.quality(frame(spark, rows), known)
+    assert max(sizes) == len({i for i, _ in rows if zlib.crc32(str(i).encode()) % 5})
+
+
 def test_poisson_counts(spark):
     """Mean and variance of the counts, also of a mean that is split."""
     for rate in (0.7, 100.0):
@@ -339,11 +383,11 @@ def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
-def test_ten_queries_and_pipeline():
+def test_a_query_per_operator_and_pipeline():
     from __spark_entry__ import queries
 
     names = sorted(queries())
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11)) and "pipeline" in names
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -354,5 +398,10 @@ def test_equal_to_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_columns(spark, name):
     rows = QUERIES[name](spark, SF)
-    total = duckdb.execute(f"SELECT count(*) FROM '{SF}/documents.parquet'").fetchall()[0][0]
-    assert name == "op7_license_scan" or rows.count() == total
+    table = {"op12_embedding_whitening": "embeddings", "op13_conversation_repair": "conversations"}.get(name, "documents")
+    what = "count(DISTINCT conv_id)" if table == "conversations" else "count(*)"
+    total = duckdb.execute(f"SELECT {what} FROM '{SF}/{table}.parquet'").fetchall()[0][0]
+    if name == "op12_embedding_whitening":  # a row per vector and component
+        assert rows.select("vec_id").distinct().count() == total and rows.count() == 32 * total
+    else:
+        assert name == "op7_license_scan" or rows.count() == total
