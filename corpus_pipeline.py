@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stage
+from docloom.llm.common import fresh, stage
 from docloom.llm.decontaminate import contamination
 from docloom.llm.line_dedup import deduplicate_lines
 from docloom.llm.mixing import mix_sources
@@ -40,15 +40,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     judged = near_duplicates(docs).where("kept").select("doc_id").distinct()
     chosen = docs.join(judged, "doc_id", "left_semi")
     repeat = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source"))
-    once = chosen.withColumn("_nth", repeat).where("_nth = 1").drop("_nth")
+    (nth,) = fresh(docs, "_nth")
+    once = chosen.withColumn(nth, repeat).where(F.col(nth) == 1)
     return once.select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ten words in a row of a benchmark item (or all of a shorter one) go."""
-    key = F.xxhash64("doc_id", "text")
-    hit = contamination(docs.withColumn("_key", key), load(spark, sf_dir, "benchmark"), id_col="_key").where("n_hit > 0")
-    return docs.withColumn("_key", key).join(hit.select("_key").distinct(), "_key", "left_anti").select(docs.columns)
+    (key,) = fresh(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    hit = contamination(keyed, load(spark, sf_dir, "benchmark"), id_col=key).where("n_hit > 0")
+    return keyed.join(hit.select(key).distinct(), key, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
