@@ -359,6 +359,8 @@ SQL["backfill_tables"] = f"""WITH {DOCS}, p AS (SELECT *, CASE lang WHEN 'en' TH
    row_number() OVER (PARTITION BY CASE lang WHEN 'en' THEN 'english' ELSE 'other' END ORDER BY is_embedded, created, id) AS place FROM c),
  d AS (SELECT id FROM p WHERE place <= 15 AND NOT is_embedded ORDER BY t, created, id LIMIT 15)
  SELECT t AS "table", id, is_embedded OR id IN (SELECT id FROM d) AS is_embedded FROM p"""
+SQL["backfill_queue"] = """SELECT 'docs' AS "table", CAST(doc_id AS VARCHAR) AS id, md5(text || ' revised edition ' || lang) AS content
+  FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"""
 SQL["database_list"] = f"""WITH {DOCS} SELECT coalesce(lang, 'none') AS name, count(*) + count(*) FILTER (WHERE labeled) AS document_count,
   count(*) FILTER (WHERE is_embedded) AS embedded_count, least(min(created), {WRITTEN}) AS created_at, {WRITTEN} AS last_updated,
   true AS stored FROM c GROUP BY 1 UNION ALL SELECT 'gone', 0, 0, NULL, NULL, false"""

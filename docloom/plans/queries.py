@@ -6,6 +6,8 @@ epoch seconds, so that two engines can be compared row by row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -802,6 +804,20 @@ def _drained(spark, sf_dir):
 query(_drained, "stream_backfill")
 
 
+@query
+def backfill_queue(spark, sf_dir):
+    """The queue is drained, then labelled documents get new texts: they alone
+    wait, and a collection that nothing touched has no queue."""
+    base = shared_dir(spark, "store")
+    stored, still = (Collection(spark, base, "main", name, buckets=16) for name in ("docs", "still"))
+    for target in (stored, still):
+        target.upsert(collection(spark, sf_dir).drop("updated_at", "is_embedded"), AS_OF)
+    run_backfill([stored, still], LETTERS, as_of=AS_OF)
+    stored.upsert(_revised(spark, sf_dir).select("id", "content"), AS_OF)
+    queues = [q for q in (stored.queue(), still.queue()) if q is not None]
+    return reduce(DataFrame.unionByName, queues).select("table", "id", F.md5("content").alias("content"))
+
+
 @query
 def backfill_tables(spark, sf_dir):
     """One capped cycle over two stored tables, split by language."""

@@ -116,7 +116,23 @@ class Collection:
 
     def documents(self) -> DataFrame:
         """Current documents with their ``db``, ``table`` and ``bucket``."""
-        return self.read().withColumns({"db": F.lit(self.db), "table": F.lit(self.table)})
+        return self._named(self.read())
+
+    def queue(self) -> DataFrame | None:
+        """The documents that wait for a vector, as ``documents``; None if
+        there are none.
+
+        Every write leaves in its commit how many documents of each bucket it
+        wrote, and how many of them have a vector. So the commit is the queue
+        that changes feed: only buckets with documents that wait are opened,
+        and none where nothing waits.
+        """
+        state = self._state()
+        waiting = {b: v for b, v in state.places.items() if state.totals[b][1] != state.totals[b][0]}
+        return self._named(self._read(waiting)).where(~F.col("is_embedded")) if waiting else None
+
+    def _named(self, docs: DataFrame) -> DataFrame:
+        return docs.withColumns({"db": F.lit(self.db), "table": F.lit(self.table)})
 
     def get(self, *ids: str) -> DataFrame:
         """Documents by id, reading only their buckets."""

@@ -72,9 +72,16 @@ def run_backfill(
 ) -> None:
     """One backfill cycle over several collections, all pending documents or
     ``n`` of them. With ``errors``, a path, failures are added to the table
-    there, and documents that failed ``max_tries`` times are passed over."""
+    there, and documents that failed ``max_tries`` times are passed over.
+
+    Only buckets in which documents wait are read (:meth:`Collection.queue`),
+    and only collections that have any are written. A cycle without any ends
+    with the newest commits read."""
+    queues = [(t, q) for t, q in ((t, t.queue()) for t in targets) if q is not None]
+    if not queues:
+        return
     spark = targets[0].spark
-    docs = reduce(DataFrame.unionByName, (t.documents() for t in targets))
+    docs = reduce(DataFrame.unionByName, (q for _, q in queues))
     staged = shared_dir(spark, "vectors")  # embed once, then update each table
     failures = read_failures(spark, errors) if errors else None
     tried = attempted(docs, embedder, n, failures, max_tries)
@@ -86,7 +93,7 @@ def run_backfill(
     done = done.where(F.col("vector").isNotNull())
     if n is not None:
         done = done.orderBy("db", "table", "created_at", "id").limit(n)
-    for target in targets:
+    for target, _ in queues:
         mine = done.where((F.col("db") == target.db) & (F.col("table") == target.table)).select("id", "vector")
         target.update_vectors(mine, as_of, note)
     remove_dir(spark, staged)

@@ -10,7 +10,7 @@ from docloom.operators.match import any_of
 from docloom.session import shared_dir
 from docloom.sources import ingest
 from docloom.sources.collection import Collection
-from docloom.streaming.jobs import run_backfill, store_batch, stream_backfill, stream_upserts
+from docloom.streaming.jobs import read_failures, run_backfill, store_batch, stream_backfill, stream_upserts
 
 DAY1 = "2025-01-01 00:00:00"
 
@@ -144,6 +144,40 @@ def test_stream_upserts_and_backfill(spark):
     run_backfill([stored], StubEmbedder(2))  # an empty queue is fine
 
 
+def test_queue_opens_only_buckets_that_wait(spark, monkeypatch):
+    base = shared_dir(spark, "store")
+    stored, other, empty = (Collection(spark, base, "db", t, buckets=8) for t in ("t", "u", "v"))
+    assert empty.queue() is None
+    batch = spark.createDataFrame([(f"d{i}", f"text {i}") for i in range(40)], "id string, content string")
+    stored.upsert(batch, DAY1)
+    other.upsert(batch.limit(1), DAY1)
+    assert stored.queue().count() == 40 and len(stored.queue().inputFiles()) == len(stored.read().inputFiles()) == 8
+    run_backfill([stored, other, empty], StubEmbedder(2), as_of=DAY1)
+    versions = [t.version() for t in (stored, other, empty)]
+    assert stored.queue() is other.queue() is None and versions[2] == 0
+
+    with monkeypatch.context() as patched:  # a cycle without news opens no document file and writes none
+        patched.setattr(Collection, "_read", lambda *_: pytest.fail("documents were read"))
+        run_backfill([stored, other, empty], StubEmbedder(2), as_of=DAY1)
+    assert [t.version() for t in (stored, other, empty)] == versions
+
+    stored.upsert(spark.createDataFrame([("d7", "new text"), ("d7x", "more")], "id string, content string").limit(1), DAY1)
+    assert [r["id"] for r in stored.queue().collect()] == ["d7"] and len(stored.queue().inputFiles()) == 1
+    stored.delete(spark.createDataFrame([("d7",)], "id string"))
+    assert stored.queue() is None
+    stored.upsert(batch.where("id = 'd3'"), DAY1)
+    run_backfill([stored, other], StubEmbedder(2), as_of=DAY1)
+    assert stored.queue() is None and stored.version() == versions[0] + 4 and other.version() == versions[1]
+    assert stored.read().where("is_embedded").count() == 39
+
+    failing = BatchEmbedder(lambda texts: [None for _ in texts], 2, "null")
+    stored.upsert(batch.where("id = 'd4'"), DAY1)
+    errors = shared_dir(spark, "errors")
+    for _ in range(3):  # a document that is given up still waits, but is not tried again
+        run_backfill([stored], failing, as_of=DAY1, errors=errors, max_tries=2)
+    assert stored.queue().count() == 1 and [r["tries"] for r in read_failures(spark, errors).collect()] == [2]
+
+
 def test_redelivered_batch_is_applied_once(spark):
     stored = Collection(spark, shared_dir(spark, "store"), "db", "t", buckets=2)
     batch = spark.createDataFrame([(None, "one"), ("a", "two")], "id string, content string")
