@@ -28,8 +28,8 @@ from docloom.functions.filters import filter_column
 from docloom.functions.text import tokens, with_tokens
 from docloom.operators.fulltext import B, COMMON_WORD_IDF, K1, best, bm25, idf, term_weight, with_stats
 from docloom.operators.match import AnyOf, ButNot, Leaf, Match, Near, PostingsView
-from docloom.operators.text_batch import BROADCAST_WORDS, TextScorer, query_words, weigh_queries, with_options
-from docloom.operators.topk_join import size_of, topk_join
+from docloom.operators.text_batch import BROADCAST_WORDS, query_words, text_hits, weigh_queries, with_options
+from docloom.operators.topk_join import size_of
 from docloom.schema import DEFAULT_LIMIT
 from docloom.session import list_dirs, remove_dir, shared_dir
 
@@ -558,20 +558,41 @@ class TextIndex:
         queries = with_options(queries, k, every_word)
         size = size_of(queries, F.size(tokens("query")))
         words = query_words(queries)
+        documents, counts, _ = self.candidates(words, size[1])
+        ready = weigh_queries(queries, words, counts, self.totals)
+        return text_hits(ready, documents, size, F.size("words"), digits, **layout)
+
+    def candidates(self, words: DataFrame, n_words: int, cut: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """What the postings of a table of ``n_words`` words say: documents
+        ``id, length, words, counts``, the words' frequencies ``word, df``,
+        and with ``cut``, if the dictionary shows that they are few enough to
+        be sent to all tasks, the ids of the documents.
+        """
         keys = words.select(F.col("word").alias("term")).distinct()
         on = ["term"]
         if self.buckets:  # the directories to read follow from the words
             keys = keys.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
             on = ["term", "bucket"]
-        keys = F.broadcast(keys) if size[1] <= BROADCAST_WORDS else keys
+        keys = F.broadcast(keys) if n_words <= BROADCAST_WORDS else keys
         rows = self.postings.join(keys, on, "left_semi").select("term", "id", "tf", "length")
-        counts = rows.groupBy(F.col("term").alias("word")).agg(F.count("*").cast("double").alias("df"))
-        ready = weigh_queries(queries, words, counts, self.totals)
+        if self.exact:
+            known = self.cells.join(keys.select("term"), "term", "left_semi")
+            counts = known.groupBy(F.col("term").alias("word")).agg(F.sum("n").cast("double").alias("df"))
+        else:
+            counts = rows.groupBy(F.col("term").alias("word")).agg(F.count("*").cast("double").alias("df"))
+        few = None
+        if cut and self.exact and (counts.agg(F.sum("df")).first()[0] or 0) <= BROADCAST_WORDS:
+            few = F.broadcast(rows.select("id").distinct())
         # one row per document with the asked words in it
         entries = F.collect_list(F.struct("term", "tf"))
         documents = rows.groupBy("id").agg(F.max("length").alias("length"), entries.alias("entries"))
-        documents = documents.select(
-            "id", "length", F.col("entries.term").alias("words"), F.col("entries.tf").alias("counts")
-        )
-        hits = topk_join(ready, documents, TextScorer(), size, F.size("words"), digits, **layout)
-        return hits.drop("tie").withColumn("score", -F.col("score"))
+        return documents.select("id", "length", F.col("entries.term").alias("words"), F.col("entries.tf").alias("counts")), counts, few
+
+    def places(self, leaves: list[Leaf], within: DataFrame | None = None) -> DataFrame:
+        """``id, places``: a map from each word of some leaves to its
+        positions in a document; ``within`` names the documents wanted, and
+        cuts the postings where they are read."""
+        rows = self.lookup(leaves)
+        if within is not None:
+            rows = rows.join(within, "id", "left_semi")
+        return rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("places"))

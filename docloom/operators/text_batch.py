@@ -193,7 +193,12 @@ def search_text_batch(
     """
     docs = docs.select("id", text, *gates(queries))
     ready, tokenized, bound = _prepared(queries, docs, text, k, every_word)
-    hits = topk_join(ready, tokenized, TextScorer(), bound, F.size("tokens"), digits, **layout)
+    return text_hits(ready, tokenized, bound, F.size("tokens"), digits, **layout)
+
+
+def text_hits(ready: DataFrame, docs: DataFrame, bound: tuple[int, int], doc_size, digits: int | None = None, **layout) -> DataFrame:
+    """Hits of weighted queries in documents as the scorer reads them."""
+    hits = topk_join(ready, docs, TextScorer(), bound, doc_size, digits, **layout)
     return hits.drop("tie").withColumn("score", -F.col("score"))
 
 
@@ -217,10 +222,18 @@ def search_hybrid_batch(
     if "by_vector" not in queries.columns:
         queries = queries.withColumn("by_vector", F.lit(True))
     docs = docs.select("id", text, "vector", *gates(queries))
-    ready, tokenized, (n_queries, n_words) = _prepared(queries, docs, text, k, every_word)
+    ready, tokenized, bound = _prepared(queries, docs, text, k, every_word)
+    return hybrid_hits(queries, ready, tokenized, bound, F.size("tokens"), digits, **layout)
+
+
+def hybrid_hits(
+    queries: DataFrame, ready: DataFrame, docs: DataFrame, bound: tuple[int, int], doc_size, digits: int | None = None, **layout
+) -> DataFrame:
+    """As :func:`text_hits`, with vectors on both sides and ``by_vector`` in the queries."""
+    n_queries, n_words = bound
     bound = n_queries, n_words + size_of(queries, F.size("vector"))[1]
-    doc_size = F.size("tokens") + F.greatest(F.size("vector"), F.lit(0))
-    hits = topk_join(ready, tokenized, HybridScorer(), bound, doc_size, digits, **layout)
+    doc_size = doc_size + F.greatest(F.size("vector"), F.lit(0))
+    hits = topk_join(ready, docs, HybridScorer(), bound, doc_size, digits, **layout)
     hits = hits.join(queries.select("query_id", "by_vector"), "query_id")
     cosine = F.when(F.col("score") > HybridScorer.NO_VECTOR, F.col("score"))
     return hits.select(

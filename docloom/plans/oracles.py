@@ -335,6 +335,9 @@ SQL["search_many_filters"] = f"""WITH {word_scores("SELECT 'q' AS query_id, 'the
  ok AS (SELECT a.id AS query_id, b.id, total FROM c a JOIN c b ON {_SAME} JOIN hit ON hit.id = b.id JOIN tk ON tk.id = b.id WHERE list_contains(k, 'the'))
  SELECT query_id, id, {rounded('-total')} AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER
   (PARTITION BY query_id ORDER BY round(total, 9) DESC, id) AS rank FROM ok) WHERE rank <= 3"""
+SQL["requests_postings"] = SQL["search_requests"]
+SQL["match_kinds_postings"] = SQL["search_match_kinds"]
+SQL["many_filters_postings"] = SQL["search_many_filters"]
 SQL["search_rejected"] = f"""SELECT query_id, CASE WHEN query = '' THEN 'query is required'
   ELSE 'invalid search type: fuzzy' END AS reason FROM ({_ASKED}) WHERE query = '' OR type = 'fuzzy'"""
 SQL["search_response"] = f"""WITH {ANSWERS} SELECT query_id, q.type, CAST(count(id) AS INTEGER) AS total,

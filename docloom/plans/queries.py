@@ -636,10 +636,29 @@ def search_requests(spark, sf_dir):
     return hits.select("query_id", "type", "id", _score(), "rank")
 
 
+@query
+def requests_postings(spark, sf_dir):
+    """The same requests, texts answered by the stored index."""
+    docs = collection(spark, sf_dir)
+    hits = search.search_requests(docs.drop("content"), _requests(spark, sf_dir), LETTERS, digits=9, index=_stored_index(spark, sf_dir))
+    return hits.select("query_id", "type", "id", _score(), "rank")
+
+
 @query
 def search_match_kinds(spark, sf_dir):
     """Requests with any-of, exclusion, phrase and prefix conditions; those
     with broken filters are refused alone."""
+    return _match_kinds(spark, sf_dir, collection(spark, sf_dir, with_vectors=False))
+
+
+@query
+def match_kinds_postings(spark, sf_dir):
+    """Any-of, exclusion, phrases and prefixes evaluated on postings."""
+    docs = collection(spark, sf_dir, with_vectors=False).drop("content")
+    return _match_kinds(spark, sf_dir, docs, index=_stored_index(spark, sf_dir))
+
+
+def _match_kinds(spark, sf_dir, docs, **options):
     n = F.col("item_id") % 6
     kinds = ['{"any": ["esat", "lich", "que"]}', '{"none": ["of"]}', '{"phrases": ["the of"]}', '{"prefixes": ["estio"]}', '{"any": ["que"], "none": ["de"]}', "{}"]
     requests = load(spark, sf_dir, "benchmark").select(
@@ -650,7 +669,7 @@ def search_match_kinds(spark, sf_dir):
         F.when(n == 5, '{"tag": 3}').alias("filters"),
         F.element_at(F.array(*(F.lit(k) for k in kinds)), (n + 1).cast("int")).alias("match"),
     )
-    hits = search.search_requests(collection(spark, sf_dir, with_vectors=False), requests, LETTERS, digits=9)
+    hits = search.search_requests(docs, requests, LETTERS, digits=9, **options)
     refused = search.rejected_requests(requests).select("query_id", F.col("reason").alias("id"), F.lit(None).cast("double").alias("score"), F.lit(0).alias("rank"))
     return hits.select("query_id", "id", _score(), "rank").unionByName(refused)
 
@@ -658,11 +677,22 @@ def search_match_kinds(spark, sf_dir):
 @query
 def search_many_filters(spark, sf_dir):
     """A request per labelled document, each with a filter of its own."""
+    return _many_filters(spark, sf_dir, collection(spark, sf_dir, with_vectors=False))
+
+
+@query
+def many_filters_postings(spark, sf_dir):
+    """As many filters over the candidates that the stored index names."""
+    docs = collection(spark, sf_dir, with_vectors=False).drop("content")
+    return _many_filters(spark, sf_dir, docs, index=_stored_index(spark, sf_dir))
+
+
+def _many_filters(spark, sf_dir, docs, **options):
     asked = _filtered_by(spark, sf_dir).select(
         F.col("filter_no").alias("query_id"), F.lit("the of").alias("query"), F.lit("").alias("type"), F.lit(3).alias("limit"),
         "filters", F.lit('{"any": ["the"]}').alias("match"),
     )
-    hits = search.search_requests(collection(spark, sf_dir, with_vectors=False), asked, LETTERS, digits=9)
+    hits = search.search_requests(docs, asked, LETTERS, digits=9, **options)
     return hits.select("query_id", "id", _score(), "rank")
 
 
