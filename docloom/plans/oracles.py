@@ -292,6 +292,7 @@ SQL["vector_filtered"] = nearest(
 SQL["knn_join"] = f"""WITH {VECS}, s AS (SELECT a.id AS query_id, b.id AS id, {rounded(COSINE.format('a.x', 'b.x'))} AS score
   FROM v a, v b) SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER
   (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"""
+SQL["knn_pivots"] = SQL["knn_join"]
 SQL["vector_text_query"] = f"""WITH {VECS}, b AS (SELECT item_id, {LETTERS.format('text')} AS y FROM benchmark),
   s AS (SELECT item_id, id, {rounded(COSINE.format('x', 'y'))} AS score FROM v, b),
   t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM s)

@@ -18,6 +18,7 @@ from docloom.functions.text import tokens, with_tokens
 from docloom.functions.times import parse_time
 from docloom.functions.vectors import blob_to_vector, similarity, vector_to_blob
 from docloom.operators import embed, filter_join, fulltext, listing, match, mutate, postings, search, text_batch, vector
+from docloom.operators.vector_index import VectorIndex
 from docloom.plans.constants import AS_OF, DIM, QUERY_VECTOR, SCORED, TOP_WORDS
 from docloom.session import shared_dir
 from docloom.sources import ingest
@@ -586,6 +587,15 @@ def knn_join(spark, sf_dir):
     return hits.select("query_id", "id", _score(), "rank")
 
 
+@query
+def knn_pivots(spark, sf_dir):
+    """The same neighbours through stored blocks with bounds."""
+    docs = vectors(spark, sf_dir)
+    index = VectorIndex.write(docs, shared_dir(spark, "vectors"))
+    hits = index.knn_join(docs.select(F.col("id").alias("query_id"), "vector"), 5, digits=6)
+    return hits.select("query_id", "id", _score(), "rank")
+
+
 @query
 def metric_fallback(spark, sf_dir):
     """An unknown metric means cosine."""
