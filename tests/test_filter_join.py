@@ -83,3 +83,21 @@ def test_a_thousand_requests_with_filters_of_their_own(spark, docs, layout):
         mine = [r["id"] for r in found if r["query_id"] == n]
         fits = {i for i in passed[n] if kind == "vector" or bodies[i] == f"text {n % 7}"}
         assert set(mine) <= fits and len(mine) == min(4, len(fits))
+
+
+def test_filters_meet_documents_over_their_rarest_condition(spark):
+    own = [(f"d{n}", json.dumps({"no": n}), ["en"]) for n in range(300)]
+    docs = spark.createDataFrame(own, "id string, metadata string, tags array<string>")
+    asked = spark.createDataFrame([(n, json.dumps({"no": n, "tag": "en"})) for n in range(400)], "filter_no int, filters string")
+    told = docs.select("id", filter_join.facts(["no"]).alias("facts"))
+    keys = filter_join.rarest(asked.select(filter_join.compiled("filters").alias("conditions")), told)
+    assert {(r["n"], r["fact"].startswith("no")) for r in keys.collect()} == {(1, True)} and keys.count() == 300
+    assert filter_join.with_keys(told, keys.select("fact", "conditions")).count() == 300  # not 300 x 300
+    assert {tuple(r) for r in passing(docs, asked).collect()} == {(f"d{n}", n) for n in range(300)}
+
+
+def test_repeated_rows_pass_once(spark, docs):
+    """Half of the conditions met by a row that comes twice are not all of them."""
+    asked = spark.createDataFrame([(n, json.dumps(f)) for n, f in enumerate(FILTERS)] * 2, "filter_no int, filters string")
+    found = [(r["id"], r["filter_no"]) for r in passing(docs.union(docs), asked).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected(docs, FILTERS)
