@@ -138,7 +138,8 @@ def search_requests(
     asked = accepted_requests(requests)
     per_request = F.when(F.coalesce(F.json_array_length(F.get_json_object("match", "$.any")), F.lit(0)) > 0, False).otherwise(every_word)
     # stored: the passes below read it several times
-    asked = _stored(asked.withColumn("every_word", per_request).withColumn("conditions", compiled("filters")).drop("filters"))
+    every = _stored(asked.withColumn("every_word", per_request).withColumn("conditions", compiled("filters")).drop("filters"))
+    asked, members = _distinct(every)
     parts = [asked.select("query_id", F.lit("").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)]
     last = None
     while True:
@@ -157,8 +158,18 @@ def search_requests(
             own = [c for c in docs.columns if c != "vector"]
             visible = seen.select(*own, vector, *([] if index else passes), facts(paths).alias("facts"))
             parts += _answers(group if passes else group.drop("filter_no"), visible, embedder, every_word, digits, gate, layout)
-    hits = reduce(DataFrame.unionByName, parts)
-    return hits.join(asked.select("query_id", "type"), "query_id").select("query_id", "type", "id", "score", "rank")
+    hits = reduce(DataFrame.unionByName, parts).withColumnRenamed("query_id", "first")
+    return hits.join(members, "first").select("query_id", "type", "id", "score", "rank")
+
+
+def _distinct(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One of each set of requests that differ in nothing but their id, and
+    ``query_id, type, first``: of every request, which one stands for it."""
+    what = F.struct(*(c for c in asked.columns if c != "query_id"))
+    rows = asked.select("query_id", what.alias("what"))
+    first = _stored(rows.groupBy("what").agg(F.min("query_id").alias("first")))
+    members = rows.join(first, "what").select("query_id", F.col("what.type").alias("type"), "first")
+    return first.select(F.col("first").alias("query_id"), "what.*"), members
 
 
 class _Gate:

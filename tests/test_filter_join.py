@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions.filters import filter_column
-from docloom.operators import filter_join
+from docloom.operators import filter_join, search, topk_join
 from docloom.operators.embed import StubEmbedder
 from docloom.operators.filter_join import FilterTable, conditions_of, passing
 from docloom.operators.search import search_requests
@@ -101,3 +101,30 @@ def test_repeated_rows_pass_once(spark, docs):
     asked = spark.createDataFrame([(n, json.dumps(f)) for n, f in enumerate(FILTERS)] * 2, "filter_no int, filters string")
     found = [(r["id"], r["filter_no"]) for r in passing(docs.union(docs), asked).collect()]
     assert len(found) == len(set(found)) and set(found) == expected(docs, FILTERS)
+
+
+def test_filtered_requests_meet_documents_by_condition(spark, monkeypatch):
+    """Cells of a few conditions, split by queries and by documents, give what the broadcast layout gives."""
+    rows = [(f"d{n:03}", "a b " + "c " * (n % 5), json.dumps({"no": n % 90}), ["en"] if n % 2 else ["fr", "hq"], None, None, None, False) for n in range(180)]
+    docs = spark.createDataFrame(rows, DOCUMENT_SCHEMA)
+    asks = [{"no": n % 100, "tag": "en"} for n in range(120)] + [{"tag": "fr"}, {"tag": "hq"}, {}, {"tag": "absent"}] * 3
+    asked = spark.createDataFrame([(str(n), "a c", "", 3, json.dumps(f)) for n, f in enumerate(asks)], "query_id string, query string, type string, limit int, filters string")
+    answer = lambda **layout: sorted(search_requests(docs, asked, StubEmbedder(2), every_word=False, digits=9, **layout).collect())
+    expected = answer()
+    monkeypatch.setattr(topk_join, "KEYED_QUERIES", 8)
+    assert answer(max_broadcast=0, cell_queries=2, cell_elements=40) == expected
+    assert answer(max_broadcast=0) == expected
+
+    told = docs.select("id", filter_join.facts(["no"]).alias("facts"))
+    queries = asked.select("query_id", filter_join.compiled("filters").alias("conditions")).where("query_id < 100")
+    left, right = topk_join._keyed(queries.where(F.size("conditions") > 1), told, 100, F.lit(0), 1000, 1000)
+    cells = ["_cell", "_q", "_d"]
+    pairs = left.groupBy(cells).count().join(right.groupBy(cells).agg(F.count("*").alias("n")), cells).agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+    assert pairs <= 100 * 180 / 8
+
+
+def test_equal_requests_are_answered_once(spark):
+    asked = spark.createDataFrame([(f"q{n}", "a", "fulltext", 3, "{}", "{}", []) for n in range(50)], "query_id string, query string, type string, k int, filters string, match string, conditions array<string>")
+    first, members = search._distinct(asked)
+    assert [r["query_id"] for r in first.collect()] == ["q0"]
+    assert {(r["query_id"], r["type"], r["first"]) for r in members.collect()} == {(f"q{n}", "fulltext", "q0") for n in range(50)}
