@@ -66,20 +66,31 @@ class BlockScorer(VectorScorer):
     (``blocks`` of the queries)."""
 
     def prepare(self, queries):
-        self_of, blocks = queries["vector"].chunk(0), queries["blocks"].chunk(0)
-        owner = np.repeat(np.arange(len(blocks)), blocks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        """Each vector once, and per block the numbers of the queries that ask
+        for it; their vectors are taken when a block is scored."""
+        blocks = queries["blocks"].chunk(0)
+        owner = np.repeat(np.arange(len(blocks), dtype="int32"), blocks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         asked = blocks.flatten().to_numpy(zero_copy_only=False)
-        return {b: (owner[asked == b], list(vectors_by_length(self_of.take(pa.array(owner[asked == b]))))) for b in np.unique(asked)}, len(blocks)
+        order = np.argsort(asked, kind="stable")
+        found, start = np.unique(asked[order], return_index=True)
+        by_block = dict(zip(found.tolist(), np.split(owner[order], start[1:])))
+        return by_block, list(vectors_by_length(queries["vector"].chunk(0))), len(blocks)
+
+    def arranged(self, docs):
+        return docs.sort_by("block")
 
     def scores(self, state, docs):
-        by_block, n_queries = state
+        by_block, vectors, n_queries = state
         out = np.full((docs.num_rows, n_queries), -np.inf)
         block = docs.column("block").to_numpy(zero_copy_only=False)
-        for b in np.unique(block):
+        for b in np.unique(block).tolist():
             if b in by_block:
-                columns, vectors = by_block[b]
+                columns = by_block[b]
+                place = np.full(n_queries, -1)
+                place[columns] = np.arange(len(columns))
+                asking = [(place[rows][mine], matrix[mine]) for _, rows, matrix in vectors if (mine := place[rows] >= 0).any()]
                 rows = np.flatnonzero(block == b)
-                out[np.ix_(rows, columns)] = score_lists(self.metric, docs.column("vector").take(pa.array(rows)), vectors)
+                out[np.ix_(rows, columns)] = score_lists(self.metric, docs.column("vector").take(pa.array(rows)), [(m.shape[1], c, m) for c, m in asking])
         return out, None
 
 

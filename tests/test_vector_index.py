@@ -1,11 +1,14 @@
 """Neighbours found through bounds are those of the full comparison."""
 
+import pickle
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators.vector import knn_join
-from docloom.operators.vector_index import OTHER, VectorIndex
+from docloom.operators.vector_index import OTHER, BlockScorer, VectorIndex
 from docloom.session import shared_dir
 
 
@@ -75,3 +78,15 @@ def test_no_vectors_and_no_queries(spark, docs, index):
     assert index.knn_join(queries(docs).where("1 = 0")).collect() == []
     with pytest.raises(ValueError, match="dot"):
         VectorIndex.write(docs, "unused", "dot")
+
+
+def test_a_task_holds_each_query_once(spark):
+    """However many blocks it asks for."""
+    vectors = np.random.default_rng(1).normal(size=(300, 64)).astype("float32")
+    queries = pa.table({"vector": pa.array(vectors.tolist(), pa.list_(pa.float32())), "blocks": pa.array([list(range(200))] * 300, pa.list_(pa.int32()))})
+    scorer = BlockScorer("cosine")
+    state = scorer.prepare(queries)
+    assert len(pickle.dumps(state)) < 300 * 64 * 8 + 300 * 200 * 8 + 100_000
+    docs = pa.table({"vector": queries["vector"], "block": pa.array([n % 250 for n in range(300)], pa.int32())}).combine_chunks()
+    scores = scorer.scores(state, scorer.arranged(docs).combine_chunks().to_batches()[0])[0]
+    assert np.isfinite(scores[:250]).all() and (scores[250:] == -np.inf).all()
