@@ -33,7 +33,7 @@ def store_batch(
     staged = shared_dir(target.spark, "batch")
     docs = to_documents(batch, embedder, embed, as_of, order)
     docs.write.parquet(staged)
-    target.upsert(target.spark.read.schema(docs.schema).parquet(staged), as_of, note=note)
+    target.upsert(target.spark.read.schema(docs.schema).parquet(staged), as_of, note=note, stored=staged)
     remove_dir(target.spark, staged)
 
 
