@@ -63,10 +63,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     fingerprints = rows.select("id", "version", F.explode(F.transform(F.concat(places, heavy), around_place)).alias("f")).select("id", "version", "f.*")
     # what the joins look up is stored first: Spark can then split them at a common line
     shared = stage(fingerprints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "prints")
-    around = fingerprints.join(shared, "print", "left_semi").select("id", "version", F.explode("windows").alias("w")).select("id", "version", "w.*").distinct()
+    around = fingerprints.join(shared.hint("merge"), "print", "left_semi").select("id", "version", F.explode("windows").alias("w")).select("id", "version", "w.*").distinct()
     place = F.struct("id", "version", "start")
     first = stage(around.groupBy("g", "g2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "places")
-    later = around.join(first, ["g", "g2"]).where(~place.eqNullSafe(F.col("first")))
+    later = around.join(first.hint("merge"), ["g", "g2"]).where(~place.eqNullSafe(F.col("first")))
     return later.select("id", "version", F.explode("lines").alias("line")).groupBy("id", "version").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
@@ -86,7 +86,8 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = source.withColumns({own: column(id_col), version: F.xxhash64(text)})
     repeats = repeated_windows(keyed.where(text.isNotNull()).select(F.col(own).alias("id"), F.col(version).alias("version"), text.cast("string").alias("text")))
     repeats = repeats.select(F.col("id").alias(other), F.col("version").alias(other_version), F.col("lines").alias(gone))
-    out = keyed.join(repeats, F.col(own).eqNullSafe(F.col(other)) & (F.col(version) == F.col(other_version)), "left")
+    # merged at every size: a repeat's lines grow with the documents, so the plan must not change with them
+    out = keyed.join(repeats.hint("merge"), F.col(own).eqNullSafe(F.col(other)) & (F.col(version) == F.col(other_version)), "left")
     out = out.withColumn(gone, F.coalesce(gone, F.array().cast("array<int>")))
     out = out.select("*", F.explode(F.array(F.split(F.coalesce(text, F.lit("")), "\n"))).alias(lines))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.col(lines)[i])
