@@ -1,8 +1,11 @@
 """Work of one task, and rows shuffled, where tables grow."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docloom.llm.line_dedup import deduplicate_lines
+from docloom.operators import postings
+from docloom.operators.fulltext import term_weight
 from docloom.operators.postings import TextIndex
 from docloom.plans import queries
 from docloom.session import shared_dir
@@ -56,3 +59,32 @@ def test_line_dedup_has_one_plan_at_every_size(spark):
     out = deduplicate_lines(docs)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r["doc_id"]: r["n_removed"] for r in out.collect()} == {1: 0, 2: 2}
+
+
+def test_postings_reach_the_files_of_an_index_in_their_order(spark, monkeypatch):
+    """The sort of a file then merges a run per block of documents."""
+    seen, place = [], postings._place
+
+    def spied(rows, path, segment, buckets, splits, mean_length, mode):
+        tier = F.floor(term_weight(F.col("tf"), F.col("length"), F.lit(mean_length)) * postings.TIERS).alias("tier")
+        seen.append([(r["term"], -r["tier"], r["id"]) for r in rows.select("term", "id", tier).collect()])
+        place(rows, path, segment, buckets, splits, mean_length, mode)
+
+    monkeypatch.setattr(postings, "_place", spied)
+    make = lambda rows: spark.createDataFrame(rows, "id string, content string").coalesce(1)
+    docs = [("d9", "z é a a a"), ("d1", "a z"), ("d5", ""), ("d30", "a " * 9 + "b"), ("d4", None), ("d2", "b a 中 z"), ("d7", "a z")]
+    index = TextIndex.build(make(docs)).write(shared_dir(spark, "index"), buckets=2)
+    index = index.append(make([("d8", "z a"), ("d1", "z a a a a a"), ("d6", "b")]))
+    assert [len(rows) for rows in seen] == [13, 5] and all(rows == sorted(rows, key=lambda r: (r[0].encode(), *r[1:])) for rows in seen)
+    found = {(r["term"], r["id"], r["tf"], r["length"], *r["positions"]) for r in index.postings.collect()}
+    assert {f for f in found if f[1] in ("d9", "d1")} == {
+        ("z", "d9", 1, 5, 0), ("e", "d9", 1, 5, 1), ("a", "d9", 3, 5, 2, 3, 4), ("z", "d1", 1, 6, 0), ("a", "d1", 5, 6, 1, 2, 3, 4, 5)
+    }
+
+
+def test_the_order_of_a_block_changes_no_posting():
+    ids, lists = pa.array(["b", "a", None, "c"]), pa.array([["y", "x", "y"], [], ["x"], ["z", "x", "x", "x"]])
+    key = lambda r: (r["term"], str(r["id"]))
+    plain, ordered = (postings._group_tokens(ids, lists, mean).to_pylist() for mean in (None, 2.0))
+    assert sorted(plain, key=key) == sorted(ordered, key=key)
+    assert postings._group_tokens(pa.array(["a"]), pa.array([[]], pa.list_(pa.string())), 1.0).num_rows == 0
