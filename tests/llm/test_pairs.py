@@ -135,6 +135,23 @@ def test_suffix_dedup(spark, monkeypatch, limit):
     assert removal_of(suffix_dedup.remove_repeats(frame(spark, rows))) == brute_removal(rows)
 
 
+def test_suffix_dedup_planted_passages(spark):
+    """Passages of over 50 words in two documents: 400 bytes go whole, fewer stay."""
+    rng = random.Random(13)
+    rows, gone = [], {}
+    for k, n in enumerate(range(51, 111, 3)):
+        passage = prose(rng, n, 4000)
+        for i in (2 * k, 2 * k + 1):  # the bytes beside the passage differ
+            rows.append((i, f"{prose(rng, rng.randrange(20, 200), 10**6)} {i % 2}{passage}{i % 2} {prose(rng, 50, 10**6)}"))
+            gone[i] = len(passage) if len(passage) >= 400 else 0
+    for i in range(100, 140):
+        rows.append((i, prose(rng, rng.randrange(60, 400), 10**6)))
+        gone[i] = 0
+    found = suffix_dedup.remove_repeats(frame(spark, rows)).select("doc_id", "n_removed").collect()
+    assert 0 < sum(n > 0 for n in gone.values()) < 40
+    assert dict(map(tuple, found)) == gone
+
+
 def test_suffix_dedup_empty_table(spark):
     assert suffix_dedup.remove_repeats(frame(spark, []).where("false")).collect() == []
 
