@@ -79,6 +79,15 @@ class BlockScorer(VectorScorer):
     def arranged(self, docs):
         return docs.sort_by("block")
 
+    def vectors(self, state):
+        return state[1]
+
+    def meetings(self, state, docs):
+        block = docs.column("block").to_numpy(zero_copy_only=False)
+        for b in np.unique(block).tolist():
+            if b in state[0]:
+                yield np.flatnonzero(block == b), state[0][b]
+
     def scores(self, state, docs):
         by_block, vectors, n_queries = state
         out = np.full((docs.num_rows, n_queries), -np.inf)
@@ -204,9 +213,10 @@ class VectorIndex:
         return best
 
     def _with_blocks(self, queries: DataFrame, digits: int | None) -> DataFrame:
-        """``query_id, vector, k, blocks``: with ``goal``, a score that the k
-        best surely reach, all blocks that can reach it; without, the best
-        blocks that together have k vectors."""
+        """``query_id, vector, k, blocks, goal``: with ``goal``, a score that
+        the k best surely reach, all blocks that can reach it; without, the
+        best blocks that together have k vectors. The goal comes out lower by
+        what sums may be off."""
         index, slack = self, 0.0 if digits is None else 10.0**-digits
 
         def choose(batches):
@@ -216,6 +226,7 @@ class VectorIndex:
                     part = batch.slice(at, step)
                     best, ks = index._best_scores(part.column("vector")), part.column("k").to_numpy(zero_copy_only=False)
                     goals = part.column("goal").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                    goals = np.where(np.isfinite(goals), goals - slack - MARGIN * (1 + np.abs(goals)), goals)
                     chosen = []
                     for scores, k, goal, first in zip(best, ks, goals, part.column("first").to_pylist()):
                         if first:
@@ -223,13 +234,12 @@ class VectorIndex:
                             need = np.searchsorted(np.cumsum(index.n[order]), k) + 1
                             chosen.append(index.blocks[order[:need]].tolist())
                         else:
-                            near = goal - slack - MARGIN * (1 + abs(goal)) if np.isfinite(goal) else goal
-                            chosen.append(index.blocks[scores >= near].tolist())
+                            chosen.append(index.blocks[scores >= goal].tolist())
                     blocks = pa.array(chosen, pa.list_(pa.int32()))
-                    yield pa.record_batch([part.column(c) for c in ("query_id", "vector", "k")] + [blocks], names=["query_id", "vector", "k", "blocks"])
+                    yield pa.record_batch([part.column(c) for c in ("query_id", "vector", "k")] + [blocks, pa.array(goals)], names=["query_id", "vector", "k", "blocks", "goal"])
 
         kind = queries.schema["query_id"].dataType.simpleString()
-        return queries.select("query_id", "vector", "k", "goal", "first").mapInArrow(choose, f"query_id {kind}, vector array<float>, k int, blocks array<int>")
+        return queries.select("query_id", "vector", "k", "goal", "first").mapInArrow(choose, f"query_id {kind}, vector array<float>, k int, blocks array<int>, goal double")
 
     def _hits(self, asked: DataFrame, digits: int | None, layout: dict) -> DataFrame:
         wanted = [r["block"] for r in asked.select(F.explode("blocks").alias("block")).distinct().collect()]
@@ -238,8 +248,8 @@ class VectorIndex:
         return topk_join(asked, docs, BlockScorer(self.metric), size_of(asked, size + F.size("blocks")), size, digits, **layout).drop("tie")
 
     def asked(self, queries: DataFrame, k: int = DEFAULT_LIMIT, digits: int | None = None, **layout) -> DataFrame:
-        """``query_id, vector, k, blocks``: the blocks that can hold one of
-        the k nearest, stored. A query without a vector has none."""
+        """``query_id, vector, k, blocks, goal``: the blocks that can hold one
+        of the k nearest, stored, and a score that these reach. A query without a vector has none."""
         queries = queries.where(F.size("vector") > 0)
         queries = queries if "k" in queries.columns else queries.withColumn("k", F.lit(int(k)))
         queries = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector"), F.col("k").cast("int").alias("k"))
@@ -247,7 +257,7 @@ class VectorIndex:
         first = self._stored(self._with_blocks(queries.select("*", none.alias("goal"), F.lit(True).alias("first")), digits))
         found = self._hits(first, digits, layout).groupBy("query_id").agg(F.min("score").alias("goal"), F.count("*").alias("n"))
         goal = F.when(F.col("n") >= F.col("k"), F.col("goal")).alias("goal")  # fewer than k: every block counts
-        second = first.join(found, "query_id", "left").select("query_id", "vector", "k", goal, F.lit(False).alias("first"))
+        second = first.drop("goal").join(found, "query_id", "left").select("query_id", "vector", "k", goal, F.lit(False).alias("first"))
         return self._stored(self._with_blocks(second, digits))
 
     def knn_join(self, queries: DataFrame, k: int = DEFAULT_LIMIT, digits: int | None = None, **layout) -> DataFrame:

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.operators import topk_join
 from docloom.operators.vector import knn_join
 from docloom.operators.vector_index import OTHER, BlockScorer, VectorIndex
 from docloom.session import shared_dir
@@ -90,3 +91,25 @@ def test_a_task_holds_each_query_once(spark):
     docs = pa.table({"vector": queries["vector"], "block": pa.array([n % 250 for n in range(300)], pa.int32())}).combine_chunks()
     scores = scorer.scores(state, scorer.arranged(docs).combine_chunks().to_batches()[0])[0]
     assert np.isfinite(scores[:250]).all() and (scores[250:] == -np.inf).all()
+
+
+def test_a_cell_has_only_queries_that_ask_for_its_blocks(spark, docs, index):
+    asked = index.asked(queries(docs).where("query_id LIKE 'v%'"), digits=6)
+    assert asked.where("goal IS NULL OR goal = double('-inf')").count() == 0  # the second pass knows what to beat
+    stored = index.vectors().select("id", "vector", "block")
+    left, right = topk_join._by_block(asked, stored, BlockScorer(index.metric), F.size("vector"), 100, 3000)
+    sent = {}
+    for r in right.select("_cell", "_q", "_d", "id", "block").collect():
+        sent.setdefault((r["_cell"], r["_q"], r["_d"]), set()).add((r["id"], r["block"]))
+    met = set()
+    for r in left.collect():
+        here = sent.get((r["_cell"], r["_q"], r["_d"]), set())
+        assert r["blocks"] and set(r["blocks"]) <= {b for cell, rows in sent.items() if cell[0] == r["_cell"] for _, b in rows}
+        pairs = {(r["query_id"], i) for i, b in here if b in r["blocks"]}
+        assert not pairs & met
+        met |= pairs
+    of_block = {}
+    for r in stored.collect():
+        of_block.setdefault(r["block"], []).append(r["id"])
+    assert met == {(r["query_id"], i) for r in asked.collect() for b in r["blocks"] for i in of_block[b]}
+    assert left.count() < 0.6 * asked.count() * len({cell[0] for cell in sent})
