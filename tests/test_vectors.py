@@ -4,13 +4,14 @@ import random
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions.payloads import parse_payload
 from docloom.functions.tags import tags_from_csv, tags_to_csv
 from docloom.functions.vectors import blob_to_vector, score_block, similarity, vector_to_blob
-from docloom.operators import vector
+from docloom.operators import topk_join, vector
 from docloom.operators.vector import dimension_report, knn_join, score_vectors, search_vectors
 
 WORST = -sys.float_info.max
@@ -142,3 +143,65 @@ def test_scores_that_are_no_number_rank_last(spark, metric, k):
     single = vector.search_vectors(docs, [1.0, 0.2], k, metric).orderBy("rank").collect()
     assert [r["id"] for r in joined] == [r["id"] for r in single] == ["a", "c", "b"][:k]
     assert {r["query_id"] for r in joined} == {"q"}
+
+
+def run_cell(scorer, docs, asked, digits, each=(1, 5, 40, 5000)):
+    lists = lambda rows: pa.array([None if r is None else list(map(float, r)) for r in rows], pa.list_(pa.float32()))
+    ids, names = [f"d{i * 7 % len(docs):05}" for i in range(len(docs))], [f"q{i}" for i in range(len(asked))]
+    ks = pa.array([each[i % len(each)] for i in range(len(asked))], pa.int32())
+    queries = pa.table({"query_id": names, "vector": lists(asked), "k": ks})
+    out = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64()), ("tie", pa.float64()), ("k", pa.int32())])
+    rows = topk_join._run_cell(scorer, queries, pa.table({"id": ids, "vector": lists(docs)}), out, digits).to_pylist()
+    found = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], -r["score"], r["id"])):
+        found.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 6) + 0.0))
+    return ids, names, ks.to_pylist(), found
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+@pytest.mark.parametrize("digits", [6, None])
+def test_a_cell_finds_what_all_scores_give(monkeypatch, metric, digits):
+    """Growing likeness, copies, and vectors without a direction or of another length."""
+    for name, value in {"TILE_ROWS": 100, "TILE_PAIRS": 2000, "FIRST_ROWS": 16, "NEAR_PAIRS": 300}.items():
+        monkeypatch.setattr(vector, name, value)
+    monkeypatch.setattr(topk_join, "WAITING_ROWS", 50)
+    monkeypatch.setattr(vector.VectorScorer, "arranged", lambda self, docs: docs)
+    rng = np.random.default_rng(2)
+    aim, near = rng.normal(size=8), rng.normal(size=(300, 8))
+    docs = [aim + near[i] * (300 - i) / 30 for i in range(300)] + [aim] * 30 + list(rng.normal(size=(200, 8)))
+    docs = [np.asarray(d, "float32") for d in docs] + [np.zeros(8), np.full(8, 1e-40), np.full(8, 3e38 if metric == "cosine" else 3.0), np.arange(3.0), np.full(8, np.nan), [np.inf] + [1.0] * 7]
+    asked = [docs[i] for i in (299, 310, 400, 0, *range(-6, 0))] + list(rng.normal(size=(40, 8)).astype("float32"))
+    ids, names, ks, found = run_cell(vector.VectorScorer(metric), docs, asked, digits)
+    lists = lambda rows: pa.array([list(map(float, r)) for r in rows], pa.list_(pa.float32()))
+    with np.errstate(all="ignore"):
+        every = vector.score_lists(metric, lists(docs), list(vector.vectors_by_length(lists(asked))))
+    for n, (name, k) in enumerate(zip(names, ks)):
+        scores = every[:, n] if digits is None else topk_join.rounded(every[:, n], digits)
+        best = sorted((-s, i) for s, i in zip(scores, ids) if s > -np.inf)[:k]  # at no finite distance: no result
+        assert [s for _, s in found[name]] == [round(float(-s), 6) + 0.0 for s, _ in best]
+        assert digits is None or [i for i, _ in found[name]] == [i for _, i in best]
+
+
+def test_few_pairs_of_a_cell_are_computed_in_double(monkeypatch):
+    pairs, plain = [], vector.score_lists
+
+    def counted(metric, docs, queries):
+        pairs.append(len(docs) * sum(len(rows) for _, rows, _ in queries))
+        return plain(metric, docs, queries)
+
+    monkeypatch.setattr(vector, "score_lists", counted)
+    near = vector._Directions.cosines
+    monkeypatch.setattr(vector._Directions, "cosines", lambda self, d, other, q: pairs.append(len(d)) or near(self, d, other, q))
+    rng = np.random.default_rng(3)
+    docs, asked = rng.normal(size=(20_000, 16)), rng.normal(size=(40, 16))
+    topk = run_cell(vector.VectorScorer(), docs, asked, 6, (1, 5))[3]
+    assert len(topk) == 40 and sum(pairs) < 0.05 * 20_000 * 40
+
+
+def test_cells_follow_the_pairs(table, monkeypatch):
+    monkeypatch.setattr(vector, "CELL_PAIRS", 1000)
+    queries = table.select(F.col("id").alias("query_id"), "vector", F.lit(3).alias("k"))
+    left, right = topk_join._cut(queries, table, vector.VectorScorer(), 200, 1000, F.size("vector"), 1000, 10_000)
+    cells = [{(r["_q"], r["_d"]) for r in side.select("_q", "_d").distinct().collect()} for side in (left, right)]
+    assert cells[0] == cells[1] and len(cells[0]) >= 4 * table.sparkSession.sparkContext.defaultParallelism
+    assert left.count() + right.count() < 15 * 200
