@@ -77,8 +77,14 @@ def rejected(records: DataFrame) -> DataFrame:
     return records.withColumn("reason", _reason(records)).where(F.col("reason").isNotNull())
 
 
+def all_differ(records: DataFrame) -> bool:
+    """Has every accepted record an id that no other has, or none? No text is shuffled to see it."""
+    ids = accepted(records).select("id").where(F.coalesce("id", F.lit("")) != "")
+    return ids.groupBy("id").count().where("count > 1").isEmpty()
+
+
 def to_documents(
-    records: DataFrame, embedder=None, embed: str = "sync", as_of=None, order: str | None = None
+    records: DataFrame, embedder=None, embed: str = "sync", as_of=None, order: str | None = None, unique: bool = False
 ) -> DataFrame:
     """Accepted records as new documents.
 
@@ -86,13 +92,14 @@ def to_documents(
     vectors in now; any other value, such as ``async``, leaves the documents
     pending for the backfill. Of records with the same id the one with the
     highest ``order`` value is kept, which is the last to arrive for records
-    read by this module; without an order they must not differ.
+    read by this module; without an order they must not differ. ``unique`` says
+    that no id repeats, so that none need be chosen.
     """
     docs = with_ids(accepted(records))
     if order is None and ARRIVAL in docs.columns:
         docs = docs.withColumn(ARRIVAL, F.struct(ARRIVAL, F.monotonically_increasing_id()))
         order = ARRIVAL
-    docs = latest_per_id(docs, order).drop(ARRIVAL)
+    docs = (docs if unique else latest_per_id(docs, order)).drop(ARRIVAL)
     if embedder is not None and embed in ("", None, "sync", "embed"):
         docs = embed_column(docs, embedder)
     return complete(docs, as_of)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.operators.embed import attempted
-from docloom.session import remove_dir, shared_dir
+from docloom.session import remove_dir, shared_dir, shuffles_removed
 from docloom.sources.collection import Collection, open_all
-from docloom.sources.ingest import to_documents
+from docloom.sources.ingest import all_differ, to_documents
 
 TICK = "10 seconds"
 
@@ -22,19 +22,27 @@ def _trigger(writer, once: bool):
 
 
 def store_batch(
-    batch: DataFrame, target: Collection, note: str, embedder=None, embed="sync", order: str | None = None, as_of=None
+    batch: DataFrame, target: Collection, note: str, embedder=None, embed="sync", order: str | None = None, as_of=None, keep: int | None = None
 ) -> None:
     """Store ingest records once: a batch whose note is already committed,
-    because it is delivered again after a failure, is skipped."""
+    because it is delivered again after a failure, is skipped.
+
+    With ``keep``, files that none of so many newest versions uses are removed
+    after the commit (:meth:`Collection.vacuum`), so that a stream does not
+    fill the disk with versions that nobody reads.
+    """
     if target.has_commit(note):
         return
-    # written first: ids drawn at random and vectors must be the same in
-    # every pass over the batch
-    staged = shared_dir(target.spark, "batch")
-    docs = to_documents(batch, embedder, embed, as_of, order)
-    docs.write.parquet(staged)
-    target.upsert(target.spark.read.schema(docs.schema).parquet(staged), as_of, note=note, stored=staged)
-    remove_dir(target.spark, staged)
+    with shuffles_removed(batch.sparkSession, target.spark):
+        # written first: ids drawn at random and vectors must be the same in
+        # every pass over the batch
+        staged = shared_dir(target.spark, "batch")
+        docs = to_documents(batch, embedder, embed, as_of, order, all_differ(batch))
+        docs.write.parquet(staged, compression="zstd")
+        target.upsert(target.spark.read.schema(docs.schema).parquet(staged), as_of, note=note, stored=staged)
+        remove_dir(target.spark, staged)
+        if keep is not None:
+            target.vacuum(keep)
 
 
 def stream_upserts(records: DataFrame, target: Collection, checkpoint: str, once: bool = False, **options) -> StreamingQuery:
